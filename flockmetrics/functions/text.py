@@ -25,9 +25,14 @@ def words_of(text: Column, punctuation: str = PUNCTUATION) -> Column:
     return F.split(F.regexp_replace(F.lower(clean_text(text, punctuation)), _EDGE_WHITESPACE, ""), " ")
 
 
+def is_integer(word: Column) -> Column:
+    """Whether a word is a 32-bit integer. Only runs of digits are cast: a failing cast is slow."""
+    return F.when(word.rlike("^[+-]?[0-9]+$"), word.try_cast("int").isNotNull()).otherwise(False)
+
+
 def is_telling(word: Column, common_words: Sequence[str]) -> Column:
     """Longer than two characters, not a 32-bit integer and not a common word."""
-    return (F.length(word) > 2) & ~word.isin(*common_words) & word.try_cast("int").isNull()
+    return (F.length(word) > 2) & ~word.isin(*common_words) & ~is_integer(word)
 
 
 def contains_text(text: Column, part: str) -> Column:

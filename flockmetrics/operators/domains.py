@@ -9,12 +9,14 @@ from pyspark.sql import functions as F
 
 from flockmetrics.functions.links import link_domain
 from flockmetrics.operators.lists import top_k_list
+from flockmetrics.settings import LINK_START
 
 
 def top_domains(posts: DataFrame, key: Column, name: str, ignored: Sequence[str], k: int = 3) -> DataFrame:
     """Up to ``k`` sites per key by number of posts whose first link leads there, ties by name."""
+    # The plain substring test spares most texts the pattern search.
+    posts = posts.filter(F.contains(F.col("text"), F.lit(LINK_START)))
     linked = posts.select(key.alias(name), link_domain(F.col("text")).alias("domain"))
-    # Ignored sites and posts without a link (NULL) both fail this test.
     counted = linked.filter(~F.col("domain").isin(*ignored)).groupBy(name, "domain").agg(F.count("*").alias("n"))
     order = [F.col("n").desc(), F.col("domain").asc()]
     return top_k_list(counted, [name], order, "domain", k, "top_domains")

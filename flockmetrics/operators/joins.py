@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SALTS = 16
-BROADCAST_ROWS = 200_000
+BROADCAST_ROWS = 1_000_000
 BROADCAST_BYTES = 32 * 1024 * 1024
 
 
@@ -51,7 +51,10 @@ def fits_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADC
 def dimension_join(
     big: DataFrame, dimension: DataFrame, on: Sequence[str], how: str, spread_by: Sequence[str]
 ) -> DataFrame:
-    """Join to a reference table: copied to every executor if it is measured to be small, salted if not."""
+    """Join to a reference table: copied to every executor if it is measured to be small, salted if not.
+
+    Measuring runs a job over ``dimension``, so pass a stored table rather than a long plan.
+    """
     if fits_broadcast(dimension):
         return big.join(F.broadcast(dimension), list(on), how)
     return salted_join(big, dimension, on, how, spread_by)

@@ -31,7 +31,8 @@ def reactions_received(reactions: DataFrame, clock: Clock) -> DataFrame:
 
 
 def replies_received(casts: DataFrame, clock: Clock) -> DataFrame:
-    """Replies by others per thread root in the activity window.
+    """Replies by others per thread root in the activity window; meant for live roots, as the
+    author of any other root is not looked up.
 
     Replies are counted per (root, replier) first. Only the pair of a root and its own author
     has to be looked up, and that pair is unique on both sides, so a root that draws a third of

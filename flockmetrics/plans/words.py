@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 from flockmetrics.clock import Clock
 from flockmetrics.functions.scores import change
 from flockmetrics.functions.text import contains_text, is_telling, words_of
-from flockmetrics.operators.joins import dimension_join, salted_join
+from flockmetrics.operators.joins import dimension_join
 from flockmetrics.settings import RESULT_LIMIT, Settings
 from flockmetrics.sources.tables import channel_key, live_rows
 
 
 def active_authors(users: DataFrame, least_tier: int = 1) -> DataFrame:
-    return users.filter(F.col("fid_active_tier") >= least_tier).select("fid").distinct()
+    return users.filter(F.col("fid_active_tier") >= least_tier).select("fid")
 
 
 def channel_posts(casts: DataFrame, authors: DataFrame, clock: Clock, channel: str | None = None) -> DataFrame:
@@ -24,10 +24,10 @@ def channel_posts(casts: DataFrame, authors: DataFrame, clock: Clock, channel: s
     if channel is not None:
         posts = posts.filter(contains_text(F.col("parent_url"), channel))
     this_week = F.when(clock.this_week(casts), 1).otherwise(0).alias("this_week")
-    # Salting spreads a prolific author's texts; it also keeps the later count from reusing a
-    # partitioning by author.
     slim = posts.select("hash", "fid", this_week, "text")
-    return salted_join(slim, authors, ["fid"], "left_semi", spread_by=["hash"])
+    # Either way texts are not gathered by author: a small set of authors goes to the texts, and
+    # with a large one a prolific author's texts are spread by salt.
+    return dimension_join(slim, authors, ["fid"], "left_semi", spread_by=["hash"])
 
 
 def telling_words(posts: DataFrame, stopwords: DataFrame, settings: Settings = Settings()) -> DataFrame:

@@ -49,6 +49,7 @@ CHANNEL_TIERS = (
     TierRule(0, "💤 quiet", {}),
 )
 
+LINK_START = "https://"
 LINK_PATTERN = r"https://\S*"
 PUNCTUATION = r"[\p{Punct}\p{P}]"
 ADDRESS_PATTERN = "0x[a-fA-F0-9]{40}"

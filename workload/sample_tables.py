@@ -132,10 +132,10 @@ SAMPLE_SETTINGS = Settings(
         TierRule(0, "🤖 npc", {}),
     ),
     channel_tiers=(
-        TierRule(4, "👑 stadium", {"casts": 120, "engagement": 4500, "leaders": 10}),
-        TierRule(3, "🎭 subculture", {"casts": 60, "engagement": 1500, "stars": 4, "leaders": 2}),
-        TierRule(2, "🔍 niche", {"casts": 10, "engagement": 50, "casters": 4}),
-        TierRule(1, "🍻 friends", {"casts": 2, "engagement": 10}),
+        TierRule(4, "👑 stadium", {"casts": 40, "engagement": 1400, "leaders": 7}),
+        TierRule(3, "🎭 subculture", {"casts": 40, "engagement": 500, "stars": 5, "leaders": 2}),
+        TierRule(2, "🔍 niche", {"casts": 5, "engagement": 250, "casters": 4}),
+        TierRule(1, "🍻 friends", {"casts": 2, "engagement": 50}),
         TierRule(0, "💤 quiet", {}),
     ),
 )
