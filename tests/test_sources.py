@@ -1,0 +1,114 @@
+from datetime import date, datetime, timedelta
+
+import pytest
+from pyspark.sql import functions as F
+
+from flockmetrics import SocialTables
+from flockmetrics.sources.csv_tables import STOPWORDS_SCHEMA, read_csv_table, register_csv_folder, table_name
+from flockmetrics.sources.quality import duplicate_keys
+from flockmetrics.sources.stored import shared_folder, store
+from flockmetrics.sources.tables import live_rows
+from tests.conftest import AS_OF
+
+
+@pytest.fixture
+def folder(tmp_path):
+    (tmp_path / "My Stop.words.csv").write_bytes("﻿stopwords\nno\nyou're\nwon't\nno".encode())
+    (tmp_path / "notes.txt").write_text("not a table")
+    return tmp_path
+
+
+def test_csv_with_byte_order_mark_and_no_final_newline(spark, folder):
+    for schema in (None, STOPWORDS_SCHEMA):
+        words = read_csv_table(spark, str(folder / "My Stop.words.csv"), schema)
+        assert words.columns == ["stopwords"]
+        assert [r.stopwords for r in words.collect()] == ["no", "you're", "won't", "no"]
+
+
+def test_csv_folder(spark, folder):
+    assert set(register_csv_folder(spark, str(folder))) == {"my_stop"}
+    assert spark.table("my_stop").count() == 4
+
+
+def test_empty_csv_folder(spark, tmp_path):
+    assert register_csv_folder(spark, str(tmp_path)) == {}
+
+
+@pytest.mark.parametrize("file, name", [("a.csv", "a"), ("My List.v2.csv", "my_list")])
+def test_table_name(file, name):
+    assert table_name(file) == name
+
+
+def test_missing_column_is_reported(tables):
+    good = tables()
+    with pytest.raises(ValueError, match="profiles lacks columns .*fname"):
+        SocialTables(**{n: getattr(good, n) for n in good.names()} | {"profiles": good.profiles.drop("fname")})
+
+
+def test_tables_from_catalog_and_folder(spark, tables, tmp_path):
+    made = tables(profiles=[{"fid": 1, "fname": "a"}])
+    for name in made.names():
+        getattr(made, name).write.parquet(str(tmp_path / name))
+        getattr(made, name).createOrReplaceTempView(f"my_{name}")
+    views = {name: f"my_{name}" for name in made.names()}
+    assert SocialTables.from_catalog(spark, views).profiles.first().fname == "a"
+    assert SocialTables.from_folder(spark, str(tmp_path)).profiles.first().fname == "a"
+
+
+def test_days_outside_the_window_are_not_read(spark, table, clock, tmp_path):
+    rows = [{"hash": d, "fid": 1, "created_at": AS_OF - timedelta(days=d)} for d in range(30)]
+    path = str(tmp_path / "casts")
+    table("casts", rows).withColumn("day", F.to_date("created_at")).write.partitionBy("day").parquet(path)
+    live = live_rows(spark.read.parquet(path), clock)
+    plan = live._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(day" in plan and "PushedFilters: [IsNotNull(created_at)" in plan
+    assert {r.hash for r in live.collect()} == set(range(15))
+    assert live.agg(F.min("day")).first()[0] == date(2024, 1, 17)
+
+
+def test_store_writes_to_the_shared_folder(spark, tables):
+    df = tables(profiles=[{"fid": 1, "fname": "a"}, {"fid": 2, "fname": None}]).profiles
+    stored = store(df, "profiles")
+    assert stored.schema == df.schema
+    assert sorted(map(tuple, stored.collect()), key=repr) == [(1, "a"), (2, None)]
+    assert all(shared_folder(spark) in path for path in stored.inputFiles())
+
+
+def test_shared_folder_follows_the_session(spark, monkeypatch):
+    asked = []
+
+    class Conf:
+        def get(self, key, default=None):
+            asked.append(key)
+            return "hdfs://shared/checkpoints"
+
+    class Session:
+        conf = Conf()
+
+    assert shared_folder(Session()) == "hdfs://shared/checkpoints"
+    assert asked == ["spark.checkpoint.dir"]
+
+
+def test_no_machine_local_folder_on_a_cluster():
+    class Context:
+        master = "spark://host:7077"
+
+    class Session:
+        sparkContext = Context()
+
+        class conf:
+            @staticmethod
+            def get(key, default=None):
+                return default
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(Session())
+
+
+def test_duplicate_key_report(tables):
+    made = tables(
+        casts=[{"hash": 1}, {"hash": 2}],
+        profiles=[{"fid": 1, "fname": "a"}, {"fid": 1, "fname": "b"}, {"fid": 2, "fname": "c"}],
+    )
+    report = {r.table_name: (r.repeated_keys, r.rows_with_repeated_key) for r in duplicate_keys(made).collect()}
+    assert report["profiles"] == (1, 2) and report["casts"] == (0, 0)
