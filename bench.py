@@ -49,7 +49,7 @@ def main() -> None:
 
     setup = {"derived_tables": timed(lambda: sample_tables(spark, sf_dir))}
     book = sample_book(spark, sf_dir)
-    for name in ("engaged", "members", "stored_users", "stored_channels"):
+    for name in ("engaged", "links", "members", "stored_users", "stored_channels"):
         setup[name] = timed(lambda: getattr(book, name))
 
     tables, clock = book.tables, book.clock
@@ -78,7 +78,7 @@ def main() -> None:
         "value": round(sum(seconds.values()), 3),
         "unit": "sec",
         "queries": seconds,
-        "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf"),
+        "sf": float(os.path.basename(sf_dir.rstrip("/")).removeprefix("sf")),
         "cpus": int(cpus),
         "setup": {name: round(value, 3) for name, value in setup.items()},
     }))

@@ -8,11 +8,12 @@ from functools import cached_property
 from pyspark.sql import DataFrame
 
 from flockmetrics.clock import Clock
+from flockmetrics.operators.domains import post_links
 from flockmetrics.operators.rollups import engaged_casts
-from flockmetrics.plans.channels import channel_members, channels_mart
+from flockmetrics.plans.channels import by_engagement, channel_members, channels_mart, with_member_lists
 from flockmetrics.plans.tiers import channels_by_tier, users_by_tier
 from flockmetrics.plans.trending import ChannelFilters, UserFilters, trending_channels, trending_users
-from flockmetrics.plans.users import users_mart
+from flockmetrics.plans.users import by_followers, users_mart
 from flockmetrics.plans.words import trending_words
 from flockmetrics.settings import PREVIEW_ROWS, Settings
 from flockmetrics.sources.stored import store
@@ -47,30 +48,33 @@ class MartBook:
     def engaged(self) -> DataFrame:
         return self.keep(engaged_casts(self.tables.casts, self.tables.reactions, self.clock), "engaged_casts")
 
+    @cached_property
+    def links(self) -> DataFrame:
+        return self.keep(post_links(self.tables.casts, self.clock), "post_links")
+
     @cached_property
     def members(self) -> DataFrame:
         return self.keep(channel_members(self.tables.casts, self.clock), "channel_members")
 
     @cached_property
     def stored_users(self) -> DataFrame:
-        mart = users_mart(self.tables, self.clock, self.settings, self.engaged, ordered=False)
+        mart = users_mart(self.tables, self.clock, self.settings, self.engaged, self.links, ordered=False)
         return self.keep(mart, "users")
 
     @cached_property
     def stored_channels(self) -> DataFrame:
+        """The channels mart without its member lists."""
         mart = channels_mart(
-            self.tables, self.clock, self.stored_users, self.settings, self.engaged, self.members, self.keep,
-            ordered=False,
+            self.tables, self.clock, self.stored_users, self.settings, self.engaged, self.links, self.members,
+            self.keep, member_lists=False, ordered=False,
         )
         return self.keep(mart, "channels")
 
     def users(self) -> DataFrame:
-        return users_mart(self.tables, self.clock, self.settings, self.engaged)
+        return by_followers(self.stored_users)
 
     def channels(self) -> DataFrame:
-        return channels_mart(
-            self.tables, self.clock, self.stored_users, self.settings, self.engaged, self.members, self.keep
-        )
+        return by_engagement(with_member_lists(self.stored_channels, self.members))
 
     def users_by_tier(self) -> DataFrame:
         return users_by_tier(self.stored_users, self.settings)
@@ -87,7 +91,7 @@ class MartBook:
         return trending_users(self.stored_users, self.tables, self.clock, filters)
 
     def trending_channels(self, filters: ChannelFilters) -> DataFrame:
-        return trending_channels(self.stored_channels, self.members, self.tables, filters)
+        return trending_channels(self.stored_channels, self.members, self.tables, filters, keep=self.keep)
 
     def result(self, name: str, *args) -> DataFrame:
         """A result by its name in ``DEPENDENCIES``."""

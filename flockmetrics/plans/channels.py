@@ -18,12 +18,12 @@ from flockmetrics.functions.scores import (
     tier_level,
     weighted_score,
 )
-from flockmetrics.operators.domains import top_domains
+from flockmetrics.operators.domains import post_links, top_domains
 from flockmetrics.operators.joins import dimension_join, salted_join
 from flockmetrics.operators.lists import distinct_list, top_k_list
 from flockmetrics.operators.rollups import engaged_casts
 from flockmetrics.settings import CHANNEL_URL, SPACER, Settings
-from flockmetrics.sources.tables import SocialTables, not_deleted, rows_within, thread_channel_key
+from flockmetrics.sources.tables import SocialTables, not_deleted, thread_channel_key
 
 WEEKS = (("this_week", ""), ("last_week", "_last"))
 TIER_COUNTS = ("active_npc", "active_user", "active_star", "active_influencer", "active_vip")
@@ -139,13 +139,27 @@ def channel_ages(members: DataFrame, clock: Clock) -> DataFrame:
     return members.groupBy("parent_url").agg(age.alias("channel_age"))
 
 
-def channel_domains(casts: DataFrame, clock: Clock, settings: Settings = Settings()) -> DataFrame:
+def channel_domains(links: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """Top three sites linked from each channel this week."""
-    posts = rows_within(casts, clock, clock.recent_days).filter(not_deleted() & in_channel())
-    return top_domains(posts, thread_channel_key(), "parent_url", settings.ignored_domains)
+    this_week = links.filter(F.col("this_week") & in_channel())
+    return top_domains(this_week, thread_channel_key(), "parent_url", settings.ignored_domains)
 
 
-def _as_is(df: DataFrame, name: str) -> DataFrame:
+def with_member_lists(channels: DataFrame, members: DataFrame) -> DataFrame:
+    """Channels with everyone who ever posted there as a list in the last column.
+
+    The list is for display; nothing in this package reads it, as ``members`` says the same.
+    """
+    lists = distinct_list(members, "parent_url", "fid", "all_caster_fids")
+    return channels.join(lists, "parent_url", "left").select(*channels.columns, "all_caster_fids")
+
+
+def by_engagement(mart: DataFrame) -> DataFrame:
+    return mart.orderBy(F.desc_nulls_last("engagement"), F.asc("parent_url"))
+
+
+def as_is(df: DataFrame, name: str) -> DataFrame:
+    """Keeps nothing: every reader computes ``df`` for itself."""
     return df
 
 
@@ -155,16 +169,22 @@ def channels_mart(
     users: DataFrame,
     settings: Settings = Settings(),
     engaged: DataFrame | None = None,
+    links: DataFrame | None = None,
     members: DataFrame | None = None,
-    keep: Callable[[DataFrame, str], DataFrame] = _as_is,
+    keep: Callable[[DataFrame, str], DataFrame] = as_is,
+    member_lists: bool = True,
     ordered: bool = True,
 ) -> DataFrame:
     """Mart columns after the raw channel key ``parent_url``, which joins and filters use.
 
-    ``users`` is the users mart. ``keep(df, name)`` may store results that are read several times.
+    ``users`` is the users mart; ``engaged``, ``links`` and ``members`` pass in stored rows of
+    ``engaged_casts``, ``post_links`` and ``channel_members``. ``keep(df, name)`` may store results
+    that are read several times. Without ``member_lists`` the last column is left out.
     """
     if engaged is None:
         engaged = engaged_casts(tables.casts, tables.reactions, clock)
+    if links is None:
+        links = post_links(tables.casts, clock)
     if members is None:
         members = keep(channel_members(tables.casts, clock), "channel_members")
     activity = caster_activity(cast_engagement(engaged), settings)
@@ -173,11 +193,10 @@ def channels_mart(
     slugs = tables.early_channels.select("parent_url", "channel_id")
     joined = (
         channel_ages(members, clock)
-        .join(distinct_list(members, "parent_url", "fid", "all_caster_fids"), "parent_url", "left")
         .join(channel_cast_stats(summary, settings), "parent_url", "left")
         .join(top_casters(summary), "parent_url", "left")
         .join(influential_casters(summary), "parent_url", "left")
-        .join(channel_domains(tables.casts, clock, settings), "parent_url", "left")
+        .join(channel_domains(links, settings), "parent_url", "left")
     )
     named = dimension_join(joined, slugs, ["parent_url"], "left", spread_by=["parent_url"])
 
@@ -235,6 +254,7 @@ def channels_mart(
         "avg_contracts_deployed",
         "top_domains",
         F.slice("top_casters", 1, 3).alias("top_casters"),
-        "all_caster_fids",
     )
-    return mart.orderBy(F.desc_nulls_last("engagement"), F.asc("parent_url")) if ordered else mart
+    if member_lists:
+        mart = with_member_lists(mart, members)
+    return by_engagement(mart) if ordered else mart

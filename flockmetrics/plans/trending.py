@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -11,6 +12,7 @@ from flockmetrics.clock import Clock
 from flockmetrics.functions.text import contains_text
 from flockmetrics.operators.joins import salted_join
 from flockmetrics.operators.wallets import address_book, token_holders
+from flockmetrics.plans.channels import as_is, with_member_lists
 from flockmetrics.settings import RESULT_LIMIT
 from flockmetrics.sources.tables import SocialTables, live_rows
 
@@ -110,10 +112,16 @@ def trending_users(
 
 
 def trending_channels(
-    channels: DataFrame, members: DataFrame, tables: SocialTables, filters: ChannelFilters, limit: int = RESULT_LIMIT
+    channels: DataFrame,
+    members: DataFrame,
+    tables: SocialTables,
+    filters: ChannelFilters,
+    limit: int = RESULT_LIMIT,
+    keep: Callable[[DataFrame, str], DataFrame] = as_is,
 ) -> DataFrame:
-    """People are looked up in the bridge ``members``. With a token, any holder among the members
-    is enough."""
+    """``channels`` is the mart without member lists: people are looked up in the bridge
+    ``members``, and lists are made for the channels that are left. With a token, any holder
+    among the members is enough. ``keep(df, name)`` may store the rows before that."""
     found = channels.filter(F.col("channel_age") <= filters.max_age_days)
     if filters.username is not None:
         person = F.broadcast(fid_of_name(tables.profiles, filters.username.lower()))
@@ -124,4 +132,6 @@ def trending_channels(
         holders = token_holders(book, tables.wallet_activity, filters.held_token)
         held_in = salted_join(members, holders, ["fid"], "left_semi", spread_by=["parent_url"])
         found = found.join(held_in.select("parent_url").distinct(), "parent_url", "left_semi")
-    return _sorted_top(found.select(*channels.columns), filters.sort_by, "parent_url", limit)
+    top = keep(_sorted_top(found.select(*channels.columns), filters.sort_by, "parent_url", limit), "trending_channels")
+    shown = members.join(top.select("parent_url"), "parent_url", "left_semi")
+    return with_member_lists(top, shown).orderBy(F.desc_nulls_last(filters.sort_by), F.asc("parent_url"))

@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 from flockmetrics.clock import Clock
 from flockmetrics.functions.links import anchor, channel_name
 from flockmetrics.functions.scores import change, sum_where, tier_label, tier_level, weighted_score
-from flockmetrics.operators.domains import top_domains
+from flockmetrics.operators.domains import post_links, top_domains
 from flockmetrics.operators.joins import dimension_join
 from flockmetrics.operators.lists import ordered_list
 from flockmetrics.operators.rollups import engaged_casts, followers
 from flockmetrics.operators.wallets import address_book, wallet_totals
 from flockmetrics.settings import PROFILE_URL, SPACER, Settings
-from flockmetrics.sources.tables import SocialTables, channel_key, live_rows
+from flockmetrics.sources.tables import SocialTables, channel_key
 
 COUNTS = ("casts", "got_replies", "got_likes", "got_recasts")
 WEEKLY_COUNTS = (*COUNTS, *(f"{name}_last" for name in COUNTS))
@@ -65,14 +65,17 @@ def users_mart(
     clock: Clock,
     settings: Settings = Settings(),
     engaged: DataFrame | None = None,
+    links: DataFrame | None = None,
     ordered: bool = True,
 ) -> DataFrame:
-    """``engaged`` passes in stored ``engaged_casts`` rows; ``ordered`` sorts by followers."""
+    """``engaged`` and ``links`` pass in stored ``engaged_casts`` and ``post_links`` rows;
+    ``ordered`` sorts by followers."""
     if engaged is None:
         engaged = engaged_casts(tables.casts, tables.reactions, clock)
     activity = user_activity(user_channel_activity(engaged, settings), tables.early_channels)
-    posts = live_rows(tables.casts, clock)
-    domains = top_domains(posts, F.col("fid"), "fid", settings.ignored_domains)
+    if links is None:
+        links = post_links(tables.casts, clock)
+    domains = top_domains(links, F.col("fid"), "fid", settings.ignored_domains)
     wallets = wallet_totals(address_book(tables.fids, tables.verifications), tables.wallet_activity)
     # Rows that differ in addresses only are kept apart where the table has that column.
     details = [c for c in ("fid", "fname", "verified_addresses") if c in tables.profiles.columns]
@@ -132,4 +135,8 @@ def users_mart(
         "all_channels",
         F.col("top_domains").alias("all_domains"),
     )
-    return mart.orderBy(F.desc_nulls_last("followers"), F.asc("fid")) if ordered else mart
+    return by_followers(mart) if ordered else mart
+
+
+def by_followers(mart: DataFrame) -> DataFrame:
+    return mart.orderBy(F.desc_nulls_last("followers"), F.asc("fid"))

@@ -26,7 +26,12 @@ def plan_of(df):
 
 
 def test_no_cross_joins_or_python(book, no_broadcast):
-    for df in (book.users(), book.channels(), book.trending_words()):
+    marts = (
+        users_mart(book.tables, book.clock, SAMPLE_SETTINGS),
+        channels.channels_mart(book.tables, book.clock, book.stored_users, SAMPLE_SETTINGS),
+        book.trending_words(),
+    )
+    for df in marts:
         plan = plan_of(df)
         for unwanted in ("CartesianProduct", "BroadcastNestedLoopJoin", "Python", "Pandas"):
             assert unwanted not in plan
@@ -47,7 +52,7 @@ def test_replies_never_meet_the_posts_of_a_root_one_by_one(book, no_broadcast):
 
 
 def test_top_lists_are_cut_before_the_shuffle(book, no_broadcast):
-    plan = plan_of(book.channels())
+    plan = plan_of(channels.channels_mart(book.tables, book.clock, book.stored_users, SAMPLE_SETTINGS))
     assert plan.count("Partial") >= 3 and plan.count("WindowGroupLimit") >= 6
 
 
@@ -66,8 +71,14 @@ def test_word_counts_are_shuffled_once(book):
 
 
 def test_users_mart_reads_stored_engagement_once(book, no_broadcast):
-    plan = plan_of(users_mart(book.tables, book.clock, SAMPLE_SETTINGS, book.engaged, ordered=False))
-    assert plan.count("engaged_casts") == 1
+    plan = plan_of(users_mart(book.tables, book.clock, SAMPLE_SETTINGS, book.engaged, book.links, ordered=False))
+    assert plan.count("/engaged_casts-") == plan.count("/post_links-") == 1 and "/casts-" not in plan
+
+
+def test_member_lists_are_made_only_where_shown(book):
+    assert "all_caster_fids" not in book.stored_channels.columns
+    plan = plan_of(book.channels_by_tier())
+    assert "collect_list" not in plan
 
 
 def test_caster_join_is_salted(book, no_broadcast):

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flockmetrics.functions import chain, links, scores, text
-from flockmetrics.operators.domains import top_domains
+from flockmetrics.operators.domains import post_links, top_domains
 from flockmetrics.operators.joins import dimension_join
 from flockmetrics.operators.lists import distinct_list, ordered_list, top_k_list
 from flockmetrics.operators.rollups import followers, reactions_received, replies_received
@@ -218,8 +218,9 @@ def reply_parents(b):
     """Author of the post each live reply answers directly; NULL when that post is unknown."""
     replies = live_rows(b.tables.casts, b.clock).filter(F.col("parent_hash").isNotNull())
     parents = b.tables.casts.select(F.col("hash").alias("parent_hash"), F.col("fid").alias("target_fid"))
-    pairs = replies.select("hash", "fid", "parent_hash").join(parents, "parent_hash", "left")
-    return pairs.groupBy("fid", "target_fid").agg(F.count("*").alias("replies"))
+    per_parent = replies.groupBy("parent_hash", "fid").agg(F.count("*").alias("n"))
+    pairs = per_parent.join(parents, "parent_hash", "left")
+    return pairs.groupBy("fid", "target_fid").agg(F.sum("n").alias("replies"))
 
 
 @registered
@@ -501,7 +502,7 @@ def user_activity(b):
 
 @registered
 def domains_by_user(b):
-    return top_domains(live_rows(b.tables.casts, b.clock), F.col("fid"), "fid", IGNORED_DOMAINS)
+    return top_domains(post_links(b.tables.casts, b.clock), F.col("fid"), "fid", IGNORED_DOMAINS)
 
 
 @registered
@@ -517,13 +518,14 @@ def wallet_stats(b):
 
 @registered
 def users_mart(b):
-    return b.users()
+    """The whole mart from its input tables, nothing stored in between."""
+    return users.users_mart(b.tables, b.clock, SAMPLE_SETTINGS)
 
 
 @registered
 def users_mart_published_tiers(b):
     """The mart with its published thresholds."""
-    mart = users.users_mart(b.tables, b.clock, engaged=b.engaged)
+    mart = users.users_mart(b.tables, b.clock, engaged=b.engaged, links=b.links)
     return mart.select("fid", "fid_active_tier_name", "fid_active_tier", "fid_active_tier_last", "followers", "engagement")
 
 
@@ -583,18 +585,20 @@ def channel_history(b):
 
 @registered
 def domains_by_channel(b):
-    return channels.channel_domains(b.tables.casts, b.clock)
+    return channels.channel_domains(post_links(b.tables.casts, b.clock))
 
 
 @registered
 def channels_mart(b):
-    return b.channels()
+    """The whole mart from its input tables and the stored users mart."""
+    return channels.channels_mart(b.tables, b.clock, b.stored_users, SAMPLE_SETTINGS, keep=b.keep)
 
 
 @registered
 def channels_mart_published_tiers(b):
     mart = channels.channels_mart(
-        b.tables, b.clock, b.stored_users, engaged=b.engaged, members=b.members, keep=b.keep
+        b.tables, b.clock, b.stored_users, engaged=b.engaged, links=b.links, members=b.members, keep=b.keep,
+        member_lists=False,
     )
     return mart.select("parent_url", "channel_tier_name", "channel_tier", "channel_tier_last", "engagement")
 
