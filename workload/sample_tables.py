@@ -29,7 +29,8 @@ DEFINITIONS = {
             event_id % (select count(*) from {pages}) as page_key,
             event_id % (select count(*) from {part}) as part_key,
             case when event_id % (select gap from sizes) = 0
-                 then cast(floor(event_id / (select gap from sizes)) as bigint) end as doc_key,
+                 then cast(floor(event_id / (select gap from sizes)) as bigint)
+                 else -1 - event_id end as doc_key, -- matches no document, and no two posts share it
             greatest(0, event_id - event_id % 4 - 4 * (event_id % 7)) as root
           from {events}
         ), placed as (
