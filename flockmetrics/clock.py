@@ -24,6 +24,10 @@ class Clock:
     active_days: int = 14
     replay: bool = True
 
+    def __post_init__(self) -> None:
+        if self.as_of.tzinfo is not None:
+            raise ValueError("as_of must not carry a time zone; it is read in the session's")
+
     def instant(self, df: DataFrame, column: str, days_back: int = 0) -> Column:
         """``as_of - days_back`` as a constant of the column's own type.
 

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 SALTS = 32
 NARROW_SALTS = 128
+HEAVY_PARTS = 1_000
+LEAST_HEAVY_ROWS = 100_000
 BROADCAST_ROWS = 1_000_000
 BROADCAST_BYTES = 32 * 1024 * 1024
 
@@ -37,6 +39,37 @@ def salted_join(
     )
 
 
+def heavy_key_join(
+    big: DataFrame,
+    small: DataFrame,
+    on: str,
+    how: str,
+    spread_by: Sequence[str],
+    parts: int = HEAVY_PARTS,
+    least_rows: int = LEAST_HEAVY_ROWS,
+) -> DataFrame:
+    """Like ``salted_join``, but only right rows of heavy keys are repeated: for a large right side.
+
+    A key is heavy if it holds more than one ``parts``-th of the left rows, so there are fewer than
+    ``parts`` heavy keys, whatever the data. Each is cut into pieces of about that size. The left
+    keys are read once more to find them, so pass a plan that is cheap to read again.
+    """
+    piece = max(big.count() // parts, least_rows)
+    heavy = F.broadcast(
+        big.groupBy(F.col(on).alias("_key"))
+        .agg(F.count("*").alias("_n"))
+        .filter(F.col("_n") > piece)
+        .select("_key", F.ceil(F.col("_n") / piece).cast("int").alias("_pieces"))
+    )
+    pieces = F.coalesce("_pieces", F.lit(1))
+    salt = F.pmod(F.xxhash64(*spread_by), pieces).cast("int").alias("_salt")
+    every_salt = F.explode(F.sequence(F.lit(0), pieces - 1)).alias("_salt")
+    # NULL is a key like any other on the left: its rows match nothing but must be spread.
+    left = big.join(heavy, F.col(on).eqNullSafe(F.col("_key")), "left").select(*big.columns, salt)
+    right = small.join(heavy, F.col(on) == F.col("_key"), "left").select(*small.columns, every_salt)
+    return left.join(right, [on, "_salt"], how).drop("_salt")
+
+
 def _text_bytes(df: DataFrame) -> Column:
     widths = [
         F.coalesce(F.octet_length(name), F.lit(0)) if kind in ("string", "binary") else F.lit(8)

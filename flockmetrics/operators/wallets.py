@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flockmetrics.functions.chain import address_bytes, claim_address, holds_token
-from flockmetrics.operators.joins import salted_join
+from flockmetrics.operators.joins import heavy_key_join, salted_join
 from flockmetrics.operators.lists import ordered_list
 
 
@@ -20,8 +20,8 @@ def address_book(fids: DataFrame, verifications: DataFrame) -> DataFrame:
 def wallet_totals(book: DataFrame, wallet_activity: DataFrame) -> DataFrame:
     """On-chain totals and the list of addresses per person.
 
-    Unreadable addresses share the NULL key and exchanges share one address between many
-    people, hence the salted join.
+    Unreadable addresses share the NULL key and one address may be claimed by many people, hence
+    the join that spreads heavy keys.
     """
     totals = wallet_activity.select(
         F.col("wallet").alias("address"),
@@ -30,7 +30,7 @@ def wallet_totals(book: DataFrame, wallet_activity: DataFrame) -> DataFrame:
         "contracts_deployed",
     )
     return (
-        salted_join(book, totals, ["address"], "left", spread_by=["fid"])
+        heavy_key_join(book, totals, "address", "left", spread_by=["fid"])
         .groupBy("fid")
         .agg(
             F.sum("txs").alias("total_transactions"),

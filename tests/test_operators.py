@@ -1,4 +1,4 @@
-from datetime import datetime, timedelta
+from datetime import timedelta, timezone
 
 import pytest
 from pyspark.sql import functions as F
@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from flockmetrics import Clock
 from flockmetrics.operators import joins
 from flockmetrics.operators.domains import post_links, top_domains
-from flockmetrics.operators.joins import dimension_join, fits_broadcast, salted_join
+from flockmetrics.operators.joins import dimension_join, fits_broadcast, heavy_key_join, salted_join
 from flockmetrics.operators.lists import distinct_list, ordered_list, top_k_list
 from flockmetrics.operators.rollups import engaged_casts, followers, reactions_received, replies_received
 from flockmetrics.operators.wallets import address_book, token_holders, wallet_totals
@@ -31,6 +31,31 @@ def test_salted_join_equals_join(spark, how):
     assert as_dicts(salted) == as_dicts(plain)
 
 
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
+@pytest.mark.parametrize("least_rows", [1, 25, 1000])
+def test_heavy_key_join_equals_join(spark, how, least_rows):
+    keys = [1] * 5 + [2, None, None, 4]
+    big = spark.createDataFrame([(k, v) for v in range(30) for k in keys], "k long, v long")
+    small = spark.createDataFrame([(1, "a"), (1, "b"), (None, "n"), (3, "c"), (2, "d")], "k long, w string")
+    spread = heavy_key_join(big, small, "k", how, ["v"], parts=20, least_rows=least_rows)
+    plain = big.join(small, ["k"], how)
+    assert spread.columns == plain.columns
+    assert as_dicts(spread) == as_dicts(plain)
+
+
+def test_heavy_key_join_repeats_heavy_keys_only(spark):
+    big = spark.createDataFrame([(1, v) for v in range(90)] + [(k, 0) for k in range(2, 12)], "k long, v long")
+    small = spark.createDataFrame([(k, "x" * 9) for k in range(1, 12)], "k long, w string").hint("merge")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        joined = heavy_key_join(big, small, "k", "inner", ["v"], parts=10, least_rows=1)
+        per_task = joined.groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert sum(r["count"] for r in per_task) == 100
+    assert max(r["count"] for r in per_task) < 90
+
+
 def test_salted_join_spreads_a_hot_key(spark):
     big = spark.range(1000).select(F.lit(7).alias("k"), F.col("id").alias("v"))
     small = spark.createDataFrame([(7, 1)], "k int, w int").hint("merge")
@@ -166,6 +191,25 @@ def test_a_post_by_nobody_receives_nothing(table, clock):
     assert engaged.filter("hash = 1").first().replies == 0
 
 
+def test_binary_hashes_and_zoned_timestamps(table, clock):
+    def other_types(df, *hashes):
+        for name in hashes:
+            df = df.withColumn(name, F.unhex(F.lpad(F.hex(name), 40, "0")))
+        return df.withColumns({n: F.col(n).cast("timestamp") for n in ("created_at", "deleted_at")})
+
+    casts, reactions = table("casts", REPLIED), table("reactions", LIKES)
+    expected = user_channel_activity(engaged_casts(casts, reactions, clock))
+    got = user_channel_activity(engaged_casts(
+        other_types(casts, "hash", "parent_hash", "root_parent_hash"), other_types(reactions, "target_hash"), clock
+    ))
+    assert as_dicts(got) == as_dicts(expected)
+
+
+def test_clock_takes_no_time_zone():
+    with pytest.raises(ValueError, match="time zone"):
+        Clock(AS_OF.replace(tzinfo=timezone.utc))
+
+
 def test_missing_reactions_are_null_not_zero(table, clock):
     engaged = engaged_casts(table("casts", [{"hash": 1, "fid": 1}]), table("reactions"), clock)
     row = user_channel_activity(engaged).first()

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from flockmetrics.functions import chain, links, scores, text
 from flockmetrics.operators.domains import post_links, top_domains
-from flockmetrics.operators.joins import dimension_join
+from flockmetrics.operators.joins import dimension_join, heavy_key_join
 from flockmetrics.operators.lists import distinct_list, ordered_list, top_k_list
 from flockmetrics.operators.rollups import followers, reactions_received, replies_received
 from flockmetrics.operators.wallets import address_book, token_holders, wallet_totals
@@ -219,7 +219,7 @@ def reply_parents(b):
     replies = live_rows(b.tables.casts, b.clock).filter(F.col("parent_hash").isNotNull())
     parents = b.tables.casts.select(F.col("hash").alias("parent_hash"), F.col("fid").alias("target_fid"))
     per_parent = replies.groupBy("parent_hash", "fid").agg(F.count("*").alias("n"))
-    pairs = per_parent.join(parents, "parent_hash", "left")
+    pairs = heavy_key_join(per_parent, parents, "parent_hash", "left", spread_by=["fid"])
     return pairs.groupBy("fid", "target_fid").agg(F.sum("n").alias("replies"))
 
 
