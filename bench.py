@@ -49,7 +49,7 @@ def main() -> None:
 
     setup = {"derived_tables": timed(lambda: sample_tables(spark, sf_dir))}
     book = sample_book(spark, sf_dir)
-    for name in ("engaged", "links", "members", "stored_users", "stored_channels"):
+    for name in ("engaged", "linked", "members", "stored_users", "stored_channels"):
         setup[name] = timed(lambda: getattr(book, name))
 
     tables, clock = book.tables, book.clock

@@ -14,7 +14,7 @@ from flockmetrics.settings import LINK_START
 from flockmetrics.sources.tables import live_rows
 
 
-def post_links(casts: DataFrame, clock: Clock) -> DataFrame:
+def linked_posts(casts: DataFrame, clock: Clock) -> DataFrame:
     """Site of the first link of each live post that has one, with whom and where to count it.
 
     Texts are by far the widest column; users and channels both count from these rows, so that
@@ -31,10 +31,10 @@ def post_links(casts: DataFrame, clock: Clock) -> DataFrame:
     )
 
 
-def top_domains(links: DataFrame, key: Column, name: str, ignored: Sequence[str], k: int = 3) -> DataFrame:
+def top_domains(linked: DataFrame, key: Column, name: str, ignored: Sequence[str], k: int = 3) -> DataFrame:
     """Up to ``k`` sites per key by number of posts linking there first, ties by name."""
     counted = (
-        links.select(key.alias(name), "domain")
+        linked.select(key.alias(name), "domain")
         .filter(~F.col("domain").isin(*ignored))  # a NULL domain fails this as well
         .groupBy(name, "domain")
         .agg(F.count("*").alias("n"))

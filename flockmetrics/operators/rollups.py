@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 
 from flockmetrics.clock import Clock
 from flockmetrics.functions.scores import count_where
-from flockmetrics.sources.tables import live_rows, not_deleted
+from flockmetrics.sources.tables import live_rows, not_deleted, rows_up_to_now
 
 LIKE, RECAST = 1, 2
 
 
 def followers(links: DataFrame, clock: Clock) -> DataFrame:
     """All undeleted follows per followed account, and those of the last week."""
-    kept = links.filter(not_deleted() & clock.up_to_now(links))
+    kept = rows_up_to_now(links, clock).filter(not_deleted())
     return kept.groupBy(F.col("target_fid").alias("fid")).agg(
         F.count("*").alias("followers"),
         count_where(clock.this_week(links)).alias("wow_followers"),

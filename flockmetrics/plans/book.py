@@ -8,7 +8,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame
 
 from flockmetrics.clock import Clock
-from flockmetrics.operators.domains import post_links
+from flockmetrics.operators.domains import linked_posts
 from flockmetrics.operators.rollups import engaged_casts
 from flockmetrics.plans.channels import by_engagement, channel_members, channels_mart, with_member_lists
 from flockmetrics.plans.tiers import channels_by_tier, users_by_tier
@@ -49,8 +49,8 @@ class MartBook:
         return self.keep(engaged_casts(self.tables.casts, self.tables.reactions, self.clock), "engaged_casts")
 
     @cached_property
-    def links(self) -> DataFrame:
-        return self.keep(post_links(self.tables.casts, self.clock), "post_links")
+    def linked(self) -> DataFrame:
+        return self.keep(linked_posts(self.tables.casts, self.clock), "linked_posts")
 
     @cached_property
     def members(self) -> DataFrame:
@@ -58,14 +58,14 @@ class MartBook:
 
     @cached_property
     def stored_users(self) -> DataFrame:
-        mart = users_mart(self.tables, self.clock, self.settings, self.engaged, self.links, ordered=False)
+        mart = users_mart(self.tables, self.clock, self.settings, self.engaged, self.linked, ordered=False)
         return self.keep(mart, "users")
 
     @cached_property
     def stored_channels(self) -> DataFrame:
         """The channels mart without its member lists."""
         mart = channels_mart(
-            self.tables, self.clock, self.stored_users, self.settings, self.engaged, self.links, self.members,
+            self.tables, self.clock, self.stored_users, self.settings, self.engaged, self.linked, self.members,
             self.keep, member_lists=False, ordered=False,
         )
         return self.keep(mart, "channels")

@@ -18,12 +18,12 @@ from flockmetrics.functions.scores import (
     tier_level,
     weighted_score,
 )
-from flockmetrics.operators.domains import post_links, top_domains
+from flockmetrics.operators.domains import linked_posts, top_domains
 from flockmetrics.operators.joins import dimension_join, salted_join
 from flockmetrics.operators.lists import distinct_list, top_k_list
 from flockmetrics.operators.rollups import engaged_casts
 from flockmetrics.settings import CHANNEL_URL, SPACER, Settings
-from flockmetrics.sources.tables import SocialTables, not_deleted, thread_channel_key
+from flockmetrics.sources.tables import SocialTables, not_deleted, rows_up_to_now, thread_channel_key
 
 WEEKS = (("this_week", ""), ("last_week", "_last"))
 TIER_COUNTS = ("active_npc", "active_user", "active_star", "active_influencer", "active_vip")
@@ -126,7 +126,7 @@ def channel_members(casts: DataFrame, clock: Clock) -> DataFrame:
 
     Filters look members up here; the list column of the mart is for display.
     """
-    kept = casts.filter(not_deleted() & in_channel() & clock.up_to_now(casts))
+    kept = rows_up_to_now(casts, clock).filter(not_deleted() & in_channel())
     return kept.groupBy(thread_channel_key().alias("parent_url"), "fid").agg(
         F.min("created_at").alias("first_cast_at")
     )
@@ -139,9 +139,9 @@ def channel_ages(members: DataFrame, clock: Clock) -> DataFrame:
     return members.groupBy("parent_url").agg(age.alias("channel_age"))
 
 
-def channel_domains(links: DataFrame, settings: Settings = Settings()) -> DataFrame:
+def channel_domains(linked: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """Top three sites linked from each channel this week."""
-    this_week = links.filter(F.col("this_week") & in_channel())
+    this_week = linked.filter(F.col("this_week") & in_channel())
     return top_domains(this_week, thread_channel_key(), "parent_url", settings.ignored_domains)
 
 
@@ -169,7 +169,7 @@ def channels_mart(
     users: DataFrame,
     settings: Settings = Settings(),
     engaged: DataFrame | None = None,
-    links: DataFrame | None = None,
+    linked: DataFrame | None = None,
     members: DataFrame | None = None,
     keep: Callable[[DataFrame, str], DataFrame] = as_is,
     member_lists: bool = True,
@@ -177,14 +177,14 @@ def channels_mart(
 ) -> DataFrame:
     """Mart columns after the raw channel key ``parent_url``, which joins and filters use.
 
-    ``users`` is the users mart; ``engaged``, ``links`` and ``members`` pass in stored rows of
-    ``engaged_casts``, ``post_links`` and ``channel_members``. ``keep(df, name)`` may store results
+    ``users`` is the users mart; ``engaged``, ``linked`` and ``members`` pass in stored rows of
+    ``engaged_casts``, ``linked_posts`` and ``channel_members``. ``keep(df, name)`` may store results
     that are read several times. Without ``member_lists`` the last column is left out.
     """
     if engaged is None:
         engaged = engaged_casts(tables.casts, tables.reactions, clock)
-    if links is None:
-        links = post_links(tables.casts, clock)
+    if linked is None:
+        linked = linked_posts(tables.casts, clock)
     if members is None:
         members = keep(channel_members(tables.casts, clock), "channel_members")
     activity = caster_activity(cast_engagement(engaged), settings)
@@ -196,7 +196,7 @@ def channels_mart(
         .join(channel_cast_stats(summary, settings), "parent_url", "left")
         .join(top_casters(summary), "parent_url", "left")
         .join(influential_casters(summary), "parent_url", "left")
-        .join(channel_domains(links, settings), "parent_url", "left")
+        .join(channel_domains(linked, settings), "parent_url", "left")
     )
     named = dimension_join(joined, slugs, ["parent_url"], "left", spread_by=["parent_url"])
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from flockmetrics.clock import Clock
 from flockmetrics.functions.links import anchor, channel_name
 from flockmetrics.functions.scores import change, sum_where, tier_label, tier_level, weighted_score
-from flockmetrics.operators.domains import post_links, top_domains
+from flockmetrics.operators.domains import linked_posts, top_domains
 from flockmetrics.operators.joins import dimension_join
 from flockmetrics.operators.lists import ordered_list
 from flockmetrics.operators.rollups import engaged_casts, followers
@@ -65,17 +65,17 @@ def users_mart(
     clock: Clock,
     settings: Settings = Settings(),
     engaged: DataFrame | None = None,
-    links: DataFrame | None = None,
+    linked: DataFrame | None = None,
     ordered: bool = True,
 ) -> DataFrame:
-    """``engaged`` and ``links`` pass in stored ``engaged_casts`` and ``post_links`` rows;
+    """``engaged`` and ``linked`` pass in stored ``engaged_casts`` and ``linked_posts`` rows;
     ``ordered`` sorts by followers."""
     if engaged is None:
         engaged = engaged_casts(tables.casts, tables.reactions, clock)
     activity = user_activity(user_channel_activity(engaged, settings), tables.early_channels)
-    if links is None:
-        links = post_links(tables.casts, clock)
-    domains = top_domains(links, F.col("fid"), "fid", settings.ignored_domains)
+    if linked is None:
+        linked = linked_posts(tables.casts, clock)
+    domains = top_domains(linked, F.col("fid"), "fid", settings.ignored_domains)
     wallets = wallet_totals(address_book(tables.fids, tables.verifications), tables.wallet_activity)
     # Rows that differ in addresses only are kept apart where the table has that column.
     details = [c for c in ("fid", "fname", "verified_addresses") if c in tables.profiles.columns]

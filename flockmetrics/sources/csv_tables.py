@@ -31,11 +31,16 @@ def csv_files(spark: SparkSession, folder: str) -> list[str]:
     return sorted(row.path for row in listing.collect())
 
 
-def register_csv_folder(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    """Every CSV file of a folder as a temporary view named after it; other files are left alone."""
+def register_csv_folder(spark: SparkSession, folder: str, permanent: bool = False) -> dict[str, DataFrame]:
+    """Every CSV file of a folder as a view, or table of the catalog, named after it; other files
+    are left alone."""
     tables = {}
     for path in csv_files(spark, folder):
         name = table_name(path.rsplit("/", 1)[-1].replace("%20", " "))
-        tables[name] = read_csv_table(spark, path)
-        tables[name].createOrReplaceTempView(name)
+        rows = read_csv_table(spark, path)
+        if permanent:
+            rows.write.mode("overwrite").saveAsTable(name)
+        else:
+            rows.createOrReplaceTempView(name)
+        tables[name] = spark.table(name)
     return tables

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _local_folders: dict[str, tempfile.TemporaryDirectory] = {}
 
@@ -24,9 +25,16 @@ def shared_folder(spark: SparkSession) -> str:
     return _local_folders[application].name
 
 
-def store(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` and return it as read back: lineage ends here and survives lost executors."""
+def store(df: DataFrame, name: str, laid_out_by: str | None = None) -> DataFrame:
+    """Write ``df`` and return it as read back: lineage ends here and survives lost executors.
+
+    With ``laid_out_by`` there is a folder per value of that column. Rows are first balanced by it,
+    which keeps files few and cuts a value with many rows into several.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    if laid_out_by:
+        df.hint("rebalance", F.col(laid_out_by)).write.partitionBy(laid_out_by).parquet(path)
+    else:
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

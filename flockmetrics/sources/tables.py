@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from flockmetrics.clock import Clock
 
+DAY = "created_day"
+
 REQUIRED_COLUMNS = {
     "casts": (
         "hash", "fid", "parent_hash", "root_parent_hash", "parent_url", "root_parent_url",
@@ -68,11 +70,19 @@ def not_deleted() -> Column:
     return F.col("deleted_at").isNull()
 
 
-def rows_within(df: DataFrame, clock: Clock, days: int, column: str = "created_at") -> DataFrame:
-    """Rows of a trailing window. A table laid out by ``day`` reads only the days it needs."""
-    if "day" in df.columns:
-        df = df.filter(F.col("day") >= F.to_date(clock.instant(df, column, days)))
-    return df.filter(clock.within(df, days, column))
+def rows_up_to_now(df: DataFrame, clock: Clock) -> DataFrame:
+    """Rows created until now. A table laid out by ``created_day``, the date of ``created_at``,
+    does not read later days."""
+    if DAY in df.columns and clock.replay:
+        df = df.filter(F.col(DAY) <= F.to_date(clock.instant(df, "created_at")))
+    return df.filter(clock.up_to_now(df))
+
+
+def rows_within(df: DataFrame, clock: Clock, days: int) -> DataFrame:
+    """Rows of a trailing window; a table laid out by ``created_day`` reads no earlier days either."""
+    if DAY in df.columns:
+        df = df.filter(F.col(DAY) >= F.to_date(clock.instant(df, "created_at", days)))
+    return rows_up_to_now(df, clock).filter(clock.within(df, days))
 
 
 def live_rows(df: DataFrame, clock: Clock) -> DataFrame:

@@ -1,4 +1,5 @@
 import os
+import tempfile
 from datetime import datetime
 
 import pytest
@@ -41,6 +42,7 @@ def spark():
         spark__ui__showConsoleProgress="false",
         spark__python__sql__dataFrameDebugging__enabled="false",
         spark__driver__memory="4g",
+        spark__sql__warehouse__dir=tempfile.mkdtemp(prefix="warehouse-"),
     )
 
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from flockmetrics import Clock
 from flockmetrics.operators import joins
-from flockmetrics.operators.domains import post_links, top_domains
+from flockmetrics.operators.domains import linked_posts, top_domains
 from flockmetrics.operators.joins import dimension_join, fits_broadcast, heavy_key_join, salted_join
 from flockmetrics.operators.lists import distinct_list, ordered_list, top_k_list
 from flockmetrics.operators.rollups import engaged_casts, followers, reactions_received, replies_received
@@ -219,7 +219,7 @@ def test_missing_reactions_are_null_not_zero(table, clock):
 def test_top_domains_ties_and_ignored(table, clock):
     texts = ["https://b.c/1", "https://www.b.c/2", "https://x.com/1", "nothing", "https://a.c", "https://d.c", "https://e.c", None]
     rows = table("casts", [{"hash": i, "fid": 1, "text": t} for i, t in enumerate(texts)] + [{"hash": 99, "fid": 2, "text": "https://x.com"}])
-    got = as_dicts(top_domains(post_links(rows, clock), F.col("fid"), "fid", ("x.com",)))
+    got = as_dicts(top_domains(linked_posts(rows, clock), F.col("fid"), "fid", ("x.com",)))
     assert got == [{"fid": 1, "top_domains": ["b.c", "a.c", "d.c"]}]
 
 

@@ -71,8 +71,8 @@ def test_word_counts_are_shuffled_once(book):
 
 
 def test_users_mart_reads_stored_engagement_once(book, no_broadcast):
-    plan = plan_of(users_mart(book.tables, book.clock, SAMPLE_SETTINGS, book.engaged, book.links, ordered=False))
-    assert plan.count("/engaged_casts-") == plan.count("/post_links-") == 1 and "/casts-" not in plan
+    plan = plan_of(users_mart(book.tables, book.clock, SAMPLE_SETTINGS, book.engaged, book.linked, ordered=False))
+    assert plan.count("/engaged_casts-") == plan.count("/linked_posts-") == 1 and "/casts-" not in plan
 
 
 def test_member_lists_are_made_only_where_shown(book):

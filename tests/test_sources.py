@@ -1,13 +1,13 @@
-from datetime import date, datetime, timedelta
+from datetime import timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
-from flockmetrics import SocialTables
+from flockmetrics import Clock, SocialTables
 from flockmetrics.sources.csv_tables import STOPWORDS_SCHEMA, read_csv_table, register_csv_folder, table_name
 from flockmetrics.sources.quality import duplicate_keys
 from flockmetrics.sources.stored import shared_folder, store
-from flockmetrics.sources.tables import live_rows
+from flockmetrics.sources.tables import live_rows, rows_up_to_now
 from tests.conftest import AS_OF
 
 
@@ -30,6 +30,14 @@ def test_csv_folder(spark, folder):
     assert spark.table("my_stop").count() == 4
 
 
+def test_csv_folder_as_catalog_tables(spark, tmp_path):
+    (tmp_path / "kept list.csv").write_text("a,b\n1,x\n")
+    for text in ("a,b\n1,x\n", "a,b\n1,x\n2,y\n"):
+        (tmp_path / "kept list.csv").write_text(text)
+        register_csv_folder(spark, str(tmp_path), permanent=True)
+    assert spark.catalog.tableExists("kept_list") and spark.table("kept_list").count() == 2
+
+
 def test_empty_csv_folder(spark, tmp_path):
     assert register_csv_folder(spark, str(tmp_path)) == {}
 
@@ -55,15 +63,17 @@ def test_tables_from_catalog_and_folder(spark, tables, tmp_path):
     assert SocialTables.from_folder(spark, str(tmp_path)).profiles.first().fname == "a"
 
 
-def test_days_outside_the_window_are_not_read(spark, table, clock, tmp_path):
+def test_days_outside_the_window_are_not_read(table, clock):
     rows = [{"hash": d, "fid": 1, "created_at": AS_OF - timedelta(days=d)} for d in range(30)]
-    path = str(tmp_path / "casts")
-    table("casts", rows).withColumn("day", F.to_date("created_at")).write.partitionBy("day").parquet(path)
-    live = live_rows(spark.read.parquet(path), clock)
+    by_day = store(table("casts", rows).withColumn("created_day", F.to_date("created_at")), "casts", "created_day")
+    live = live_rows(by_day, clock)
     plan = live._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(day" in plan and "PushedFilters: [IsNotNull(created_at)" in plan
+    assert "PartitionFilters: [isnotnull(created_day" in plan and "PushedFilters: [IsNotNull(created_at)" in plan
     assert {r.hash for r in live.collect()} == set(range(15))
-    assert live.agg(F.min("day")).first()[0] == date(2024, 1, 17)
+    past = Clock(AS_OF - timedelta(days=20))
+    assert {r.hash for r in live_rows(by_day, past).collect()} == set(range(20, 30))
+    assert {r.hash for r in rows_up_to_now(by_day, past).collect()} == set(range(20, 30))
+    assert rows_up_to_now(by_day, Clock(past.as_of, replay=False)).count() == 30
 
 
 def test_store_writes_to_the_shared_folder(spark, tables):

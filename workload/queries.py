@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flockmetrics.functions import chain, links, scores, text
-from flockmetrics.operators.domains import post_links, top_domains
+from flockmetrics.operators.domains import linked_posts, top_domains
 from flockmetrics.operators.joins import dimension_join, heavy_key_join
 from flockmetrics.operators.lists import distinct_list, ordered_list, top_k_list
 from flockmetrics.operators.rollups import followers, reactions_received, replies_received
@@ -502,7 +502,7 @@ def user_activity(b):
 
 @registered
 def domains_by_user(b):
-    return top_domains(post_links(b.tables.casts, b.clock), F.col("fid"), "fid", IGNORED_DOMAINS)
+    return top_domains(linked_posts(b.tables.casts, b.clock), F.col("fid"), "fid", IGNORED_DOMAINS)
 
 
 @registered
@@ -525,7 +525,7 @@ def users_mart(b):
 @registered
 def users_mart_published_tiers(b):
     """The mart with its published thresholds."""
-    mart = users.users_mart(b.tables, b.clock, engaged=b.engaged, links=b.links)
+    mart = users.users_mart(b.tables, b.clock, engaged=b.engaged, linked=b.linked)
     return mart.select("fid", "fid_active_tier_name", "fid_active_tier", "fid_active_tier_last", "followers", "engagement")
 
 
@@ -585,7 +585,7 @@ def channel_history(b):
 
 @registered
 def domains_by_channel(b):
-    return channels.channel_domains(post_links(b.tables.casts, b.clock))
+    return channels.channel_domains(linked_posts(b.tables.casts, b.clock))
 
 
 @registered
@@ -597,7 +597,7 @@ def channels_mart(b):
 @registered
 def channels_mart_published_tiers(b):
     mart = channels.channels_mart(
-        b.tables, b.clock, b.stored_users, engaged=b.engaged, links=b.links, members=b.members, keep=b.keep,
+        b.tables, b.clock, b.stored_users, engaged=b.engaged, linked=b.linked, members=b.members, keep=b.keep,
         member_lists=False,
     )
     return mart.select("parent_url", "channel_tier_name", "channel_tier", "channel_tier_last", "engagement")

@@ -6,13 +6,16 @@ table serves Spark and DuckDB; only type names and the array constructor differ.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from flockmetrics import Clock, Settings, SocialTables
 from flockmetrics.settings import TierRule
 from flockmetrics.sources.stored import store
+from flockmetrics.sources.tables import DAY
 from flockmetrics.plans.book import MartBook
 
 AS_OF = datetime(2024, 1, 31)
@@ -141,6 +144,8 @@ SAMPLE_SETTINGS = Settings(
     ),
 )
 
+LAID_OUT_BY_DAY = ("casts", "reactions", "links")
+
 _tables: dict[tuple[str, str], SocialTables] = {}
 _books: dict[tuple[str, str], MartBook] = {}
 
@@ -166,9 +171,18 @@ def sample_tables(spark: SparkSession, sf_dir: str) -> SocialTables:
     """The derived tables, written once per application and read as plain Parquet afterwards."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _tables:
-        stored = {name: store(derive(spark, sf_dir, name), name) for name in DEFINITIONS}
+
+        def stored(name: str) -> DataFrame:
+            rows = derive(spark, sf_dir, name)
+            if name not in LAID_OUT_BY_DAY:
+                return store(rows, name)
+            return store(rows.withColumn(DAY, F.to_date("created_at")), name, DAY)
+
+        # Independent jobs, run side by side.
+        with ThreadPoolExecutor() as pool:
+            derived = dict(zip(DEFINITIONS, pool.map(stored, DEFINITIONS)))
         stopwords = spark.createDataFrame([(word,) for word in STOPWORDS], "stopwords string")
-        _tables[key] = SocialTables(**stored, stopwords=stopwords)
+        _tables[key] = SocialTables(**derived, stopwords=stopwords)
     return _tables[key]
 
 
