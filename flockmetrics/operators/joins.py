@@ -65,8 +65,9 @@ def heavy_key_join(
     salt = F.pmod(F.xxhash64(*spread_by), pieces).cast("int").alias("_salt")
     every_salt = F.explode(F.sequence(F.lit(0), pieces - 1)).alias("_salt")
     # NULL is a key like any other on the left: its rows match nothing but must be spread.
-    left = big.join(heavy, F.col(on).eqNullSafe(F.col("_key")), "left").select(*big.columns, salt)
-    right = small.join(heavy, F.col(on) == F.col("_key"), "left").select(*small.columns, every_salt)
+    same_key = F.col(on).eqNullSafe(F.col("_key"))
+    left = big.join(heavy, same_key, "left").select(*big.columns, salt)
+    right = small.filter(F.col(on).isNotNull()).join(heavy, same_key, "left").select(*small.columns, every_salt)
     return left.join(right, [on, "_salt"], how).drop("_salt")
 
 

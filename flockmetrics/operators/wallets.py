@@ -20,6 +20,7 @@ def address_book(fids: DataFrame, verifications: DataFrame) -> DataFrame:
 def wallet_totals(book: DataFrame, wallet_activity: DataFrame) -> DataFrame:
     """On-chain totals and the list of addresses per person.
 
+    ``book`` is read several times, so store it where claims are many.
     Unreadable addresses share the NULL key and one address may be claimed by many people, hence
     the join that spreads heavy keys.
     """

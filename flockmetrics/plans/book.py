@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from flockmetrics.clock import Clock
 from flockmetrics.operators.domains import linked_posts
 from flockmetrics.operators.rollups import engaged_casts
+from flockmetrics.operators.wallets import address_book
 from flockmetrics.plans.channels import by_engagement, channel_members, channels_mart, with_member_lists
 from flockmetrics.plans.tiers import channels_by_tier, users_by_tier
 from flockmetrics.plans.trending import ChannelFilters, UserFilters, trending_channels, trending_users
@@ -52,13 +53,19 @@ class MartBook:
     def linked(self) -> DataFrame:
         return self.keep(linked_posts(self.tables.casts, self.clock), "linked_posts")
 
+    @cached_property
+    def addresses(self) -> DataFrame:
+        return self.keep(address_book(self.tables.fids, self.tables.verifications), "address_book")
+
     @cached_property
     def members(self) -> DataFrame:
         return self.keep(channel_members(self.tables.casts, self.clock), "channel_members")
 
     @cached_property
     def stored_users(self) -> DataFrame:
-        mart = users_mart(self.tables, self.clock, self.settings, self.engaged, self.linked, ordered=False)
+        mart = users_mart(
+            self.tables, self.clock, self.settings, self.engaged, self.linked, self.addresses, ordered=False
+        )
         return self.keep(mart, "users")
 
     @cached_property
@@ -88,10 +95,12 @@ class MartBook:
         )
 
     def trending_users(self, filters: UserFilters) -> DataFrame:
-        return trending_users(self.stored_users, self.tables, self.clock, filters)
+        return trending_users(self.stored_users, self.tables, self.clock, filters, addresses=self.addresses)
 
     def trending_channels(self, filters: ChannelFilters) -> DataFrame:
-        return trending_channels(self.stored_channels, self.members, self.tables, filters, keep=self.keep)
+        return trending_channels(
+            self.stored_channels, self.members, self.tables, filters, addresses=self.addresses, keep=self.keep
+        )
 
     def result(self, name: str, *args) -> DataFrame:
         """A result by its name in ``DEPENDENCIES``."""

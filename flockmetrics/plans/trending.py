@@ -94,9 +94,21 @@ def _sorted_top(df: DataFrame, sort_by: str, tie_breaker: str, limit: int) -> Da
     return df.orderBy(F.desc_nulls_last(sort_by), F.asc(tie_breaker)).limit(limit)
 
 
+def _holders(tables: SocialTables, addresses: DataFrame | None, token: str) -> DataFrame:
+    if addresses is None:
+        addresses = address_book(tables.fids, tables.verifications)
+    return token_holders(addresses, tables.wallet_activity, token)
+
+
 def trending_users(
-    users: DataFrame, tables: SocialTables, clock: Clock, filters: UserFilters, limit: int = RESULT_LIMIT
+    users: DataFrame,
+    tables: SocialTables,
+    clock: Clock,
+    filters: UserFilters,
+    limit: int = RESULT_LIMIT,
+    addresses: DataFrame | None = None,
 ) -> DataFrame:
+    """``addresses`` passes in stored ``address_book`` rows, here and for channels."""
     found = users.filter(F.col("account_age") <= filters.max_age_days)
     if filters.channel is not None:
         found = found.filter(F.exists("all_channels", lambda name: contains_text(name, filters.channel)))
@@ -106,8 +118,7 @@ def trending_users(
             targets = targets.filter(F.col("action") == filters.action)
         found = found.join(targets.select(F.col("target_fid").alias("fid")), "fid", "left_semi")
     if filters.held_token is not None:
-        book = address_book(tables.fids, tables.verifications)
-        found = found.join(token_holders(book, tables.wallet_activity, filters.held_token), "fid", "left_semi")
+        found = found.join(_holders(tables, addresses, filters.held_token), "fid", "left_semi")
     return _sorted_top(found.select(*users.columns), filters.sort_by, "fid", limit)
 
 
@@ -117,6 +128,7 @@ def trending_channels(
     tables: SocialTables,
     filters: ChannelFilters,
     limit: int = RESULT_LIMIT,
+    addresses: DataFrame | None = None,
     keep: Callable[[DataFrame, str], DataFrame] = as_is,
 ) -> DataFrame:
     """``channels`` is the mart without member lists: people are looked up in the bridge
@@ -128,8 +140,7 @@ def trending_channels(
         theirs = members.join(person, "fid", "left_semi").select("parent_url")
         found = found.join(theirs, "parent_url", "left_semi")
     if filters.held_token is not None:
-        book = address_book(tables.fids, tables.verifications)
-        holders = token_holders(book, tables.wallet_activity, filters.held_token)
+        holders = _holders(tables, addresses, filters.held_token)
         held_in = salted_join(members, holders, ["fid"], "left_semi", spread_by=["parent_url"])
         found = found.join(held_in.select("parent_url").distinct(), "parent_url", "left_semi")
     top = keep(_sorted_top(found.select(*channels.columns), filters.sort_by, "parent_url", limit), "trending_channels")

@@ -66,17 +66,20 @@ def users_mart(
     settings: Settings = Settings(),
     engaged: DataFrame | None = None,
     linked: DataFrame | None = None,
+    addresses: DataFrame | None = None,
     ordered: bool = True,
 ) -> DataFrame:
-    """``engaged`` and ``linked`` pass in stored ``engaged_casts`` and ``linked_posts`` rows;
-    ``ordered`` sorts by followers."""
+    """``engaged``, ``linked`` and ``addresses`` pass in stored rows of ``engaged_casts``,
+    ``linked_posts`` and ``address_book``; ``ordered`` sorts by followers."""
     if engaged is None:
         engaged = engaged_casts(tables.casts, tables.reactions, clock)
     activity = user_activity(user_channel_activity(engaged, settings), tables.early_channels)
     if linked is None:
         linked = linked_posts(tables.casts, clock)
     domains = top_domains(linked, F.col("fid"), "fid", settings.ignored_domains)
-    wallets = wallet_totals(address_book(tables.fids, tables.verifications), tables.wallet_activity)
+    if addresses is None:
+        addresses = address_book(tables.fids, tables.verifications)
+    wallets = wallet_totals(addresses, tables.wallet_activity)
     # Rows that differ in addresses only are kept apart where the table has that column.
     details = [c for c in ("fid", "fname", "verified_addresses") if c in tables.profiles.columns]
     profiles = tables.profiles.select(*details).distinct().select("fid", "fname")

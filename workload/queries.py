@@ -14,7 +14,7 @@ from flockmetrics.operators.joins import dimension_join, heavy_key_join
 from flockmetrics.operators.lists import distinct_list, ordered_list, top_k_list
 from flockmetrics.operators.rollups import followers, reactions_received, replies_received
 from flockmetrics.operators.wallets import address_book, token_holders, wallet_totals
-from flockmetrics.plans import channels, tiers, trending, users, words
+from flockmetrics.plans import channels, trending, users, words
 from flockmetrics.plans.book import MartBook, preview
 from flockmetrics.plans.trending import ChannelFilters, UserFilters
 from flockmetrics.settings import IGNORED_DOMAINS, SPACER, Settings
@@ -513,19 +513,19 @@ def address_books(b):
 
 @registered
 def wallet_stats(b):
-    return wallet_totals(address_book(b.tables.fids, b.tables.verifications), b.tables.wallet_activity)
+    return wallet_totals(b.addresses, b.tables.wallet_activity)
 
 
 @registered
 def users_mart(b):
-    """The whole mart from its input tables, nothing stored in between."""
-    return users.users_mart(b.tables, b.clock, SAMPLE_SETTINGS)
+    """The whole mart from its input tables; only the parsed addresses are stored in between."""
+    return users.users_mart(b.tables, b.clock, SAMPLE_SETTINGS, addresses=b.addresses)
 
 
 @registered
 def users_mart_published_tiers(b):
     """The mart with its published thresholds."""
-    mart = users.users_mart(b.tables, b.clock, engaged=b.engaged, linked=b.linked)
+    mart = users.users_mart(b.tables, b.clock, engaged=b.engaged, linked=b.linked, addresses=b.addresses)
     return mart.select("fid", "fid_active_tier_name", "fid_active_tier", "fid_active_tier_last", "followers", "engagement")
 
 
@@ -660,7 +660,7 @@ def interaction_targets(b):
 
 @registered
 def holders_of_token(b):
-    return token_holders(address_book(b.tables.fids, b.tables.verifications), b.tables.wallet_activity, TOKEN)
+    return token_holders(b.addresses, b.tables.wallet_activity, TOKEN)
 
 
 @registered
