@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flockmetrics.llm import decontaminate, simhash
+from flockmetrics.llm import bpe, decontaminate, exact, simhash
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +19,17 @@ def _sha256(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
 
 
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    return bpe.with_codes(docs, public_tokenizers.path("word_bpe_49k.json"), "codes", digests=True).select(
+        "doc_id", "codes.n_tokens", F.col("codes.ids").alias("ids_sha256"), F.col("codes.decoded").alias("decoded_sha256")
+    )
+
+
+def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.groups(_read(spark, sf_dir, "documents")).drop("n_chars")
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.classes(_read(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("f"), 16, "0")).alias("fingerprint"), "component_id")
@@ -31,6 +43,8 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_bpe": op2_bpe,
+    "op5_exact_dedup": op5_exact_dedup,
     "op9_simhash": op9_simhash,
     "op10_decontaminate": op10_decontaminate,
 }
@@ -40,6 +54,16 @@ _WORDS = r"""list_filter(string_split(regexp_replace(translate(coalesce(text, ''
     lambda x: x <> '')"""
 
 ORACLE: dict[str, str] = {
+    "op5_exact_dedup": r"""
+with d as (
+  select doc_id, length(coalesce(text, '')) as n,
+    regexp_replace(coalesce(text, ''), '[ \x09-\x0D]', '', 'g') as norm from documents
+),
+r as (select *, row_number() over (partition by norm order by n desc, doc_id) as nth from d)
+select doc_id, first_value(doc_id) over (partition by norm order by nth) as keep_id,
+  count(*) over (partition by norm) as group_size, nth = 1 as kept, sha256(norm) as text_sha256
+from r
+""",
     "op10_decontaminate": f"""
 with d as (select row_number() over () as rid, doc_id, {_WORDS} as w from documents),
 i as (select cast(item_id as varchar) as item, {_WORDS} as w from benchmark),
