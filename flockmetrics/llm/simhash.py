@@ -20,7 +20,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flockmetrics.llm.components import components
@@ -123,20 +123,23 @@ def _edges_of_sorted(bits: int):
     return run
 
 
+def _ball(number: int, half: Column) -> Column:
+    """Rows (key, filed) of one half: its own key, and its key with one set bit cleared at a time."""
+    key = half.bitwiseOR(F.lit(number << 32))
+
+    def cleared(bit: Column) -> Column:
+        mask = F.call_function("shiftleft", F.lit(1).cast("long"), bit)
+        return F.struct(key.bitwiseXOR(mask).alias("key"), F.lit(0).alias("filed"))
+
+    set_bits = F.filter(F.sequence(F.lit(0), F.lit(31)), lambda bit: F.getbit(half, bit) == 1)
+    return F.concat(F.array(F.struct(key.alias("key"), F.lit(1).alias("filed"))), F.transform(set_bits, cleared))
+
+
 def _filed_and_probed(prints: DataFrame) -> DataFrame:
     """(key, f, filed): each fingerprint under both halves, and under each with one set bit cleared."""
     halves = [F.shiftrightunsigned("f", 32), F.col("f").bitwiseAND(F.lit(0xFFFFFFFF))]
-    rows = []
-    for number, half in enumerate(halves):
-        key = half.bitwiseOR(F.lit(number << 32))
-        set_bits = F.filter(F.sequence(F.lit(0), F.lit(31)), lambda b, half=half: F.getbit(half, b) == 1)
-
-        def cleared(b, key=key):
-            bit = F.call_function("shiftleft", F.lit(1).cast("long"), b)
-            return F.struct(key.bitwiseXOR(bit).alias("key"), F.lit(0).alias("filed"))
-
-        rows.append(F.concat(F.array(F.struct(key.alias("key"), F.lit(1).alias("filed"))), F.transform(set_bits, cleared)))
-    return prints.select("f", F.explode(F.concat(*rows)).alias("row")).select("row.key", "f", "row.filed")
+    rows = F.concat(*[_ball(number, half) for number, half in enumerate(halves)])
+    return prints.select("f", F.explode(rows).alias("row")).select("row.key", "f", "row.filed")
 
 
 def links(prints: DataFrame, bits: int = BITS, full: int = FULL) -> DataFrame:
