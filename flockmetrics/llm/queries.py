@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flockmetrics.llm import bpe, decontaminate, exact, simhash
+from flockmetrics.llm import bpe, decontaminate, exact, langid, package, pii, quality, secrets, simhash
+from flockmetrics.llm.texts import fold
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +20,35 @@ def _sha256(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
 
 
+def _base_digest(spans: str, base: tuple[str, ...]) -> Column:
+    return _sha256(pii.as_text(F.filter(spans, lambda s: s["kind"].isin(*base)))).alias("base_sha256")
+
+
+def _counts(spans: str, kinds: tuple[str, ...]) -> list[Column]:
+    found = F.transform(spans, lambda s: s["kind"])
+    return [F.size(F.filter(found, F.lit(kind).__eq__)).cast("long").alias(f"n_{kind}") for kind in kinds]
+
+
+#: Of the crc32 folds, the one whose labels are never learnt.
+QUALITY_FOLDS, QUALITY_HELD_OUT, QUALITY_THRESHOLD = 5, 0, 0.3
+LANGUAGE_FOLDS, LANGUAGE_HELD_OUT = 3, 1
+
+
+def quality_model(spark: SparkSession, sf_dir: str) -> quality.Model:
+    docs, labels = (_read(spark, sf_dir, name) for name in ("documents", "labels"))
+    return quality.learn(docs, labels.filter(fold("doc_id", QUALITY_FOLDS) != QUALITY_HELD_OUT))
+
+
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.with_score(docs, quality_model(spark, sf_dir)).select(
+        "doc_id",
+        (fold("doc_id", QUALITY_FOLDS) == QUALITY_HELD_OUT).alias("held_out"),
+        "score",
+        (F.col("score") >= QUALITY_THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     return bpe.with_codes(docs, public_tokenizers.path("word_bpe_49k.json"), "codes", digests=True).select(
@@ -26,10 +56,30 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.with_spans(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", *_counts("spans", pii.BASE), _base_digest("spans", pii.BASE), pii.as_text(F.col("spans")).alias("spans"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.groups(_read(spark, sf_dir, "documents")).drop("n_chars")
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secrets.with_spans(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return found.select("doc_id", *_counts("spans", secrets.BASE), _base_digest("spans", secrets.BASE), pii.as_text(F.col("spans")).alias("spans"))
+
+
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = fold("doc_id", LANGUAGE_FOLDS) == LANGUAGE_HELD_OUT
+    model = langid.learn(docs.filter(~held_out))
+    return langid.with_language(docs.select("doc_id", "text"), model).select(
+        "doc_id", held_out.alias("held_out"), F.col("language.lang").alias("lang_pred"), F.col("language.score").alias("score")
+    )
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.classes(_read(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("f"), 16, "0")).alias("fingerprint"), "component_id")
@@ -43,8 +93,12 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality": op1_quality,
     "op2_bpe": op2_bpe,
+    "op3_pii": op3_pii,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_secrets": op6_secrets,
+    "op7_language": op7_language,
     "op9_simhash": op9_simhash,
     "op10_decontaminate": op10_decontaminate,
 }
@@ -85,8 +139,16 @@ from d left join hit_words using (rid) left join hit_items using (rid)
 }
 
 
+def _sent(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        package.send(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(QUERIES)
+    return {name: _sent(query) for name, query in QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
