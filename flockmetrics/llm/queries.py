@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flockmetrics.llm import bpe, decontaminate, exact, langid, package, pii, quality, secrets, simhash
+from flockmetrics.llm import bpe, decontaminate, exact, langid, package, pii, quality, repeats, secrets, simhash
 from flockmetrics.llm.texts import fold
 
 
@@ -80,6 +80,13 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    return repeats.without_repeats(docs, "result", digest=True).select(
+        "doc_id", "result.n_bytes", "result.n_removed", "result.n_spans", F.col("result.kept").alias("kept_sha256")
+    )
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.classes(_read(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("f"), 16, "0")).alias("fingerprint"), "component_id")
@@ -92,6 +99,13 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # The module reads this one's parameters.
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_bpe": op2_bpe,
@@ -99,8 +113,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_exact_dedup": op5_exact_dedup,
     "op6_secrets": op6_secrets,
     "op7_language": op7_language,
+    "op8_repeats": op8_repeats,
     "op9_simhash": op9_simhash,
     "op10_decontaminate": op10_decontaminate,
+    "pipeline": pipeline,
 }
 
 _WORDS = r"""list_filter(string_split(regexp_replace(translate(coalesce(text, ''),

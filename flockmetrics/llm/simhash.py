@@ -160,31 +160,45 @@ def links(prints: DataFrame, bits: int = BITS, full: int = FULL) -> DataFrame:
     )
 
 
-def classes(docs: DataFrame, size: int = SHINGLE, bits: int = BITS, full: int = FULL) -> DataFrame:
-    """(doc_id, f, component_id): one row per document; the id is the smallest reachable."""
-    prints = store(with_fingerprint(docs.select("doc_id", "text"), "text", "f", size).select("doc_id", "f"), "fingerprints")
+def _labelled(docs: DataFrame, size: int, bits: int, full: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, mark, f) of every row, and (f, first) of every fingerprint: the first row of its class.
+
+    Rows are in order of (id, nulls last; hash of the text).
+    """
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("mark"))
+    prints = store(with_fingerprint(rows, "text", "f", size).select("doc_id", "mark", "f"), "fingerprints")
     # Copies meet here once; what follows is as large as the number of different fingerprints.
-    distinct = store(prints.groupBy("f").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "mark")
+    distinct = store(prints.groupBy("f").agg(F.min(row).alias("first")), "distinct-fingerprints")
     member = components(links(distinct.select("f"), bits, full))
-    labelled = distinct.join(member, distinct["f"] == member["node"], "left").select(
-        "f", "least", F.coalesce("component", "f").alias("component")
-    )
-    least = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
-    by_print = store(labelled.select("f", "component").join(least, "component", "left").select("f", "component_id"), "fingerprint-classes")
-    if fits_broadcast(by_print):
-        return prints.join(F.broadcast(by_print), "f", "left").select("doc_id", "f", "component_id")
-    spread = prints.withColumn("_spread", F.xxhash64("doc_id"))
-    return heavy_key_join(spread, by_print, "f", "left", ["_spread"]).select("doc_id", "f", "component_id")
+    own = distinct.join(member, distinct["f"] == member["node"], "left").select("f", "first", F.coalesce("component", "f").alias("component"))
+    firsts = own.groupBy("component").agg(F.min("first").alias("first"))
+    return prints, store(own.select("f", "component").join(firsts, "component").select("f", "first"), "classes")
+
+
+def classes(docs: DataFrame, size: int = SHINGLE, bits: int = BITS, full: int = FULL) -> DataFrame:
+    """(doc_id, f, component_id): one row per document; the id is the smallest reachable."""
+    prints, firsts = _labelled(docs, size, bits, full)
+    labels = firsts.select("f", F.col("first.doc_id").alias("component_id"))
+    if fits_broadcast(labels):
+        joined = prints.join(F.broadcast(labels), "f")
+    else:
+        # One fingerprint may hold a third of all rows.
+        joined = heavy_key_join(prints.withColumn("_spread", F.xxhash64("doc_id")), labels, "f", "inner", ["_spread"])
+    return joined.select("doc_id", "f", "component_id")
 
 
-def without_near_copies(docs: DataFrame, size: int = SHINGLE, bits: int = BITS) -> DataFrame:
-    """One document of each component, the one with the smallest id; all columns as they were.
+def without_near_copies(docs: DataFrame, size: int = SHINGLE, bits: int = BITS, full: int = FULL) -> DataFrame:
+    """One document of each component, the first by id (nulls last) and text hash; all columns as they were.
 
-    Of rows that repeat this id one stays, that with the smallest text hash; ids that are null
-    stay only if the whole component has none.
+    Of rows that repeat this id and text one stays.
     """
-    found = classes(docs, size, bits)
-    keep = store(found.select(F.col("component_id").alias("_keep")).distinct(), "kept-ids")
-    keep = F.broadcast(keep) if fits_broadcast(keep) else keep
-    chosen = docs.join(keep, F.col("doc_id").eqNullSafe(F.col("_keep")), "left_semi")
-    return chosen.dropDuplicates(["doc_id"])
+    prints, firsts = _labelled(docs, size, bits, full)
+    keep = store(firsts.select(F.col("first.doc_id").alias("_keep_id"), F.col("first.mark").alias("_keep_mark")).distinct(), "kept")
+    same = F.col("doc_id").eqNullSafe(F.col("_keep_id")) & (F.col("_mark") == F.col("_keep_mark"))
+    kept = F.broadcast(keep) if fits_broadcast(keep) else keep
+    chosen = docs.withColumn("_mark", F.xxhash64("text")).join(kept, same, "left_semi")
+    repeated = prints.groupBy("doc_id", "mark").count().filter("count > 1")
+    if not repeated.isEmpty():
+        chosen = chosen.dropDuplicates(["doc_id", "_mark"])
+    return chosen.drop("_mark")
