@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flockmetrics.llm import bpe, decontaminate, exact, langid, package, pii, quality, repeats, secrets, simhash
+from flockmetrics.llm import bpe, decontaminate, exact, langid, package, pii, quality, repeats, secrets, simhash, token_counts
 from flockmetrics.llm.texts import fold
+from flockmetrics.operators.joins import fits_broadcast
+from flockmetrics.sources.stored import shared_folder, store
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,6 +64,31 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *_counts("spans", pii.BASE), _base_digest("spans", pii.BASE), pii.as_text(F.col("spans")).alias("spans"))
 
 
+def change_feed(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    """Every document arrives; then those labelled poor are cleaned of signs and those labelled toxic are taken down."""
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+    labels = _read(spark, sf_dir, "labels").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
+    poor = store(labels.filter("quality = 0").select("doc_id"), "poor")
+    poor = F.broadcast(poor) if fits_broadcast(poor) else poor
+    cleaned = docs.join(poor, "doc_id", "left_semi").withColumn("text", F.translate("text", "!#$%&*|", ""))
+    gone = labels.filter("toxic = 1").select(
+        "doc_id", F.lit("delete").alias("op"), F.lit(2).alias("seq"), *[F.lit(None).cast("string").alias(c) for c in ("source", "lang", "text")]
+    )
+    revised = cleaned.select("*", F.lit("upsert").alias("op"), F.lit(1).alias("seq")).unionByName(gone)
+    return [docs.select("*", F.lit("upsert").alias("op"), F.lit(0).alias("seq")), revised]
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    versions = {"words": token_counts.pattern_tokens(token_counts.WORDS), "pieces": token_counts.pattern_tokens(token_counts.PIECES)}
+    rollups = token_counts.TokenRollups(spark, f"{shared_folder(spark)}/token-counts-{uuid.uuid4().hex}", versions)
+    arrivals, revisions = change_feed(spark, sf_dir)
+    rollups.commit(1, arrivals)
+    rollups.commit(2, revisions)
+    # A batch that is delivered twice counts once.
+    rollups.commit(2, revisions)
+    return rollups.totals()
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.groups(_read(spark, sf_dir, "documents")).drop("n_chars")
 
@@ -110,6 +138,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_bpe": op2_bpe,
     "op3_pii": op3_pii,
+    "op4_token_counts": op4_token_counts,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_secrets": op6_secrets,
     "op7_language": op7_language,
@@ -124,6 +153,20 @@ _WORDS = r"""list_filter(string_split(regexp_replace(translate(coalesce(text, ''
     lambda x: x <> '')"""
 
 ORACLE: dict[str, str] = {
+    "op4_token_counts": r"""
+with l as (select doc_id, min(quality) as quality, max(toxic) as toxic from labels group by doc_id),
+d as (
+  select source, lang, case when l.quality = 0 then translate(text, '!#$%&*|', '') else text end as text
+  from documents left join l using (doc_id) where coalesce(l.toxic, 0) <> 1
+),
+t as (
+  select source, lang, 'words' as version, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as n from d
+  union all
+  select source, lang, 'pieces', len(regexp_extract_all(coalesce(text, ''),
+    '[A-Za-z\x{80}-\x{10FFFF}]+|[0-9]|[^A-Za-z0-9\x{80}-\x{10FFFF}\x20\x09-\x0D]+')) from d
+)
+select source, lang, version, count(*) as docs, sum(n)::bigint as tokens from t group by all
+""",
     "op5_exact_dedup": r"""
 with d as (
   select doc_id, length(coalesce(text, '')) as n,
