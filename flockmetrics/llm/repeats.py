@@ -245,7 +245,7 @@ def _maybe_broadcast(df: DataFrame) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame, size: int = SIZE, lead: int = LEAD, crowd: int = CROWD) -> DataFrame:
-    """(_id, _mark, spans): for keyed documents with repeated bytes, "start:end" joined by commas, unmerged."""
+    """(_id, _mark, _spans): for keyed documents with repeated bytes, "start:end" joined by commas, unmerged."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     schema = "_id string, _mark long, pos int, lead long, context binary"
@@ -281,7 +281,7 @@ def repeated_spans(docs: DataFrame, size: int = SIZE, lead: int = LEAD, crowd: i
     reach = store(met.union(whole).groupBy("context").agg(F.max("l").alias("l"), F.max("r").alias("r")), "reaches")
     start, end = F.greatest(F.col("pos") - F.col("l"), F.lit(0)), F.col("pos") + F.col("r")
     spans = chosen.join(_maybe_broadcast(reach), "context").select(*_KEYS, F.concat_ws(":", start, end).alias("span"))
-    return spans.distinct().groupBy(*_KEYS).agg(F.array_join(F.collect_list("span"), ",").alias("spans"))
+    return spans.distinct().groupBy(*_KEYS).agg(F.array_join(F.collect_list("span"), ",").alias("_spans"))
 
 
 def _kept(raw: bytes, spans) -> tuple[bytes, int, int]:
@@ -314,5 +314,5 @@ def without_repeats(docs: DataFrame, name: str = "result", digest: bool = False,
             yield pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "kept"])
 
     joined = keyed.join(_maybe_broadcast(spans), list(_KEYS), "left")
-    result: Column = apply.asNondeterministic()("text", "spans")
-    return joined.withColumn(name, result).drop(*_KEYS, "spans")
+    result: Column = apply.asNondeterministic()("text", "_spans")
+    return joined.withColumn(name, result).drop(*_KEYS, "_spans")
