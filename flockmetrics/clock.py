@@ -15,7 +15,7 @@ class Clock:
 
     ``as_of`` has no zone: it is read in the session time zone for TIMESTAMP columns and
     literally for TIMESTAMP_NTZ columns. With ``replay`` (the default) rows created after
-    ``as_of`` are ignored, so a past day can be recomputed; without it the windows are open
+    ``as_of`` are ignored and later deletions have not happened, so a past day can be recomputed; without it the windows are open
     at the top, as they are when ``as_of`` is the present.
     """
 

@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from flockmetrics.settings import ADDRESS_PATTERN, LINK_PATTERN, PUNCTUATION, TAG_PATTERN
 
-# White space other than a plain space, next to a space or an end of the text. Words are cut at
-# plain spaces, so removing it once from the whole text trims every word.
-_EDGE_WHITESPACE = r"[\t\n\x0B\f\r]+(?= |\z)|(?<=\A| )[\t\n\x0B\f\r]+"
+# White space other than a plain space (no-break spaces are not white space), next to a space or an
+# end of the text. Words are cut at plain spaces, so removing it once from the whole text trims
+# every word.
+_WHITE = r"\t-\r\x1C-\x1F\x{1680}\x{2000}-\x{2006}\x{2008}-\x{200A}\x{2028}\x{2029}\x{205F}\x{3000}"
+_EDGE_WHITESPACE = rf"[{_WHITE}]+(?= |\z)|(?<=\A| )[{_WHITE}]+"
 
 
 def clean_text(text: Column, punctuation: str = PUNCTUATION) -> Column:

@@ -7,38 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SALTS = 32
-NARROW_SALTS = 128
 HEAVY_PARTS = 1_000
 LEAST_HEAVY_ROWS = 100_000
 BROADCAST_ROWS = 1_000_000
 BROADCAST_BYTES = 32 * 1024 * 1024
 
 
-def salted_join(
-    big: DataFrame,
-    small: DataFrame,
-    on: Sequence[str],
-    how: str,
-    spread_by: Sequence[str],
-    salts: int = SALTS,
-) -> DataFrame:
-    """Equi join whose left keys, NULL included, are each spread over ``salts`` tasks.
-
-    ``spread_by`` names left columns that differ within one key. The right side is repeated
-    ``salts`` times, so pass it narrow. As the result is not partitioned by ``on`` alone, a
-    later aggregation shuffles anew, and adaptive execution stays free to split further any
-    salted part that is still too large.
-    """
-    salt = F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int")
-    every_salt = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
-    return (
-        big.withColumn("_salt", salt)
-        .join(small.withColumn("_salt", every_salt), [*on, "_salt"], how)
-        .drop("_salt")
-    )
-
-
 def heavy_key_join(
     big: DataFrame,
     small: DataFrame,
@@ -48,9 +22,10 @@ def heavy_key_join(
     parts: int = HEAVY_PARTS,
     least_rows: int = LEAST_HEAVY_ROWS,
 ) -> DataFrame:
-    """Like ``salted_join``, but only right rows of heavy keys are repeated: for a large right side.
+    """Equi join whose heavy left keys, NULL included, are spread over several tasks.
 
-    A key is heavy if it holds more than one ``parts``-th of the left rows, so there are fewer than
+    ``spread_by`` names left columns that differ within one key. Only right rows of heavy keys are
+    repeated, so the right side may be large. A key is heavy if it holds more than one ``parts``-th of the left rows, so there are fewer than
     ``parts`` heavy keys, whatever the data. Each is cut into pieces of about that size. The left
     keys are read once more to find them, so pass a plan that is cheap to read again.
     """
@@ -71,27 +46,31 @@ def heavy_key_join(
     return left.join(right, [on, "_salt"], how).drop("_salt")
 
 
-def _text_bytes(df: DataFrame) -> Column:
-    widths = [
-        F.coalesce(F.octet_length(name), F.lit(0)) if kind in ("string", "binary") else F.lit(8)
-        for name, kind in df.dtypes
-    ]
-    return sum(widths, F.lit(0).cast("long"))
+def _bytes(df: DataFrame) -> Column:
+    """Width of a row: texts by their length, lists and structures by that of their spelling."""
+
+    def width(name: str, kind: str) -> Column:
+        if kind in ("string", "binary"):
+            return F.coalesce(F.octet_length(name), F.lit(0))
+        if kind.startswith(("array", "map", "struct", "variant")):
+            return F.coalesce(F.octet_length(F.col(name).cast("string")), F.lit(0))
+        return F.lit(8)
+
+    return sum((width(name, kind) for name, kind in df.dtypes), F.lit(0).cast("long"))
 
 
 def fits_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
     """Whether the data, measured now, is small enough to copy to every executor."""
-    n, total = df.agg(F.count("*"), F.sum(_text_bytes(df))).first()
+    n, total = df.agg(F.count("*"), F.sum(_bytes(df))).first()
     return n <= rows and (total or 0) <= size
 
 
-def dimension_join(
-    big: DataFrame, dimension: DataFrame, on: Sequence[str], how: str, spread_by: Sequence[str]
-) -> DataFrame:
-    """Join to a reference table: copied to every executor if it is measured to be small, salted if not.
+def dimension_join(big: DataFrame, dimension: DataFrame, on: str, how: str, spread_by: Sequence[str]) -> DataFrame:
+    """Join to a reference table: copied to every executor if it is measured to be small, otherwise
+    a shuffle that cuts only heavy keys.
 
     Measuring runs a job over ``dimension``, so pass a stored table rather than a long plan.
     """
     if fits_broadcast(dimension):
-        return big.join(F.broadcast(dimension), list(on), how)
-    return salted_join(big, dimension, on, how, spread_by, NARROW_SALTS)
+        return big.join(F.broadcast(dimension), on, how)
+    return heavy_key_join(big, dimension, on, how, spread_by)

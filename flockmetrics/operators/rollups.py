@@ -14,7 +14,7 @@ LIKE, RECAST = 1, 2
 
 def followers(links: DataFrame, clock: Clock) -> DataFrame:
     """All undeleted follows per followed account, and those of the last week."""
-    kept = rows_up_to_now(links, clock).filter(not_deleted())
+    kept = rows_up_to_now(links, clock).filter(not_deleted(links, clock))
     return kept.groupBy(F.col("target_fid").alias("fid")).agg(
         F.count("*").alias("followers"),
         count_where(clock.this_week(links)).alias("wow_followers"),

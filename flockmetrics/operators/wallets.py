@@ -6,8 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flockmetrics.functions.chain import address_bytes, claim_address, holds_token
-from flockmetrics.operators.joins import heavy_key_join, salted_join
-from flockmetrics.operators.lists import ordered_list
+from flockmetrics.operators.joins import heavy_key_join
 
 
 def address_book(fids: DataFrame, verifications: DataFrame) -> DataFrame:
@@ -18,11 +17,11 @@ def address_book(fids: DataFrame, verifications: DataFrame) -> DataFrame:
 
 
 def wallet_totals(book: DataFrame, wallet_activity: DataFrame) -> DataFrame:
-    """On-chain totals and the list of addresses per person.
+    """On-chain totals and the list of addresses per person, repeats and NULLs included.
 
-    ``book`` is read several times, so store it where claims are many.
-    Unreadable addresses share the NULL key and one address may be claimed by many people, hence
-    the join that spreads heavy keys.
+    ``book`` is read several times, so store it where claims are many. Claims are counted per
+    person and address first, so a person with very many broken or equal claims is one row; an
+    address claimed by many people is spread over them. The list is made apart from the sums.
     """
     totals = wallet_activity.select(
         F.col("wallet").alias("address"),
@@ -30,20 +29,34 @@ def wallet_totals(book: DataFrame, wallet_activity: DataFrame) -> DataFrame:
         (F.col("nft_volume_usd") + F.col("dex_volume_usd")).alias("volume"),
         "contracts_deployed",
     )
-    return (
-        heavy_key_join(book, totals, "address", "left", spread_by=["fid"])
+    pairs = book.filter(F.col("address").isNotNull()).groupBy("fid", "address").agg(F.count("*").alias("claims"))
+    sums = (
+        heavy_key_join(pairs, totals, "address", "inner", spread_by=["fid"])
         .groupBy("fid")
         .agg(
-            F.sum("txs").alias("total_transactions"),
-            F.sum("volume").alias("trading_volume_usd"),
-            F.sum("contracts_deployed").alias("contracts_deployed"),
-            ordered_list([], F.col("address")).alias("addresses"),
+            F.sum(F.col("txs") * F.col("claims")).alias("total_transactions"),
+            F.sum(F.col("volume") * F.col("claims")).alias("trading_volume_usd"),
+            F.sum(F.col("contracts_deployed") * F.col("claims")).alias("contracts_deployed"),
         )
     )
+    return address_lists(book).join(sums, "fid", "left").select(
+        "fid", "total_transactions", "trading_volume_usd", "contracts_deployed", "addresses"
+    )
+
+
+def address_lists(book: DataFrame) -> DataFrame:
+    """Every claim of a person in one list. Claims are counted before they meet; the cell itself is
+    as long as the person has claims."""
+    counted = book.groupBy("fid", "address").agg(F.count("*").cast("int").alias("claims"))
+    entry = F.struct(F.col("address").alias("v"), "claims")
+    lists = counted.groupBy("fid").agg(F.sort_array(F.collect_list(entry)).alias("_each"))
+    repeated = F.flatten(F.transform("_each", lambda e: F.array_repeat(e["v"], e["claims"])))
+    return lists.select("fid", repeated.alias("addresses"))
 
 
 def token_holders(book: DataFrame, wallet_activity: DataFrame, token: str) -> DataFrame:
     """People with a wallet holding the given token or collection; nobody for unreadable hex."""
     holding = holds_token(F.col("erc20_addresses"), F.col("nft_addresses"), address_bytes(F.lit(token)))
     wallets = wallet_activity.filter(holding).select(F.col("wallet").alias("address")).distinct()
-    return salted_join(book, wallets, ["address"], "left_semi", spread_by=["fid"]).select("fid").distinct()
+    readable = book.filter(F.col("address").isNotNull())
+    return heavy_key_join(readable, wallets, "address", "left_semi", spread_by=["fid"]).select("fid").distinct()

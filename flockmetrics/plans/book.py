@@ -95,7 +95,9 @@ class MartBook:
         )
 
     def trending_users(self, filters: UserFilters) -> DataFrame:
-        return trending_users(self.stored_users, self.tables, self.clock, filters, addresses=self.addresses)
+        return trending_users(
+            self.stored_users, self.tables, self.clock, filters, addresses=self.addresses, keep=self.keep
+        )
 
     def trending_channels(self, filters: ChannelFilters) -> DataFrame:
         return trending_channels(

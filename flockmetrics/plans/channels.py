@@ -19,7 +19,6 @@ from flockmetrics.functions.scores import (
     weighted_score,
 )
 from flockmetrics.operators.domains import linked_posts, top_domains
-from flockmetrics.operators.joins import dimension_join, salted_join
 from flockmetrics.operators.lists import distinct_list, top_k_list
 from flockmetrics.operators.rollups import engaged_casts
 from flockmetrics.settings import CHANNEL_URL, SPACER, Settings
@@ -68,7 +67,8 @@ def caster_summary(activity: DataFrame, users: DataFrame) -> DataFrame:
     standing = users.groupBy("fid", *USER_DETAILS).agg(F.count("*").alias("copies"))
     first = F.row_number().over(Window.partitionBy("fid").orderBy(*USER_DETAILS)) == 1
     standing = standing.withColumn("counted", first)
-    joined = salted_join(activity, standing, ["fid"], "left", spread_by=["parent_url"])
+    # An author has one row per channel, so no author holds many.
+    joined = activity.join(standing, "fid", "left")
     copies = F.coalesce("copies", F.lit(1))
     return (
         joined.withColumn("counted", F.coalesce("counted", F.lit(True)))
@@ -104,6 +104,19 @@ def channel_cast_stats(summary: DataFrame, settings: Settings = Settings()) -> D
     return summary.groupBy("parent_url").agg(*measures)
 
 
+def sketched_counts(posts: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """Per channel: posts, replies and authors of both weeks, counted by sketches."""
+    measures = []
+    for week, suffix in WEEKS:
+        kinds = {
+            "rolling_casts": F.when(F.col(week) & F.col("is_top_level"), F.col("hash")),
+            "rolling_replies": F.when(F.col(week) & ~F.col("is_top_level"), F.col("hash")),
+            "casters": F.when(F.col(week), F.col("fid")),
+        }
+        measures += [F.approx_count_distinct(kind, settings.sketch_error).alias(name + suffix) for name, kind in kinds.items()]
+    return posts.groupBy("parent_url").agg(*measures)
+
+
 def top_casters(summary: DataFrame, k: int = 10) -> DataFrame:
     order = [F.col("casts_in_channel").desc(), F.col("fname").asc_nulls_last(), F.col("fid").asc()]
     return top_k_list(summary, ["parent_url"], order, "fname", k, "top_casters")
@@ -126,7 +139,7 @@ def channel_members(casts: DataFrame, clock: Clock) -> DataFrame:
 
     Filters look members up here; the list column of the mart is for display.
     """
-    kept = rows_up_to_now(casts, clock).filter(not_deleted() & in_channel())
+    kept = rows_up_to_now(casts, clock).filter(not_deleted(casts, clock) & in_channel())
     return kept.groupBy(thread_channel_key().alias("parent_url"), "fid").agg(
         F.min("created_at").alias("first_cast_at")
     )
@@ -198,7 +211,7 @@ def channels_mart(
         .join(influential_casters(summary), "parent_url", "left")
         .join(channel_domains(linked, settings), "parent_url", "left")
     )
-    named = dimension_join(joined, slugs, ["parent_url"], "left", spread_by=["parent_url"])
+    named = joined.join(slugs, "parent_url", "left")
 
     # A channel without a post in two weeks has counted 0 posts and casters, but no sums.
     counts = [name + suffix for name in ("rolling_casts", "rolling_replies", "casters") for _, suffix in WEEKS]

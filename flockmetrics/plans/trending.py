@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from flockmetrics.clock import Clock
 from flockmetrics.functions.text import contains_text
-from flockmetrics.operators.joins import salted_join
+from flockmetrics.operators.joins import fits_broadcast, heavy_key_join
 from flockmetrics.operators.wallets import address_book, token_holders
 from flockmetrics.plans.channels import as_is, with_member_lists
 from flockmetrics.settings import RESULT_LIMIT
@@ -66,20 +66,34 @@ def fid_of_name(profiles: DataFrame, name: str) -> DataFrame:
     return profiles.filter(F.col("fname") == name).agg(F.min("fid").alias("fid"))
 
 
-def interaction_targets(tables: SocialTables, clock: Clock, name: str) -> DataFrame:
-    """Whom a user replied to, followed and reacted to in the activity window, tagged by action."""
+def reply_targets(replies: DataFrame, casts: DataFrame) -> DataFrame:
+    """Replies with ``target_fid``: who wrote the post ``parent_hash`` that is answered directly, NULL
+    when it is unknown.
+
+    ``replies`` is read twice. If they are few they go to the posts, so that all posts ever are
+    scanned but not shuffled.
+    """
+    wanted = replies.select(F.col("parent_hash").alias("hash"))
+    wanted = F.broadcast(wanted) if fits_broadcast(wanted) else wanted
+    parents = casts.select("hash", F.col("fid").alias("target_fid")).join(wanted, "hash", "left_semi")
+    parents = parents.withColumnRenamed("hash", "parent_hash")
+    return heavy_key_join(replies, parents, "parent_hash", "left", spread_by=["fid"])
+
+
+def interaction_targets(
+    tables: SocialTables, clock: Clock, name: str, keep: Callable[[DataFrame, str], DataFrame] = as_is
+) -> DataFrame:
+    """Whom a user replied to, followed and reacted to in the activity window, tagged by action.
+
+    ``keep(df, name)`` may store the user's replies, which are read twice.
+    """
     person = F.broadcast(fid_of_name(tables.profiles, name))  # a global aggregate: one row
 
     def done_by_person(df: DataFrame) -> DataFrame:
         return live_rows(df, clock).join(person, "fid", "left_semi")
 
-    replies = done_by_person(tables.casts).select("fid", F.col("parent_hash").alias("hash")).distinct()
-    # All posts ever are searched for the parents, so they are first cut down to those needed.
-    parents = (
-        tables.casts.select("hash", F.col("fid").alias("target_fid"))
-        .join(replies.select("hash"), "hash", "left_semi")
-    )
-    replied = replies.join(parents, "hash", "left").select("fid", "target_fid").distinct()
+    replies = keep(done_by_person(tables.casts).select("fid", "parent_hash").distinct(), "replies")
+    replied = reply_targets(replies, tables.casts).select("fid", "target_fid").distinct()
     followed = done_by_person(tables.links).select("fid", "target_fid").distinct()
     reacted = done_by_person(tables.reactions).select("fid", "target_fid").distinct()
     reply, follow, react = (
@@ -107,13 +121,14 @@ def trending_users(
     filters: UserFilters,
     limit: int = RESULT_LIMIT,
     addresses: DataFrame | None = None,
+    keep: Callable[[DataFrame, str], DataFrame] = as_is,
 ) -> DataFrame:
     """``addresses`` passes in stored ``address_book`` rows, here and for channels."""
     found = users.filter(F.col("account_age") <= filters.max_age_days)
     if filters.channel is not None:
         found = found.filter(F.exists("all_channels", lambda name: contains_text(name, filters.channel)))
     if filters.tracked_user is not None:
-        targets = interaction_targets(tables, clock, filters.tracked_user)
+        targets = interaction_targets(tables, clock, filters.tracked_user, keep)
         if filters.action != ALL:
             targets = targets.filter(F.col("action") == filters.action)
         found = found.join(targets.select(F.col("target_fid").alias("fid")), "fid", "left_semi")
@@ -141,7 +156,8 @@ def trending_channels(
         found = found.join(theirs, "parent_url", "left_semi")
     if filters.held_token is not None:
         holders = _holders(tables, addresses, filters.held_token)
-        held_in = salted_join(members, holders, ["fid"], "left_semi", spread_by=["parent_url"])
+        # A person has one row per channel, so no person holds many.
+        held_in = members.join(holders, "fid", "left_semi")
         found = found.join(held_in.select("parent_url").distinct(), "parent_url", "left_semi")
     top = keep(_sorted_top(found.select(*channels.columns), filters.sort_by, "parent_url", limit), "trending_channels")
     shown = members.join(top.select("parent_url"), "parent_url", "left_semi")

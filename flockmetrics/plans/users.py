@@ -14,7 +14,7 @@ from flockmetrics.operators.lists import ordered_list
 from flockmetrics.operators.rollups import engaged_casts, followers
 from flockmetrics.operators.wallets import address_book, wallet_totals
 from flockmetrics.settings import PROFILE_URL, SPACER, Settings
-from flockmetrics.sources.tables import SocialTables, channel_key
+from flockmetrics.sources.tables import SocialTables, channel_key, rows_up_to_now
 
 COUNTS = ("casts", "got_replies", "got_likes", "got_recasts")
 WEEKLY_COUNTS = (*COUNTS, *(f"{name}_last" for name in COUNTS))
@@ -43,7 +43,7 @@ def user_channel_activity(engaged: DataFrame, settings: Settings = Settings()) -
 def user_activity(per_channel: DataFrame, early_channels: DataFrame) -> DataFrame:
     """Sums over an author's channels and the channel names, most posts this week first."""
     slugs = early_channels.select("parent_url", "channel_id")
-    named = dimension_join(per_channel, slugs, ["parent_url"], "left", spread_by=["fid"])
+    named = dimension_join(per_channel, slugs, "parent_url", "left", spread_by=["fid"])
     name = channel_name(F.col("channel_id"), F.col("parent_url"))
     return named.groupBy("fid").agg(
         *(F.sum(count).alias(count) for count in WEEKLY_COUNTS),
@@ -83,7 +83,7 @@ def users_mart(
     # Rows that differ in addresses only are kept apart where the table has that column.
     details = [c for c in ("fid", "fname", "verified_addresses") if c in tables.profiles.columns]
     profiles = tables.profiles.select(*details).distinct().select("fid", "fname")
-    signed_up = tables.fids.select("fid", F.col("created_at").alias("signed_up_at"))
+    signed_up = rows_up_to_now(tables.fids, clock).select("fid", F.col("created_at").alias("signed_up_at"))
     now = clock.instant(tables.fids, "created_at")
 
     joined = (

@@ -25,9 +25,8 @@ def channel_posts(casts: DataFrame, authors: DataFrame, clock: Clock, channel: s
         posts = posts.filter(contains_text(F.col("parent_url"), channel))
     this_week = F.when(clock.this_week(casts), 1).otherwise(0).alias("this_week")
     slim = posts.select("hash", "fid", this_week, "text")
-    # Either way texts are not gathered by author: a small set of authors goes to the texts, and
-    # with a large one a prolific author's texts are spread by salt.
-    return dimension_join(slim, authors, ["fid"], "left_semi", spread_by=["hash"])
+    # A small set of authors goes to the texts; with a large one only prolific authors are cut up.
+    return dimension_join(slim, authors, "fid", "left_semi", spread_by=["hash"])
 
 
 def telling_words(posts: DataFrame, stopwords: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -35,7 +34,7 @@ def telling_words(posts: DataFrame, stopwords: DataFrame, settings: Settings = S
     words = posts.select("this_week", "fid", "hash", F.explode(words_of(F.col("text"), settings.punctuation)).alias("word"))
     words = words.filter(is_telling(F.col("word"), settings.common_words))
     stop = stopwords.select(F.regexp_replace("stopwords", settings.punctuation, "").alias("word")).distinct()
-    return dimension_join(words, stop, ["word"], "left_anti", spread_by=["hash"]).select("this_week", "fid", "word")
+    return dimension_join(words, stop, "word", "left_anti", spread_by=["hash"]).select("this_week", "fid", "word")
 
 
 def term_frequency(words: DataFrame) -> DataFrame:

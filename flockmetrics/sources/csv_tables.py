@@ -10,9 +10,15 @@ STOPWORDS_SCHEMA = T.StructType([T.StructField("stopwords", T.StringType())])
 
 
 def read_csv_table(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """CSV with a header line; every column is text unless a schema says otherwise."""
-    reader = spark.read.option("header", True)
-    return (reader.schema(schema) if schema else reader).csv(path)
+    """CSV with a header line; every column is text unless a schema says otherwise.
+
+    Quotes in a field are doubled, fields may hold line breaks, a backslash is itself, and a
+    byte-order mark is no part of the first name. As a line break may be inside a field, a file
+    is one task; reference files stay below 200 MB. A row that does not fit the header raises.
+    """
+    reader = spark.read.options(header=True, quote='"', escape='"', multiLine=True, mode="FAILFAST")
+    rows = (reader.schema(schema) if schema else reader).csv(path)
+    return rows.toDF(*[name.lstrip("\ufeff") for name in rows.columns])
 
 
 def table_name(file_name: str) -> str:
@@ -33,10 +39,15 @@ def csv_files(spark: SparkSession, folder: str) -> list[str]:
 
 def register_csv_folder(spark: SparkSession, folder: str, permanent: bool = False) -> dict[str, DataFrame]:
     """Every CSV file of a folder as a view, or table of the catalog, named after it; other files
-    are left alone."""
-    tables = {}
+    are left alone. Files whose names come to the same table raise."""
+    paths: dict[str, str] = {}
     for path in csv_files(spark, folder):
-        name = table_name(path.rsplit("/", 1)[-1].replace("%20", " "))
+        name = table_name(path.rsplit("/", 1)[-1])
+        if name in paths:
+            raise ValueError(f"{paths[name]} and {path} would both become table {name}")
+        paths[name] = path
+    tables = {}
+    for name, path in paths.items():
         rows = read_csv_table(spark, path)
         if permanent:
             rows.write.mode("overwrite").saveAsTable(name)

@@ -66,28 +66,34 @@ class SocialTables:
         return cls(**{name: spark.read.parquet(f"{folder}/{name}") for name in cls.names()})
 
 
-def not_deleted() -> Column:
-    return F.col("deleted_at").isNull()
+def not_deleted(df: DataFrame, clock: Clock) -> Column:
+    """Rows that stand; in a replay also those that were deleted only later."""
+    stands = F.col("deleted_at").isNull()
+    return stands | (F.col("deleted_at") > clock.instant(df, "deleted_at")) if clock.replay else stands
 
 
 def rows_up_to_now(df: DataFrame, clock: Clock) -> DataFrame:
-    """Rows created until now. A table laid out by ``created_day``, the date of ``created_at``,
-    does not read later days."""
-    if DAY in df.columns and clock.replay:
-        df = df.filter(F.col(DAY) <= F.to_date(clock.instant(df, "created_at")))
-    return df.filter(clock.up_to_now(df))
+    """Rows created until now, or at an unknown time. A table laid out by ``created_day``, the date
+    of ``created_at``, does not read later days."""
+    if not clock.replay:
+        return df
+    if DAY in df.columns:
+        df = df.filter(F.col(DAY).isNull() | (F.col(DAY) <= F.to_date(clock.instant(df, "created_at"))))
+    return df.filter(F.col("created_at").isNull() | clock.up_to_now(df))
 
 
 def rows_within(df: DataFrame, clock: Clock, days: int) -> DataFrame:
     """Rows of a trailing window; a table laid out by ``created_day`` reads no earlier days either."""
     if DAY in df.columns:
         df = df.filter(F.col(DAY) >= F.to_date(clock.instant(df, "created_at", days)))
-    return rows_up_to_now(df, clock).filter(clock.within(df, days))
+        if clock.replay:
+            df = df.filter(F.col(DAY) <= F.to_date(clock.instant(df, "created_at")))
+    return df.filter(clock.within(df, days))
 
 
 def live_rows(df: DataFrame, clock: Clock) -> DataFrame:
     """Undeleted rows of the activity window."""
-    return rows_within(df, clock, clock.active_days).filter(not_deleted())
+    return rows_within(df, clock, clock.active_days).filter(not_deleted(df, clock))
 
 
 def channel_key() -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from flockmetrics import Clock
 from flockmetrics.operators import joins
 from flockmetrics.operators.domains import linked_posts, top_domains
-from flockmetrics.operators.joins import dimension_join, fits_broadcast, heavy_key_join, salted_join
+from flockmetrics.operators.joins import dimension_join, fits_broadcast, heavy_key_join
 from flockmetrics.operators.lists import distinct_list, ordered_list, top_k_list
 from flockmetrics.operators.rollups import engaged_casts, followers, reactions_received, replies_received
 from flockmetrics.operators.wallets import address_book, token_holders, wallet_totals
@@ -21,16 +21,6 @@ def as_dicts(df):
     return sorted((row.asDict() for row in df.collect()), key=repr)
 
 
-@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
-def test_salted_join_equals_join(spark, how):
-    big = spark.createDataFrame([(k, v) for v in range(60) for k in (1, 2, None)], "k long, v long")
-    small = spark.createDataFrame([(1, "a"), (1, "b"), (None, "n"), (3, "c")], "k long, w string")
-    salted = salted_join(big, small, ["k"], how, spread_by=["v"], salts=4)
-    plain = big.join(small, ["k"], how)
-    assert salted.columns == plain.columns
-    assert as_dicts(salted) == as_dicts(plain)
-
-
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
 @pytest.mark.parametrize("least_rows", [1, 25, 1000])
 def test_heavy_key_join_equals_join(spark, how, least_rows):
@@ -56,24 +46,12 @@ def test_heavy_key_join_repeats_heavy_keys_only(spark):
     assert max(r["count"] for r in per_task) < 90
 
 
-def test_salted_join_spreads_a_hot_key(spark):
-    big = spark.range(1000).select(F.lit(7).alias("k"), F.col("id").alias("v"))
-    small = spark.createDataFrame([(7, 1)], "k int, w int").hint("merge")
-    spark.conf.set("spark.sql.adaptive.enabled", "false")
-    try:
-        joined = salted_join(big, small, ["k"], "left", spread_by=["v"])
-        tasks = joined.groupBy(F.spark_partition_id()).count().count()
-    finally:
-        spark.conf.set("spark.sql.adaptive.enabled", "true")
-    assert tasks > 1
-
-
 def test_dimension_join_same_with_and_without_broadcast(spark, monkeypatch):
     big = spark.createDataFrame([(k, v) for v in range(20) for k in ("a", "b", None)], "k string, v long")
     small = spark.createDataFrame([("a", 1), ("c", 2)], "k string, w long")
-    copied = dimension_join(big, small, ["k"], "left", ["v"])
+    copied = dimension_join(big, small, "k", "left", ["v"])
     monkeypatch.setattr(joins, "fits_broadcast", lambda df: False)
-    salted = dimension_join(big, small, ["k"], "left", ["v"])
+    salted = dimension_join(big, small, "k", "left", ["v"])
     assert "_salt" in salted._jdf.queryExecution().toString()
     assert "_salt" not in copied._jdf.queryExecution().toString()
     assert as_dicts(copied) == as_dicts(salted)
@@ -85,6 +63,9 @@ def test_fits_broadcast_measures_rows_and_bytes(spark):
     assert not fits_broadcast(df, rows=99)
     assert not fits_broadcast(df, size=5799)
     assert fits_broadcast(df.limit(0))
+    # Lists are measured, not taken for a number.
+    wide = df.select(F.array_repeat("s", 100).alias("list"))
+    assert not fits_broadcast(wide, size=100 * 100 * 50)
 
 
 def test_ordered_list_keeps_nulls_and_is_null_when_empty(spark):
@@ -267,3 +248,23 @@ def test_token_holders(on_chain, token, fids):
 def test_unreadable_token_is_held_by_nobody(on_chain):
     accounts, verifications, wallets = on_chain
     assert token_holders(address_book(accounts, verifications), wallets, "zz").count() == 0
+
+
+def test_one_person_with_most_claims_is_one_row_of_the_wallet_join(spark, monkeypatch):
+    broken = [(7, None)] * 18_000
+    book = spark.createDataFrame(broken + [(7, bytearray(b"a")), (7, bytearray(b"a"))] + [(i, bytearray(b"%d" % i)) for i in range(2_000)], "fid long, address binary")
+    wallets = spark.createDataFrame([(bytearray(b"a"), 5, 1.0, 2.0, 1), (bytearray(b"9"), 3, 1.0, None, 0)],
+                                    "wallet binary, txs long, nft_volume_usd double, dex_volume_usd double, contracts_deployed long")
+    seen = []
+    join = heavy_key_join
+
+    def watched(big, *args, **more):
+        seen.append(big.groupBy("fid").count().agg(F.max("count")).first()[0])
+        return join(big, *args, **more)
+
+    monkeypatch.setattr("flockmetrics.operators.wallets.heavy_key_join", watched)
+    rows = {r.fid: r for r in wallet_totals(book, wallets).collect()}
+    assert seen == [2]
+    assert (rows[7].total_transactions, rows[7].trading_volume_usd, rows[7].contracts_deployed) == (10, 6.0, 2)
+    assert len(rows[7].addresses) == 18_003 and rows[7].addresses[0] is None
+    assert (rows[9].total_transactions, rows[9].trading_volume_usd) == (3, None) and rows[8].total_transactions is None

@@ -3,7 +3,7 @@
 import pytest
 
 from flockmetrics.operators.rollups import engaged_casts
-from flockmetrics.plans import channels, words
+from flockmetrics.plans import channels, trending, words
 from flockmetrics.plans.users import users_mart
 from workload.sample_tables import SAMPLE_SETTINGS, sample_book
 
@@ -81,10 +81,20 @@ def test_member_lists_are_made_only_where_shown(book):
     assert "collect_list" not in plan
 
 
-def test_caster_join_is_salted(book, no_broadcast):
+def test_large_right_sides_are_not_repeated(book, no_broadcast):
     activity = channels.caster_activity(channels.cast_engagement(book.engaged))
-    plan = plan_of(channels.caster_summary(activity, book.stored_users))
-    assert "_salt" in plan
+    for df in (
+        channels.caster_summary(activity, book.stored_users),
+        channels.channels_mart(book.tables, book.clock, book.stored_users, SAMPLE_SETTINGS, member_lists=False),
+    ):
+        plan = plan_of(df)
+        assert "_salt" not in plan and "explode(sequence" not in plan
+
+
+def test_few_replies_go_to_the_posts(book, no_broadcast):
+    replies = book.tables.casts.filter("fid = 4 and parent_hash is not null").select("fid", "parent_hash").distinct()
+    plan = plan_of(trending.reply_targets(replies, book.tables.casts))
+    assert "BroadcastHashJoin [hash" in plan and "LeftSemi" in plan
 
 
 def test_author_filter_does_not_fix_the_partitioning_of_word_counts(book, no_broadcast, monkeypatch):

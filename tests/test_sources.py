@@ -4,6 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from flockmetrics import Clock, SocialTables
+from flockmetrics.operators.rollups import followers
+from flockmetrics.plans.users import users_mart
 from flockmetrics.sources.csv_tables import STOPWORDS_SCHEMA, read_csv_table, register_csv_folder, table_name
 from flockmetrics.sources.quality import duplicate_keys
 from flockmetrics.sources.stored import shared_folder, store
@@ -76,6 +78,39 @@ def test_days_outside_the_window_are_not_read(table, clock):
     assert rows_up_to_now(by_day, Clock(past.as_of, replay=False)).count() == 30
 
 
+def test_unknown_times_and_later_deletions(tables, clock):
+    made = tables(links=[
+        {"fid": 1, "target_fid": 9},
+        {"fid": 2, "target_fid": 9, "created_at": None},
+        {"fid": 3, "target_fid": 9, "deleted_at": AS_OF + timedelta(days=120)},
+        {"fid": 4, "target_fid": 9, "deleted_at": AS_OF - timedelta(days=1)},
+        {"fid": 5, "target_fid": 9, "created_at": AS_OF + timedelta(days=1)},
+    ])
+    by_day = store(made.links.withColumn("created_day", F.to_date("created_at")), "links", "created_day")
+    for links in (made.links, by_day):
+        assert followers(links, clock).first().followers == 3
+        assert followers(links, Clock(AS_OF, replay=False)).first().followers == 3
+
+
+def test_accounts_of_later_days_have_no_age(tables, clock):
+    made = tables(casts=[{"hash": 1, "fid": 1}, {"hash": 2, "fid": 2}],
+                  fids=[{"fid": 1, "created_at": AS_OF + timedelta(days=3)}, {"fid": 2, "created_at": AS_OF - timedelta(days=3)}])
+    assert {r.fid: r.account_age for r in users_mart(made, clock).collect()} == {1: None, 2: 3}
+
+
+def test_csv_fields(spark, tmp_path):
+    (tmp_path / "My List.v2.csv").write_bytes(
+        "\ufeffid,note\r\n1,\"say \"\"hi\"\", ok\"\r\n2,\"two\r\nlines\"\r\n3,\"ends in \\\"\r\n4,\r\n".encode()
+    )
+    (tmp_path / "notes.txt").write_text("not a table")
+    found = register_csv_folder(spark, str(tmp_path))
+    assert set(found) == {"my_list"}
+    assert [tuple(r) for r in found["my_list"].collect()] == [("1", 'say "hi", ok'), ("2", "two\nlines"), ("3", "ends in \\"), ("4", None)]
+    (tmp_path / "my list.csv").write_text("x\n1\n")
+    with pytest.raises(ValueError, match="my_list"):
+        register_csv_folder(spark, str(tmp_path))
+
+
 def test_store_writes_to_the_shared_folder(spark, tables):
     df = tables(profiles=[{"fid": 1, "fname": "a"}, {"fid": 2, "fname": None}]).profiles
     stored = store(df, "profiles")

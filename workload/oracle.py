@@ -52,7 +52,8 @@ def cleaned(text: str) -> str:
 
 
 def trimmed(word: str) -> str:
-    return f"lower(trim({word}, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' '))"
+    white = [9, 10, 11, 12, 13, 28, 29, 30, 31, 32, 0x1680, *range(0x2000, 0x2007), *range(0x2008, 0x200B), 0x2028, 0x2029, 0x205F, 0x3000]
+    return f"lower(trim({word}, {' || '.join(f'chr({c})' for c in white)}))"
 
 
 def is_int(word: str) -> str:
@@ -72,13 +73,13 @@ VIEWS["live"] = f"""
     select hash, fid, parent_hash, root_parent_hash, parent_url, root_parent_url, text, created_at,
       coalesce(parent_url, root_parent_url) as channel, coalesce(root_parent_url, parent_url) as thread_channel,
       created_at >= {WEEK_AGO} as w_now, created_at <= {WEEK_AGO} as w_old
-    from casts where deleted_at is null and created_at between {TWO_WEEKS_AGO} and {NOW}
+    from casts where (deleted_at is null or deleted_at > {NOW}) and created_at between {TWO_WEEKS_AGO} and {NOW}
 """
 
 VIEWS["reacted"] = f"""
     select target_hash, count(*) filter (reaction_type = 1) as likes, count(*) filter (reaction_type = 2) as recasts
     from reactions
-    where deleted_at is null and created_at between {TWO_WEEKS_AGO} and {NOW} and fid <> target_fid
+    where (deleted_at is null or deleted_at > {NOW}) and created_at between {TWO_WEEKS_AGO} and {NOW} and fid <> target_fid
     group by target_hash
 """
 
@@ -122,7 +123,7 @@ VIEWS["activity"] = f"""
 
 VIEWS["followed"] = f"""
     select target_fid as fid, count(*) as followers, count(*) filter (created_at >= {WEEK_AGO}) as wow_followers
-    from links where deleted_at is null and created_at <= {NOW} group by target_fid
+    from links where (deleted_at is null or deleted_at > {NOW}) and (created_at is null or created_at <= {NOW}) group by target_fid
 """
 
 VIEWS["user_sites"] = f"""
@@ -168,7 +169,7 @@ def users_view(tiers, tiers_last) -> str:
       got_likes, got_likes - got_likes_last as wow_likes, got_recasts, got_recasts - got_recasts_last as wow_recasts,
       got_replies, got_replies - got_replies_last as wow_replies, w.addresses, all_channels, s.domains as all_domains
     from activity a left join followed f using (fid) left join (select distinct fid, fname from profiles) p using (fid)
-    left join fids r using (fid) left join wallets w using (fid) left join user_sites s using (fid)
+    left join (select * from fids where created_at is null or created_at <= {NOW}) r using (fid) left join wallets w using (fid) left join user_sites s using (fid)
     """
 
 
@@ -227,7 +228,7 @@ VIEWS["history"] = f"""
       {rolling('_last', f'created_at between {TWO_WEEKS_AGO} and {WEEK_AGO}')},
       list_sort(list(distinct fid)) as all_caster_fids
     from casts left join reacted on target_hash = hash
-    where deleted_at is null and coalesce(parent_url, root_parent_url) is not null and created_at <= {NOW}
+    where (deleted_at is null or deleted_at > {NOW}) and coalesce(parent_url, root_parent_url) is not null and (created_at is null or created_at <= {NOW})
     group by 1
 """
 
@@ -327,10 +328,10 @@ VIEWS["targets"] = f"""
     from live a left join casts p on p.hash = a.parent_hash where a.fid = (select fid from person)
     union all
     select distinct fid, target_fid, 'follow' from links
-    where fid = (select fid from person) and deleted_at is null and created_at between {TWO_WEEKS_AGO} and {NOW}
+    where fid = (select fid from person) and (deleted_at is null or deleted_at > {NOW}) and created_at between {TWO_WEEKS_AGO} and {NOW}
     union all
     select distinct fid, target_fid, 'react' from reactions
-    where fid = (select fid from person) and deleted_at is null and created_at between {TWO_WEEKS_AGO} and {NOW}
+    where fid = (select fid from person) and (deleted_at is null or deleted_at > {NOW}) and created_at between {TWO_WEEKS_AGO} and {NOW}
 """
 
 
@@ -375,6 +376,18 @@ KEYS = {"casts": "hash", "fids": "fid", "profiles": "fid", "early_channels": "pa
 BODIES: dict[str, str] = {
     "scan_tables": " union all ".join(f"select '{t}' as table_name, count(*) as rows_read from {t}" for t in TABLES),
     "src_csv_dim": "select p_brand, count(*) as parts, sum(p_size)::bigint as sizes from part group by 1",
+    "src_csv_folder": """
+        select p_partkey, 'say "' || p_name || '", ok' || chr(10) || 'and ' || chr(92) as note, p_brand, 1 as tables from part""",
+    "stopwords_csv": "select word, count(*) as n from all_words group by 1",
+    "approx_distinct": """
+        select thread_channel as parent_url,
+          count(distinct hash) filter (w_now and parent_hash is null) as rolling_casts,
+          count(distinct hash) filter (w_old and parent_hash is null) as rolling_casts_last,
+          count(distinct hash) filter (w_now and parent_hash is not null) as rolling_replies,
+          count(distinct hash) filter (w_old and parent_hash is not null) as rolling_replies_last,
+          count(distinct fid) filter (w_now) as casters, count(distinct fid) filter (w_old) as casters_last,
+          true as sketches_hold
+        from live where thread_channel is not null group by 1""",
     "key_duplicates": " union all ".join(repeats(t, k) for t, k in KEYS.items()),
     "preview_users": f"select {SHOWN_USERS} from (select * from users order by followers desc, fid limit 20)",
     "soft_delete_window": """
@@ -459,10 +472,10 @@ BODIES: dict[str, str] = {
         select fid, count(*) as n, 'cast' as action from live group by fid
         union all
         select fid, count(*), 'follow' from links
-        where deleted_at is null and created_at between {TWO_WEEKS_AGO} and {NOW} group by fid
+        where (deleted_at is null or deleted_at > {NOW}) and created_at between {TWO_WEEKS_AGO} and {NOW} group by fid
         union all
         select fid, count(*), 'react' from reactions
-        where deleted_at is null and created_at between {TWO_WEEKS_AGO} and {NOW} group by fid""",
+        where (deleted_at is null or deleted_at > {NOW}) and created_at between {TWO_WEEKS_AGO} and {NOW} group by fid""",
     "link_domain": f"select hash, {host('text')} as domain from casts",
     "page_link_domain": f"select page_id, {host('html')} as domain from pages",
     "slug": "select page_id, string_split(url, '/')[6] as slug from pages",

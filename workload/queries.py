@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from flockmetrics.functions import chain, links, scores, text
 from flockmetrics.operators.domains import linked_posts, top_domains
-from flockmetrics.operators.joins import dimension_join, heavy_key_join
+from flockmetrics.operators.joins import dimension_join
 from flockmetrics.operators.lists import distinct_list, ordered_list, top_k_list
 from flockmetrics.operators.rollups import followers, reactions_received, replies_received
 from flockmetrics.operators.wallets import address_book, token_holders, wallet_totals
@@ -18,11 +18,11 @@ from flockmetrics.plans import channels, trending, users, words
 from flockmetrics.plans.book import MartBook, preview
 from flockmetrics.plans.trending import ChannelFilters, UserFilters
 from flockmetrics.settings import IGNORED_DOMAINS, SPACER, Settings
-from flockmetrics.sources.csv_tables import read_csv_table
+from flockmetrics.sources.csv_tables import read_csv_table, register_csv_folder
 from flockmetrics.sources.quality import duplicate_keys
 from flockmetrics.sources.stored import shared_folder
 from flockmetrics.sources.tables import channel_key, live_rows, not_deleted, rows_within, thread_channel_key
-from workload.sample_tables import SAMPLE_SETTINGS, sample_book, source
+from workload.sample_tables import SAMPLE_SETTINGS, STOPWORDS, sample_book, source
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -63,12 +63,12 @@ def registered(build: Callable[[MartBook], DataFrame]) -> Callable[[MartBook], D
     return build
 
 
-def whole_words(book: MartBook) -> DataFrame:
+def whole_words(book: MartBook, stopwords: DataFrame | None = None) -> DataFrame:
     """Words of all live posts of the window, whoever wrote them."""
     posts = live_rows(book.tables.casts, book.clock)
     this_week = F.when(book.clock.this_week(posts), 1).otherwise(0).alias("this_week")
     slim = posts.select("hash", "fid", this_week, "text")
-    return words.telling_words(slim, book.tables.stopwords)
+    return words.telling_words(slim, book.tables.stopwords if stopwords is None else stopwords)
 
 
 # --- Sources ---
@@ -98,6 +98,46 @@ def src_csv_dim(spark, sf_dir):
 QUERIES["src_csv_dim"] = src_csv_dim
 
 
+def write_csv(spark: SparkSession, lines: DataFrame, folder: str, name: str) -> None:
+    """Raw lines as one file of the given name."""
+    work = f"{folder}/{uuid.uuid4().hex}"
+    lines.coalesce(1).write.text(work)
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    files = hadoop.Path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    part = next(s.getPath() for s in files.listStatus(hadoop.Path(work)) if s.getPath().getName().startswith("part-"))
+    files.rename(part, hadoop.Path(f"{folder}/{name}"))
+
+
+def src_csv_folder(spark, sf_dir):
+    """Parts in a CSV file with a byte-order mark, quotes, line breaks and backslashes, next to other files."""
+    folder = f"{shared_folder(spark)}/csv-{uuid.uuid4().hex}"
+    field = F.concat(F.lit('"say ""'), "p_name", F.lit('"", ok\nand \\"'))
+    rows = source(spark, sf_dir, "part").select(F.concat_ws(",", "p_partkey", field, "p_brand").alias("value"))
+    head = spark.range(1).select(F.lit("\ufeffp_partkey,note,p_brand").alias("value"))
+    write_csv(spark, head.union(rows), folder, "Part Notes.v2.csv")
+    write_csv(spark, spark.range(1).select(F.lit("no, table").alias("value")), folder, "readme.txt")
+    loaded = register_csv_folder(spark, folder)
+    return loaded["part_notes"].select(
+        F.col("p_partkey").cast("long").alias("p_partkey"), "note", "p_brand", F.lit(len(loaded)).alias("tables")
+    )
+
+
+QUERIES["src_csv_folder"] = src_csv_folder
+
+
+def stopwords_csv(spark, sf_dir):
+    """Word counts with stopwords from a CSV file that has a byte-order mark, a repeated word and apostrophes."""
+    folder = f"{shared_folder(spark)}/csv-{uuid.uuid4().hex}"
+    lines = spark.range(1).select(F.explode(F.array(*map(F.lit, ("\ufeffstopwords", *STOPWORDS)))).alias("value"))
+    write_csv(spark, lines, folder, "stopwords.csv")
+    b = sample_book(spark, sf_dir)
+    stopwords = read_csv_table(spark, f"{folder}/stopwords.csv")
+    return flat(whole_words(b, stopwords).groupBy("word").agg(F.count("*").alias("n")))
+
+
+QUERIES["stopwords_csv"] = stopwords_csv
+
+
 @registered
 def key_duplicates(b):
     return duplicate_keys(b.tables)
@@ -115,7 +155,7 @@ def preview_users(b):
 @registered
 def soft_delete_window(b):
     casts = b.tables.casts
-    week = rows_within(casts, b.clock, b.clock.recent_days).filter(not_deleted())
+    week = rows_within(casts, b.clock, b.clock.recent_days).filter(not_deleted(casts, b.clock))
     recent = week.groupBy("fid").agg(F.count("*").alias("casts_7d"))
     return live_rows(casts, b.clock).groupBy("fid").agg(F.count("*").alias("casts_14d")).join(recent, "fid", "left")
 
@@ -217,9 +257,8 @@ def reply_self_join(b):
 def reply_parents(b):
     """Author of the post each live reply answers directly; NULL when that post is unknown."""
     replies = live_rows(b.tables.casts, b.clock).filter(F.col("parent_hash").isNotNull())
-    parents = b.tables.casts.select(F.col("hash").alias("parent_hash"), F.col("fid").alias("target_fid"))
     per_parent = replies.groupBy("parent_hash", "fid").agg(F.count("*").alias("n"))
-    pairs = heavy_key_join(per_parent, parents, "parent_hash", "left", spread_by=["fid"])
+    pairs = trending.reply_targets(per_parent, b.tables.casts)
     return pairs.groupBy("fid", "target_fid").agg(F.sum("n").alias("replies"))
 
 
@@ -232,7 +271,7 @@ def anti_stopwords(b):
 def semi_active(b):
     authors = words.active_authors(b.stored_users)
     posts = live_rows(b.tables.casts, b.clock).select("hash", "fid")
-    kept = dimension_join(posts, authors, ["fid"], "left_semi", spread_by=["hash"])
+    kept = dimension_join(posts, authors, "fid", "left_semi", spread_by=["hash"])
     return kept.groupBy("fid").agg(F.count("*").alias("casts"))
 
 
@@ -295,14 +334,22 @@ def cond_distinct(b):
 
 @registered
 def approx_distinct(b):
-    """Sketched distinct authors and posts per channel; no exact counterpart in SQL."""
-    live = live_rows(b.tables.casts, b.clock).filter(channels.in_channel())
-    this_week = b.clock.this_week(live)
-    error = Settings().sketch_error
-    return live.groupBy(thread_channel_key().alias("parent_url")).agg(
-        F.approx_count_distinct("fid", error).alias("casters_14d"),
-        F.approx_count_distinct(F.when(this_week, F.col("hash")), error).alias("casts"),
-    )
+    """Exact posts, replies and authors per channel, and whether sketches are within three standard errors."""
+    posts = channels.cast_engagement(b.engaged)
+    names = [name + suffix for name in ("rolling_casts", "rolling_replies", "casters") for suffix in ("", "_last")]
+    exact = channels.channel_cast_stats(channels.caster_summary(channels.caster_activity(posts), b.stored_users))
+    sketch = channels.sketched_counts(posts).select("parent_url", *[F.col(n).alias(n + "_sketch") for n in names])
+    summary = channels.caster_summary(channels.caster_activity(posts), b.stored_users)
+    by_setting = channels.channel_cast_stats(summary, Settings(approx_casters=True)).select("parent_url", F.col("casters").alias("casters_setting"))
+
+    def close(name: str, estimate: str) -> Column:
+        allowed = F.greatest(F.lit(1.0), F.col(name) * 3 * Settings().sketch_error)
+        return F.abs(F.col(estimate) - F.col(name)) <= allowed
+
+    all_close = close("casters", "casters_setting")
+    for name in names:
+        all_close = all_close & close(name, name + "_sketch")
+    return exact.join(sketch, "parent_url").join(by_setting, "parent_url").select("parent_url", *names, all_close.alias("sketches_hold"))
 
 
 @registered
