@@ -17,7 +17,7 @@ from flockmetrics.plans.trending import ChannelFilters, UserFilters, trending_ch
 from flockmetrics.plans.users import by_followers, users_mart
 from flockmetrics.plans.words import trending_words
 from flockmetrics.settings import PREVIEW_ROWS, Settings
-from flockmetrics.sources.stored import store
+from flockmetrics.sources.stored import remove, store
 from flockmetrics.sources.tables import SocialTables
 
 # What each result is built on; results come after everything they need.
@@ -43,7 +43,22 @@ class MartBook:
         settings: Settings = Settings(),
         keep: Callable[[DataFrame, str], DataFrame] = store,
     ) -> None:
-        self.tables, self.clock, self.settings, self.keep = tables, clock, settings, keep
+        self.tables, self.clock, self.settings = tables, clock, settings
+        self._kept: list[DataFrame] = []
+
+        def kept(df: DataFrame, name: str) -> DataFrame:
+            result = keep(df, name)
+            self._kept.append(result)
+            return result
+
+        self.keep = kept
+
+    def close(self) -> None:
+        """Remove the stored results; DataFrames of this book cannot be read afterwards."""
+        for result in self._kept:
+            if hasattr(result, "stored_at"):
+                remove(result)
+        self._kept.clear()
 
     @cached_property
     def engaged(self) -> DataFrame:

@@ -22,7 +22,7 @@ from flockmetrics.operators.domains import linked_posts, top_domains
 from flockmetrics.operators.lists import distinct_list, top_k_list
 from flockmetrics.operators.rollups import engaged_casts
 from flockmetrics.settings import CHANNEL_URL, SPACER, Settings
-from flockmetrics.sources.tables import SocialTables, not_deleted, rows_up_to_now, thread_channel_key
+from flockmetrics.sources.tables import DAY, SocialTables, not_deleted, rows_up_to_now, thread_channel_key
 
 WEEKS = (("this_week", ""), ("last_week", "_last"))
 TIER_COUNTS = ("active_npc", "active_user", "active_star", "active_influencer", "active_vip")
@@ -145,6 +145,18 @@ def channel_members(casts: DataFrame, clock: Clock) -> DataFrame:
     )
 
 
+def extend_members(known: DataFrame, casts: DataFrame, clock: Clock, since: Clock) -> DataFrame:
+    """The bridge as of ``clock`` from the one stored as of ``since``: only later days are read.
+
+    A post that was deleted in between stays in the stored rows; rebuild the bridge where that matters.
+    """
+    later = F.col("created_at") > since.instant(casts, "created_at")
+    if DAY in casts.columns:
+        later = later & (F.col(DAY) >= F.to_date(since.instant(casts, "created_at")))
+    new = channel_members(casts.filter(later), clock)
+    return known.unionByName(new).groupBy("parent_url", "fid").agg(F.min("first_cast_at").alias("first_cast_at"))
+
+
 def channel_ages(members: DataFrame, clock: Clock) -> DataFrame:
     """Calendar days since the first post."""
     today = F.to_date(clock.instant(members, "first_cast_at"))

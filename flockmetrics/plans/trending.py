@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -102,10 +102,10 @@ def interaction_targets(
     return reply.unionByName(follow).unionByName(react)
 
 
-def _sorted_top(df: DataFrame, sort_by: str, tie_breaker: str, limit: int) -> DataFrame:
+def _sorted_top(df: DataFrame, sort_by: str, tie_breakers: Sequence[str], limit: int) -> DataFrame:
     if sort_by not in df.columns:
         raise ValueError(f"cannot sort by {sort_by!r}; columns are {df.columns}")
-    return df.orderBy(F.desc_nulls_last(sort_by), F.asc(tie_breaker)).limit(limit)
+    return df.orderBy(F.desc_nulls_last(sort_by), *map(F.asc_nulls_last, tie_breakers)).limit(limit)
 
 
 def _holders(tables: SocialTables, addresses: DataFrame | None, token: str) -> DataFrame:
@@ -134,7 +134,7 @@ def trending_users(
         found = found.join(targets.select(F.col("target_fid").alias("fid")), "fid", "left_semi")
     if filters.held_token is not None:
         found = found.join(_holders(tables, addresses, filters.held_token), "fid", "left_semi")
-    return _sorted_top(found.select(*users.columns), filters.sort_by, "fid", limit)
+    return _sorted_top(found.select(*users.columns), filters.sort_by, ("fid", "fname"), limit)
 
 
 def trending_channels(
@@ -159,6 +159,6 @@ def trending_channels(
         # A person has one row per channel, so no person holds many.
         held_in = members.join(holders, "fid", "left_semi")
         found = found.join(held_in.select("parent_url").distinct(), "parent_url", "left_semi")
-    top = keep(_sorted_top(found.select(*channels.columns), filters.sort_by, "parent_url", limit), "trending_channels")
+    top = keep(_sorted_top(found.select(*channels.columns), filters.sort_by, ("parent_url",), limit), "trending_channels")
     shown = members.join(top.select("parent_url"), "parent_url", "left_semi")
     return with_member_lists(top, shown).orderBy(F.desc_nulls_last(filters.sort_by), F.asc("parent_url"))

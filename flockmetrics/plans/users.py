@@ -142,4 +142,4 @@ def users_mart(
 
 
 def by_followers(mart: DataFrame) -> DataFrame:
-    return mart.orderBy(F.desc_nulls_last("followers"), F.asc("fid"))
+    return mart.orderBy(F.desc_nulls_last("followers"), F.asc("fid"), F.asc_nulls_last("fname"))

@@ -37,4 +37,13 @@ def store(df: DataFrame, name: str, laid_out_by: str | None = None) -> DataFrame
         df.hint("rebalance", F.col(laid_out_by)).write.partitionBy(laid_out_by).parquet(path)
     else:
         df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    stored = spark.read.schema(df.schema).parquet(path)
+    stored.stored_at = path
+    return stored
+
+
+def remove(stored: DataFrame) -> None:
+    """Delete what ``store`` wrote for this DataFrame; it and what builds on it cannot be read any more."""
+    context = stored.sparkSession.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(stored.stored_at)
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)

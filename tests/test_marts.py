@@ -335,3 +335,26 @@ def test_lazy_book_gives_the_same(world, clock, by_fid):
     lazy = MartBook(world, clock, SETTINGS, keep=lambda df, name: df)
     assert {r.fid: r for r in lazy.users().collect()} == by_fid
     assert lazy.channels_by_tier().count() > 0
+
+
+def test_members_in_two_steps(spark, table, clock):
+    from datetime import timedelta
+
+    from pyspark.sql import functions as F
+
+    from flockmetrics import Clock
+    from flockmetrics.plans.channels import channel_members, extend_members
+    from flockmetrics.sources.stored import remove, store
+    from tests.conftest import AS_OF
+
+    rows = [{"hash": i, "fid": i % 4, "parent_url": f"c{i % 3}", "created_at": AS_OF - timedelta(days=i % 20)} for i in range(60)]
+    casts = store(table("casts", rows).withColumn("created_day", F.to_date("created_at")), "casts", "created_day")
+    before = Clock(AS_OF - timedelta(days=9))
+    whole = channel_members(casts, clock)
+    known = store(channel_members(casts, before), "members")
+    extended = extend_members(known, casts, clock, before)
+    assert sorted(extended.collect()) == sorted(whole.collect())
+    plan = extended._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "(created_day" in plan and ">= 2024-01-22" in plan
+    remove(known)
+    assert not __import__("os").path.exists(known.stored_at)

@@ -5,6 +5,7 @@ import pytest
 
 import __spark_entry__ as entry_point
 from workload.queries import QUERIES
+from workload.sample_tables import sample_book
 
 SOURCES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
@@ -36,5 +37,20 @@ def test_same_as_sql(spark, duck, smoke_dir, name):
     assert sorted((tuple(r[c] for c in order) for r in rows), key=repr) == sorted(expected, key=repr)
 
 
+def rows(spark, name, sf="/root/testdata/sf0.01"):
+    return QUERIES[name](spark, sf).count()
+
+
+def test_filters_leave_something_out(spark, smoke_dir):
+    """Each filtered view has rows, and fewer than the mart."""
+    book = sample_book(spark, "/root/testdata/sf0.01")
+    users, channels = book.stored_users.count(), book.stored_channels.count()
+    for name in ("trending_users", "trending_users_tracked", "trending_users_tracked_holding", "limited_view"):
+        assert 0 < rows(spark, name) < users, name
+    for name in ("trending_channels", "trending_channels_of_user", "trending_channels_holding"):
+        assert 0 < rows(spark, name) < channels, name
+    assert any(r.repeated_keys for r in QUERIES["key_duplicates"](spark, "/root/testdata/sf0.01").collect())
+
+
 def test_entry(spark):
     assert entry_point.entry(spark).count() > 0

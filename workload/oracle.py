@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 
 from flockmetrics.settings import COMMON_WORDS, USER_TIERS, CHANNEL_TIERS, USER_TIERS_LAST
-from workload.queries import NFT, TOKEN, TOPIC, TRACKED
+from workload.queries import RARE, TOKEN, TOPIC, TRACKED
 from workload.sample_tables import SAMPLE_SETTINGS, STOPWORDS, duckdb_definitions
 
 NOW = "timestamp '2024-01-31 00:00:00'"
@@ -389,7 +389,7 @@ BODIES: dict[str, str] = {
           true as sketches_hold
         from live where thread_channel is not null group by 1""",
     "key_duplicates": " union all ".join(repeats(t, k) for t, k in KEYS.items()),
-    "preview_users": f"select {SHOWN_USERS} from (select * from users order by followers desc, fid limit 20)",
+    "preview_users": f"select {SHOWN_USERS} from (select * from users order by followers desc, fid, fname nulls last limit 20)",
     "soft_delete_window": """
         select fid, count(*) as casts_14d, nullif(count(*) filter (w_now), 0) as casts_7d from live group by fid""",
     "prev_week_between": f"""
@@ -409,7 +409,7 @@ BODIES: dict[str, str] = {
     "contains_ci": f"select parent_url, count(*) as casts from casts where parent_url ilike '%{TOPIC}%' group by 1",
     "optional_filter": """
         select fid_active_tier, count(*) as users
-        from (select * from users where account_age <= 10000 order by followers desc, fid limit 1000) group by 1""",
+        from (select * from users where account_age <= 10000 order by followers desc, fid, fname nulls last limit 1000) group by 1""",
     "threshold_filter": """
         select fid, account_age, fid_active_tier from users where account_age <= 30 and fid_active_tier >= 1""",
     "numeric_and_short_tokens": f"""
@@ -466,8 +466,10 @@ BODIES: dict[str, str] = {
     "topk_group": f"""
         select fid, {joined('top_posts')} as top_posts
         from (select fid, (list(hash order by likes desc nulls last, hash))[1:3] as top_posts from post group by fid)""",
+    "limited_view": """
+        select fid, followers from users where account_age <= 10000 order by followers desc, fid, fname nulls last limit 25""",
     "dynamic_sort": """
-        select fid, got_replies from users where account_age <= 10000 order by got_replies desc, fid limit 1000""",
+        select fid, got_replies from users where account_age <= 10000 order by got_replies desc, fid, fname nulls last limit 1000""",
     "union_tags": f"""
         select fid, count(*) as n, 'cast' as action from live group by fid
         union all
@@ -571,24 +573,24 @@ BODIES: dict[str, str] = {
     "trending_users": f"""
         select {SHOWN_USERS} from users
         where account_age <= 45 and len(list_filter(all_channels, lambda c: lower(c) like '%{TOPIC.lower()}%')) > 0
-        order by engagement desc nulls last, fid limit 1000""",
+        order by engagement desc nulls last, fid, fname nulls last limit 1000""",
     "trending_users_tracked": f"""
         select {SHOWN_USERS} from users
         where account_age <= 10000 and fid in (select target_fid from targets where action = 'reply')
-        order by casts desc, fid limit 1000""",
+        order by casts desc, fid, fname nulls last limit 1000""",
     "trending_users_tracked_holding": f"""
         select {SHOWN_USERS} from users
         where account_age <= 10000 and fid in (select target_fid from targets) and fid in ({holders(TOKEN)})
-        order by followers desc, fid limit 1000""",
+        order by followers desc, fid, fname nulls last limit 1000""",
     "trending_channels": f"""
-        select {SHOWN_CHANNELS} from channels where channel_age <= 30 order by rolling_7_casts desc, parent_url limit 1000""",
+        select {SHOWN_CHANNELS} from channels where channel_age <= 29 order by rolling_7_casts desc, parent_url limit 1000""",
     "trending_channels_of_user": f"""
         select {SHOWN_CHANNELS} from channels
         where channel_age <= 10000 and list_contains(channels.all_caster_fids, (select fid from person))
         order by engagement desc nulls last, parent_url limit 1000""",
     "trending_channels_holding": f"""
         select {SHOWN_CHANNELS} from channels
-        where channel_age <= 10000 and len(list_intersect(channels.all_caster_fids, (select list(fid) from ({holders(NFT)})))) > 0
+        where channel_age <= 10000 and len(list_intersect(channels.all_caster_fids, (select list(fid) from ({holders(RARE)})))) > 0
         order by engagement desc nulls last, parent_url limit 1000""",
 }
 

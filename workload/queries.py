@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from datetime import timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from flockmetrics import Clock
 from flockmetrics.functions import chain, links, scores, text
 from flockmetrics.operators.domains import linked_posts, top_domains
 from flockmetrics.operators.joins import dimension_join
@@ -30,6 +32,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 TRACKED = "customer000000004"
 TOKEN = "0x" + "2".zfill(40)
 NFT = "12".zfill(40)
+RARE = "77".zfill(40)
 TOPIC = "EcOnOmY"
 
 
@@ -379,7 +382,11 @@ def ordered_list_filter(b):
 
 @registered
 def distinct_members(b):
-    return distinct_list(b.members, "parent_url", "fid", "all_caster_fids")
+    """From a bridge stored ten days before and the days since."""
+    before = Clock(b.clock.as_of - timedelta(days=10))
+    known = b.keep(channels.channel_members(b.tables.casts, before), "members_before")
+    members = channels.extend_members(known, b.tables.casts, b.clock, before)
+    return distinct_list(members, "parent_url", "fid", "all_caster_fids")
 
 
 @registered
@@ -409,6 +416,12 @@ def dynamic_sort(b):
     return b.trending_users(filters).select("fid", "got_replies")
 
 
+@registered
+def limited_view(b):
+    """The first rows only, of more."""
+    return trending.trending_users(b.stored_users, b.tables, b.clock, UserFilters(max_age_days=10_000), limit=25).select("fid", "followers")
+
+
 @registered
 def union_tags(b):
     tagged = [
@@ -727,7 +740,7 @@ def trending_users_tracked_holding(b):
 
 @registered
 def trending_channels(b):
-    return b.trending_channels(ChannelFilters(max_age_days=30, sort_by="rolling_7_casts"))
+    return b.trending_channels(ChannelFilters(max_age_days=29, sort_by="rolling_7_casts"))
 
 
 @registered
@@ -737,4 +750,4 @@ def trending_channels_of_user(b):
 
 @registered
 def trending_channels_holding(b):
-    return b.trending_channels(ChannelFilters(max_age_days=10_000, held_token=NFT))
+    return b.trending_channels(ChannelFilters(max_age_days=10_000, held_token=RARE))

@@ -96,6 +96,10 @@ DEFINITIONS = {
         select case when c_custkey % 37 = 36 then c_custkey + (select count(*) from {customer}) else c_custkey end as fid,
           case when c_custkey % 11 = 0 then null else lower(replace(c_name, '#', '')) end as fname
         from {customer}
+        union all -- rows that repeat, and accounts with a second name
+        select c_custkey, lower(replace(c_name, '#', '')) from {customer} where c_custkey % 53 = 1 and c_custkey % 11 <> 0
+        union all
+        select c_custkey, concat(lower(replace(c_name, '#', '')), '-too') from {customer} where c_custkey % 59 = 2
     """,
     "early_channels": """
         select distinct
@@ -108,7 +112,9 @@ DEFINITIONS = {
           c_acctbal as nft_volume_usd,
           case when c_custkey % 17 = 0 then null else c_acctbal / 2 end as dex_volume_usd,
           c_custkey % 3 as contracts_deployed,
-          {array}(unhex(lpad(cast(c_custkey % 5 as {string}), 40, '0'))) as erc20_addresses,
+          case when c_custkey % 97 = 5 -- a token that few hold
+               then {array}(unhex(lpad(cast(c_custkey % 5 as {string}), 40, '0')), unhex(lpad('77', 40, '0')))
+               else {array}(unhex(lpad(cast(c_custkey % 5 as {string}), 40, '0'))) end as erc20_addresses,
           case when c_custkey % 7 = 0 then null
                else {array}(unhex(lpad(cast(10 + c_custkey % 3 as {string}), 40, '0'))) end as nft_addresses
         from {customer}
