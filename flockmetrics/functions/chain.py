@@ -17,6 +17,11 @@ def claim_address(claim: Column) -> Column:
     return address_bytes(F.get_json_object(claim, "$.address"))
 
 
+def holdings(erc20: Column, nft: Column) -> Column:
+    """Tokens and collections in one list; NULL when either is unknown."""
+    return F.concat(erc20, nft)
+
+
 def holds_token(erc20: Column, nft: Column, token: Column) -> Column:
     """NULL when either list of holdings is unknown."""
-    return F.array_contains(F.concat(erc20, nft), token)
+    return F.array_contains(holdings(erc20, nft), token)

@@ -64,3 +64,13 @@ def sum_where(condition: Column, value: Column) -> Column:
 def sum_only_where(condition: Column, value: Column) -> Column:
     """NULL when no row meets the condition."""
     return F.sum(F.when(condition, value))
+
+
+def max_where(condition: Column, value: Column) -> Column:
+    """NULL when no row meets the condition."""
+    return F.max(F.when(condition, value))
+
+
+def avg_where(condition: Column, value: Column) -> Column:
+    """Mean over the rows that meet the condition."""
+    return F.avg(F.when(condition, value))

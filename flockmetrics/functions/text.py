@@ -24,7 +24,12 @@ def clean_text(text: Column, punctuation: str = PUNCTUATION) -> Column:
 
 def words_of(text: Column, punctuation: str = PUNCTUATION) -> Column:
     """Lower-case words of a text, trimmed; line breaks inside a word stay."""
-    return F.split(F.regexp_replace(F.lower(clean_text(text, punctuation)), _EDGE_WHITESPACE, ""), " ")
+    return pieces(F.regexp_replace(F.lower(clean_text(text, punctuation)), _EDGE_WHITESPACE, ""))
+
+
+def pieces(text: Column) -> Column:
+    """What lies between plain spaces."""
+    return F.split(text, " ")
 
 
 def is_integer(word: Column) -> Column:

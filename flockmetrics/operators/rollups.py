@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flockmetrics.clock import Clock
@@ -21,10 +21,22 @@ def followers(links: DataFrame, clock: Clock) -> DataFrame:
     )
 
 
+def by_others(reactions: DataFrame) -> DataFrame:
+    """Reactions to somebody else's posts."""
+    return reactions.filter(F.col("fid") != F.col("target_fid"))
+
+
+def is_top_level() -> Column:
+    return F.col("parent_hash").isNull()
+
+
+def is_root() -> Column:
+    return F.col("root_parent_hash").isNull()
+
+
 def reactions_received(reactions: DataFrame, clock: Clock) -> DataFrame:
     """Likes and recasts per post in the activity window, not counting one's own."""
-    by_others = live_rows(reactions, clock).filter(F.col("fid") != F.col("target_fid"))
-    return by_others.groupBy(F.col("target_hash").alias("hash")).agg(
+    return by_others(live_rows(reactions, clock)).groupBy(F.col("target_hash").alias("hash")).agg(
         count_where(F.col("reaction_type") == LIKE).alias("likes"),
         count_where(F.col("reaction_type") == RECAST).alias("recasts"),
     )
@@ -64,8 +76,8 @@ def engaged_casts(casts: DataFrame, reactions: DataFrame, clock: Clock) -> DataF
         "fid",
         "parent_url",
         "root_parent_url",
-        F.col("parent_hash").isNull().alias("is_top_level"),
-        F.col("root_parent_hash").isNull().alias("is_root"),
+        is_top_level().alias("is_top_level"),
+        is_root().alias("is_root"),
         clock.this_week(live).alias("this_week"),
         clock.last_week(live).alias("last_week"),
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flockmetrics.functions.chain import address_bytes, claim_address, holds_token
@@ -16,6 +16,11 @@ def address_book(fids: DataFrame, verifications: DataFrame) -> DataFrame:
     return custody.unionByName(verified)
 
 
+def volume() -> Column:
+    """Traded volume; NULL when either part is unknown."""
+    return F.col("nft_volume_usd") + F.col("dex_volume_usd")
+
+
 def wallet_totals(book: DataFrame, wallet_activity: DataFrame) -> DataFrame:
     """On-chain totals and the list of addresses per person, repeats and NULLs included.
 
@@ -26,7 +31,7 @@ def wallet_totals(book: DataFrame, wallet_activity: DataFrame) -> DataFrame:
     totals = wallet_activity.select(
         F.col("wallet").alias("address"),
         "txs",
-        (F.col("nft_volume_usd") + F.col("dex_volume_usd")).alias("volume"),
+        volume().alias("volume"),
         "contracts_deployed",
     )
     pairs = book.filter(F.col("address").isNotNull()).groupBy("fid", "address").agg(F.count("*").alias("claims"))

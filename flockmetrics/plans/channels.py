@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from flockmetrics.clock import Clock
 from flockmetrics.functions.links import anchor, channel_name, url_slug
 from flockmetrics.functions.scores import (
+    avg_where,
     change,
     count_where,
     sum_only_where,
@@ -100,7 +101,7 @@ def channel_cast_stats(summary: DataFrame, settings: Settings = Settings()) -> D
         "avg_volume_usd": "trading_volume_usd",
         "avg_contracts_deployed": "contracts_deployed",
     }
-    measures += [F.avg(F.when(transacting, F.col(source))).alias(name) for name, source in means.items()]
+    measures += [avg_where(transacting, F.col(source)).alias(name) for name, source in means.items()]
     return summary.groupBy("parent_url").agg(*measures)
 
 

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -96,10 +97,12 @@ def interaction_targets(
     replied = reply_targets(replies, tables.casts).select("fid", "target_fid").distinct()
     followed = done_by_person(tables.links).select("fid", "target_fid").distinct()
     reacted = done_by_person(tables.reactions).select("fid", "target_fid").distinct()
-    reply, follow, react = (
-        rows.withColumn("action", F.lit(action)) for rows, action in zip((replied, followed, reacted), ACTIONS)
-    )
-    return reply.unionByName(follow).unionByName(react)
+    return tagged(dict(zip(ACTIONS, (replied, followed, reacted), strict=True)))
+
+
+def tagged(rows_by_action: Mapping[str, DataFrame]) -> DataFrame:
+    """All rows with the action they stand for."""
+    return reduce(DataFrame.unionByName, (rows.withColumn("action", F.lit(action)) for action, rows in rows_by_action.items()))
 
 
 def _sorted_top(df: DataFrame, sort_by: str, tie_breakers: Sequence[str], limit: int) -> DataFrame:

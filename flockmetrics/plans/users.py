@@ -60,6 +60,13 @@ def _tier_inputs(settings: Settings, suffix: str, follower_count: Column) -> dic
     }
 
 
+def profile_rows(profiles: DataFrame) -> DataFrame:
+    """Different profiles, one row each. Rows that differ in addresses only are kept apart where the
+    table has that column."""
+    details = [c for c in ("fid", "fname", "verified_addresses") if c in profiles.columns]
+    return profiles.select(*details).distinct().select("fid", "fname")
+
+
 def users_mart(
     tables: SocialTables,
     clock: Clock,
@@ -80,9 +87,7 @@ def users_mart(
     if addresses is None:
         addresses = address_book(tables.fids, tables.verifications)
     wallets = wallet_totals(addresses, tables.wallet_activity)
-    # Rows that differ in addresses only are kept apart where the table has that column.
-    details = [c for c in ("fid", "fname", "verified_addresses") if c in tables.profiles.columns]
-    profiles = tables.profiles.select(*details).distinct().select("fid", "fname")
+    profiles = profile_rows(tables.profiles)
     signed_up = rows_up_to_now(tables.fids, clock).select("fid", F.col("created_at").alias("signed_up_at"))
     now = clock.instant(tables.fids, "created_at")
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flockmetrics.clock import Clock
-from flockmetrics.functions.scores import change
+from flockmetrics.functions.scores import change, max_where
 from flockmetrics.functions.text import contains_text, is_telling, words_of
 from flockmetrics.operators.joins import dimension_join
 from flockmetrics.settings import RESULT_LIMIT, Settings
@@ -65,7 +65,7 @@ def weekly_tfidf(weighted: DataFrame) -> DataFrame:
     tf * idf is the weekly frequency times IDF and needs no join back to the authors."""
 
     def of_week(week: int, value: Column) -> Column:
-        return F.max(F.when(F.col("this_week") == week, value))
+        return max_where(F.col("this_week") == week, value)
 
     def or_zero(value: Column) -> Column:
         return F.coalesce(value, F.lit(0))

@@ -390,6 +390,11 @@ BODIES: dict[str, str] = {
         from live where thread_channel is not null group by 1""",
     "key_duplicates": " union all ".join(repeats(t, k) for t, k in KEYS.items()),
     "preview_users": f"select {SHOWN_USERS} from (select * from users order by followers desc, fid, fname nulls last limit 20)",
+    "preview_summary": """
+        with head as (select followers, casts from users order by followers desc, fid, fname nulls last limit 20)
+        select unnest(['count', 'min', 'max']) as summary,
+          unnest([count(followers)::varchar, min(followers)::varchar, max(followers)::varchar]) as followers,
+          unnest([count(casts)::varchar, min(casts)::varchar, max(casts)::varchar]) as casts, 29 as columns from head""",
     "soft_delete_window": """
         select fid, count(*) as casts_14d, nullif(count(*) filter (w_now), 0) as casts_7d from live group by fid""",
     "prev_week_between": f"""
@@ -529,6 +534,7 @@ BODIES: dict[str, str] = {
     "users_mart_published_tiers": """
         select fid, fid_active_tier_name, fid_active_tier, fid_active_tier_last, followers, engagement from published_users""",
     "users_by_tier": by_tier("users", "fid_active_tier", "fid_active_tier_last", "users"),
+    "result_by_name": by_tier("users", "fid_active_tier", "fid_active_tier_last", "users"),
     "cast_engagement": """
         select hash, thread_channel as parent_url, fid, root_parent_hash is null as is_root, likes, recasts, replies
         from post where thread_channel is not null""",

@@ -14,8 +14,8 @@ from flockmetrics.functions import chain, links, scores, text
 from flockmetrics.operators.domains import linked_posts, top_domains
 from flockmetrics.operators.joins import dimension_join
 from flockmetrics.operators.lists import distinct_list, ordered_list, top_k_list
-from flockmetrics.operators.rollups import followers, reactions_received, replies_received
-from flockmetrics.operators.wallets import address_book, token_holders, wallet_totals
+from flockmetrics.operators.rollups import by_others, followers, is_root, is_top_level, reactions_received, replies_received
+from flockmetrics.operators.wallets import address_book, token_holders, volume, wallet_totals
 from flockmetrics.plans import channels, trending, users, words
 from flockmetrics.plans.book import MartBook, preview
 from flockmetrics.plans.trending import ChannelFilters, UserFilters
@@ -152,6 +152,20 @@ def preview_users(b):
     return head
 
 
+@registered
+def preview_summary(b):
+    """Count and extremes of the previewed rows, and how many columns the schema names."""
+    _, summary, schema = preview(b.users())
+    shown = summary.filter(F.col("summary").isin("count", "min", "max")).select("summary", "followers", "casts")
+    return shown.withColumn("columns", F.lit(schema.count("\n |-- ")))
+
+
+@registered
+def result_by_name(b):
+    """A result from the registry, by its name."""
+    return b.result("users_by_tier")
+
+
 # --- Predicates and conditionals ---
 
 
@@ -178,9 +192,7 @@ def week_flag(b):
 
 @registered
 def self_exclusion(b):
-    reactions = b.tables.reactions
-    others = reactions.filter(F.col("fid") != F.col("target_fid"))
-    return others.groupBy("reaction_type").agg(F.count("*").alias("reactions"))
+    return by_others(b.tables.reactions).groupBy("reaction_type").agg(F.count("*").alias("reactions"))
 
 
 @registered
@@ -194,8 +206,7 @@ def channel_keys(b):
 
 @registered
 def null_tests(b):
-    top, root = F.col("parent_hash").isNull(), F.col("root_parent_hash").isNull()
-    return b.tables.casts.groupBy(top.alias("is_top_level"), root.alias("is_root")).agg(F.count("*").alias("casts"))
+    return b.tables.casts.groupBy(is_top_level().alias("is_top_level"), is_root().alias("is_root")).agg(F.count("*").alias("casts"))
 
 
 @registered
@@ -286,7 +297,7 @@ def scalar_lookup(b):
 @registered
 def explode_words(b):
     """Every space-separated piece of every post, posts without text included."""
-    pieces = b.tables.casts.select("fid", F.explode_outer(F.split("text", " ")).alias("piece"))
+    pieces = b.tables.casts.select("fid", F.explode_outer(text.pieces(F.col("text"))).alias("piece"))
     return pieces.groupBy("fid").agg(F.count("*").alias("pieces"), F.sum(F.length("piece")).alias("characters"))
 
 
@@ -316,22 +327,17 @@ def cond_sum_null(b):
 
 @registered
 def sum_of_expression(b):
-    volume = F.sum(F.col("nft_volume_usd") + F.col("dex_volume_usd"))
-    return b.tables.wallet_activity.groupBy("contracts_deployed").agg(volume.alias("volume_usd"))
+    return b.tables.wallet_activity.groupBy("contracts_deployed").agg(F.sum(volume()).alias("volume_usd"))
 
 
 @registered
 def cond_distinct(b):
     """Distinct authors per channel and week."""
-    live = live_rows(b.tables.casts, b.clock).filter(channels.in_channel())
-    authors = live.groupBy(thread_channel_key().alias("parent_url"), "fid").agg(
-        scores.count_where(b.clock.this_week(live)).alias("now"),
-        scores.count_where(b.clock.last_week(live)).alias("before"),
-    )
+    authors = channels.caster_activity(channels.cast_engagement(b.engaged))
     return authors.groupBy("parent_url").agg(
         F.count("*").alias("casters_14d"),
-        scores.count_where(F.col("now") > 0).alias("casters"),
-        scores.count_where(F.col("before") > 0).alias("casters_last"),
+        scores.count_where(F.col("active") > 0).alias("casters"),
+        scores.count_where(F.col("active_last") > 0).alias("casters_last"),
     )
 
 
@@ -358,8 +364,8 @@ def approx_distinct(b):
 @registered
 def cond_max(b):
     return b.engaged.groupBy("fid").agg(
-        F.max(F.when(F.col("this_week"), F.col("likes"))).alias("most_likes"),
-        F.max(F.when(F.col("last_week"), F.col("likes"))).alias("most_likes_last"),
+        scores.max_where(F.col("this_week"), F.col("likes")).alias("most_likes"),
+        scores.max_where(F.col("last_week"), F.col("likes")).alias("most_likes_last"),
     )
 
 
@@ -367,8 +373,8 @@ def cond_max(b):
 def avg_filter(b):
     active = F.col("total_transactions") > 0
     return b.stored_users.groupBy("fid_active_tier").agg(
-        F.avg(F.when(active, F.col("total_transactions"))).alias("avg_txs"),
-        F.avg(F.when(active, F.col("trading_volume_usd"))).alias("avg_volume_usd"),
+        scores.avg_where(active, F.col("total_transactions")).alias("avg_txs"),
+        scores.avg_where(active, F.col("trading_volume_usd")).alias("avg_volume_usd"),
     )
 
 
@@ -397,7 +403,7 @@ def list_keep_nulls(b):
 
 @registered
 def distinct_rows(b):
-    return b.tables.profiles.select("fid", "fname").distinct()
+    return users.profile_rows(b.tables.profiles)
 
 
 @registered
@@ -424,11 +430,10 @@ def limited_view(b):
 
 @registered
 def union_tags(b):
-    tagged = [
-        live_rows(df, b.clock).groupBy("fid").agg(F.count("*").alias("n")).withColumn("action", F.lit(action))
-        for df, action in ((b.tables.casts, "cast"), (b.tables.links, "follow"), (b.tables.reactions, "react"))
-    ]
-    return tagged[0].unionByName(tagged[1]).unionByName(tagged[2])
+    tables = {"cast": b.tables.casts, "follow": b.tables.links, "react": b.tables.reactions}
+    return trending.tagged({
+        action: live_rows(df, b.clock).groupBy("fid").agg(F.count("*").alias("n")) for action, df in tables.items()
+    })
 
 
 # --- Scalar functions ---
@@ -523,7 +528,7 @@ QUERIES["document_words"] = document_words
 
 @registered
 def array_ops(b):
-    held = F.concat("erc20_addresses", "nft_addresses")
+    held = chain.holdings(F.col("erc20_addresses"), F.col("nft_addresses"))
     token = chain.address_bytes(F.lit(TOKEN))
     return b.tables.wallet_activity.select(
         "wallet",
