@@ -391,10 +391,9 @@ BODIES: dict[str, str] = {
     "key_duplicates": " union all ".join(repeats(t, k) for t, k in KEYS.items()),
     "preview_users": f"select {SHOWN_USERS} from (select * from users order by followers desc, fid, fname nulls last limit 20)",
     "preview_summary": """
-        with head as (select followers, casts from users order by followers desc, fid, fname nulls last limit 20)
-        select unnest(['count', 'min', 'max']) as summary,
-          unnest([count(followers)::varchar, min(followers)::varchar, max(followers)::varchar]) as followers,
-          unnest([count(casts)::varchar, min(casts)::varchar, max(casts)::varchar]) as casts, 29 as columns from head""",
+        select 'count' as summary, count(followers)::varchar as followers, count(casts)::varchar as casts, 29 as columns from (select followers, casts from users order by followers desc, fid, fname nulls last limit 20)
+        union all select 'min', min(followers)::varchar, min(casts)::varchar, 29 from (select followers, casts from users order by followers desc, fid, fname nulls last limit 20)
+        union all select 'max', max(followers)::varchar, max(casts)::varchar, 29 from (select followers, casts from users order by followers desc, fid, fname nulls last limit 20)""",
     "soft_delete_window": """
         select fid, count(*) as casts_14d, nullif(count(*) filter (w_now), 0) as casts_7d from live group by fid""",
     "prev_week_between": f"""
