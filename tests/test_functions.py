@@ -203,3 +203,28 @@ def test_whole_days_and_calendar_days(spark, clock, table):
 def test_fixed_words():
     assert len(COMMON_WORDS) == len(set(COMMON_WORDS))
     assert {"today", "thanks", "followers"} <= set(COMMON_WORDS)
+
+
+def test_fixed_labels_weights_and_words():
+    import hashlib
+
+    from flockmetrics import settings as fixed
+
+    assert [(r.level, r.label) for r in fixed.USER_TIERS] == [
+        (4, "💎 vip"), (3, "🥇 influencer"), (2, "🥈 star"), (1, "🥉 active"), (0, "🤖 npc")
+    ]
+    assert [r.label for r in fixed.USER_TIERS_LAST] == [r.label for r in fixed.USER_TIERS]
+    assert [(r.level, r.label) for r in fixed.CHANNEL_TIERS] == [
+        (4, "👑 stadium"), (3, "🎭 subculture"), (2, "🔍 niche"), (1, "🍻 friends"), (0, "💤 quiet")
+    ]
+    weights = [(w.likes, w.recasts, w.replies) for w in (fixed.ENGAGEMENT_WEIGHTS, fixed.TIER_SCORE_WEIGHTS)]
+    assert weights == [(1, 3, 10), (1, 5, 10)]
+    assert (fixed.IGNORED_DOMAINS, fixed.SPACER) == (("warpcast.com", "x.com", "twitter.com"), "||")
+    assert len(fixed.COMMON_WORDS) == 167
+    assert hashlib.sha256(" ".join(fixed.COMMON_WORDS).encode()).hexdigest() == "f5b4cdb3e2ab3aa23bbab0a63858a25073ba51210f109487ce9ceb28f0c03f3a"
+
+
+def test_trim_takes_all_white_space(spark):
+    texts = ["alpha\u3000 \u2028beta\u2003", "\u205fgamma\x1c \t\u1680delta\r\n", "no\u00a0break \u2007x\u202f"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(text.words_of(F.col("t")).alias("w")).collect()
+    assert [r.w for r in rows] == [["alpha", "beta"], ["gamma", "delta"], ["no\u00a0break", "\u2007x\u202f"]]
