@@ -8,16 +8,18 @@ to the right.
 
 1. Chosen starts are written with a hash of their first ``lead`` bytes and of all bytes a window
    through them can hold (their context). Contexts met twice are repeated as a whole.
-2. One suffix of each context whose lead occurs in another context too is fetched, and sampled
-   splitters range-partition these suffixes by their leading bytes.
+2. One suffix of each context whose lead occurs in another context too is cut from a text that has
+   it, and sampled splitters range-partition these suffixes by their leading bytes.
 3. Each bucket sorts its suffixes, and their left sides read backwards, by multikey quicksort; the
    common lengths of neighbours say for every length to the left whether another suffix shares it
    and the rest to the right.
-4. Where a lead has more contexts than a bucket should hold, its windows are counted by hash in
-   Spark instead; equal leads never meet across a boundary otherwise.
+4. Equal leads never meet across a boundary. Where a lead has more contexts than a bucket should
+   hold, its windows are counted by hash in Spark instead.
+
+Texts are known by their hash and size; equal texts share all results.
 
 Defined results: null is the empty text; texts shorter than ``size`` keep all; matches never cross
-documents; a row that repeats in full repeats the other's windows; null ids are ids like any other.
+documents; a row that repeats in full repeats the other's windows; ids play no part.
 """
 
 from __future__ import annotations
@@ -40,7 +42,8 @@ LEAD = 64
 CROWD = 50_000
 PIECE = 2 << 20
 _LOW_BITS = np.uint64(24)
-_KEYS = ("_id", "_mark")
+_TEXT = ("_mark", "_size")
+_CONTEXT = ("lead", "context")
 
 
 def _rolling(data: np.ndarray, lead: int) -> np.ndarray:
@@ -63,47 +66,87 @@ def _lowest(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(values[: len(values) - rest], values[rest:]) if rest else values
 
 
+def _chosen(data: np.ndarray, windows: np.ndarray | slice, size: int, lead: int) -> tuple[np.ndarray, np.ndarray]:
+    h = _rolling(data, lead)
+    key = (h >> _LOW_BITS << _LOW_BITS) | np.arange(len(h), dtype=np.uint64)
+    lowest = _lowest(key, size - lead + 1)[windows]
+    at = np.unique(lowest & np.uint64((1 << int(_LOW_BITS)) - 1)).astype(np.int64)
+    return at, h[at]
+
+
 def starts(data: np.ndarray, size: int = SIZE, lead: int = LEAD) -> tuple[np.ndarray, np.ndarray]:
     """(position, hash of the lead) of the chosen suffix starts of one document, in order."""
-    chosen, hashes = [], []
-    for first in range(0, max(0, len(data) - size + 1), PIECE):
-        piece = data[first : first + PIECE + size - 1]
-        h = _rolling(piece, lead)
-        key = (h >> _LOW_BITS << _LOW_BITS) | np.arange(len(h), dtype=np.uint64)
-        at = np.unique(_lowest(key, size - lead + 1) & np.uint64((1 << int(_LOW_BITS)) - 1)).astype(np.int64)
-        chosen.append(at + first)
-        hashes.append(h[at])
-    if not chosen:
+    found = [
+        (first, *_chosen(data[first : first + PIECE + size - 1], slice(None), size, lead))
+        for first in range(0, max(0, len(data) - size + 1), PIECE)
+    ]
+    if not found:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     # Pieces overlap, so the last of one may be the first of the next.
-    at, which = np.unique(np.concatenate(chosen), return_index=True)
-    return at, np.concatenate(hashes)[which]
+    at, which = np.unique(np.concatenate([at + first for first, at, _ in found]), return_index=True)
+    return at, np.concatenate([h for _, _, h in found])[which]
+
+
+def starts_of_all(texts: list[bytes], size: int = SIZE, lead: int = LEAD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, position, hash of the lead) of short texts, all at once."""
+    sizes = np.array([len(t) for t in texts], np.int64)
+    ends = np.cumsum(sizes)
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    if len(data) < size:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    first = np.arange(len(data) - size + 1)
+    owner = np.repeat(np.arange(len(texts)), sizes)
+    # Windows that end in another text are none.
+    at, h = _chosen(data, first + size <= ends[owner[first]], size, lead)
+    return owner[at], at - (ends - sizes)[owner[at]], h
 
 
 def _bytes(text) -> bytes:
     return text.encode("utf-8", "surrogatepass") if isinstance(text, str) else b""
 
 
+def _context(raw: bytes, p: int, size: int, lead: int) -> int:
+    """A hash of all bytes that a window through the start can hold; the seed tells how many lie to the left."""
+    left = min(p, size - lead)
+    return xxhash.xxh3_64_intdigest(raw[p - left : p + size], seed=left)
+
+
+def _contexts(raw: bytes, at: np.ndarray, size: int, lead: int) -> np.ndarray:
+    return np.fromiter((_context(raw, p, size, lead) for p in at.tolist()), np.uint64, len(at)).view(np.int64)
+
+
 def _starts_of(size: int, lead: int):
+    def table(texts: list[bytes], rows: list[int], batch: pd.DataFrame) -> pd.DataFrame:
+        if len(texts) == 1:
+            at, h = starts(np.frombuffer(texts[0], np.uint8), size, lead)
+            owner = np.zeros(len(at), np.int64)
+        else:
+            owner, at, h = starts_of_all(texts, size, lead)
+        cut = np.searchsorted(owner, np.arange(len(texts) + 1))
+        context = [_contexts(raw, at[s:e], size, lead) for raw, s, e in zip(texts, cut[:-1], cut[1:], strict=True)]
+        which = np.array(rows)[owner]
+        return pd.DataFrame({
+            "_mark": batch["_mark"].to_numpy()[which], "_size": batch["_size"].to_numpy()[which], "pos": at,
+            "lead": h.view(np.int64), "context": np.concatenate(context),
+        })
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            parts, n = [], 0
-            for key, mark, text in zip(batch["_id"], batch["_mark"], batch["text"], strict=True):
+            texts: list[bytes] = []
+            rows: list[int] = []
+            total = 0
+            for i, text in enumerate(batch["text"]):
                 raw = _bytes(text)
                 if len(raw) < size:
                     continue
-                at, h = starts(np.frombuffer(raw, np.uint8), size, lead)
-                # The seed tells how much of the context lies to the left.
-                context = [
-                    xxhash.xxh3_128_digest(raw[max(0, p - size + lead) : p + size], seed=min(p, size - lead)) for p in at.tolist()
-                ]
-                parts.append(pd.DataFrame({"_id": key, "_mark": mark, "pos": at, "lead": h.view(np.int64), "context": context}))
-                n += len(at)
-                if n > 50_000:
-                    yield pd.concat(parts, ignore_index=True)
-                    parts, n = [], 0
-            if parts:
-                yield pd.concat(parts, ignore_index=True)
+                if texts and total + len(raw) > PIECE:
+                    yield table(texts, rows, batch)
+                    texts, rows, total = [], [], 0
+                texts.append(raw)
+                rows.append(i)
+                total += len(raw)
+            if texts:
+                yield table(texts, rows, batch)
 
     return run
 
@@ -192,10 +235,11 @@ def _bucket(size: int, lead: int):
         rows = list(batches)
         if not rows:
             return
-        table = pd.concat(rows, ignore_index=True)
+        # Texts that occur twice have cut their suffixes twice.
+        table = pd.concat(rows, ignore_index=True).drop_duplicates(list(_CONTEXT), ignore_index=True)
         far_left, far_right = shared_reach(table["right"].tolist(), table["left"].tolist(), size, lead)
         some = far_right > 0
-        yield pd.DataFrame({"context": table["context"][some], "l": far_left[some], "r": far_right[some]})
+        yield table.loc[some, list(_CONTEXT)].assign(l=far_left[some], r=far_right[some])
 
     return run
 
@@ -204,11 +248,11 @@ def _windows(size: int, lead: int):
     """Hash of every window of each suffix, with its length to the left."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for context, right, left in zip(batch["context"], batch["right"], batch["left"], strict=True):
+            for own_lead, context, right, left in zip(batch["lead"], batch["context"], batch["right"], batch["left"], strict=True):
                 whole = left[::-1] + right
                 reach = range(max(0, size - len(right)), min(len(left), size - lead) + 1)
                 yield pd.DataFrame({
-                    "context": [context] * len(reach), "l": list(reach),
+                    "lead": own_lead, "context": context, "l": list(reach),
                     "window": [xxhash.xxh3_128_digest(whole[len(left) - a : len(left) - a + size]) for a in reach],
                 })
 
@@ -221,23 +265,25 @@ def _cut(size: int, lead: int):
         for batch in batches:
             rows = []
             for text, wanted in zip(batch["text"], batch["wanted"], strict=True):
+                contexts = {int(one) for one in wanted.split(",")}
                 raw = _bytes(text)
-                for one in wanted.split(","):
-                    pos, own_lead, context = one.split(":")
-                    p = int(pos)
-                    rows.append((int(own_lead), bytes.fromhex(context), raw[p : p + size], raw[max(0, p - size + lead) : p][::-1]))
+                at, h = starts(np.frombuffer(raw, np.uint8), size, lead)
+                for p, own_lead, context in zip(at.tolist(), h.view(np.int64).tolist(), _contexts(raw, at, size, lead).tolist(), strict=True):
+                    if context in contexts:
+                        contexts.discard(context)
+                        rows.append((own_lead, context, raw[p : p + size], raw[max(0, p - size + lead) : p][::-1]))
+                if len(rows) > 20_000:
+                    yield pd.DataFrame(rows, columns=["lead", "context", "right", "left"])
+                    rows = []
             yield pd.DataFrame(rows, columns=["lead", "context", "right", "left"])
 
     return run
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """Documents with a key that is never null; rows that repeat in full share it."""
-    return docs.select(
-        "*",
-        F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id"),
-        F.xxhash64(F.col("doc_id").isNull(), F.coalesce("text", F.lit(""))).alias("_mark"),
-    )
+    """Documents with the hash and size of their text."""
+    text = F.coalesce("text", F.lit(""))
+    return docs.select("*", F.xxhash64(text).alias("_mark"), F.octet_length(text).alias("_size"))
 
 
 def _maybe_broadcast(df: DataFrame) -> DataFrame:
@@ -245,43 +291,37 @@ def _maybe_broadcast(df: DataFrame) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame, size: int = SIZE, lead: int = LEAD, crowd: int = CROWD) -> DataFrame:
-    """(_id, _mark, _spans): for keyed documents with repeated bytes, "start:end" joined by commas, unmerged."""
+    """(_mark, _size, _spans): for texts with repeated bytes, "start:end" joined by commas, unmerged."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    schema = "_id string, _mark long, pos int, lead long, context binary"
-    chosen = store(docs.select(*_KEYS, "text").mapInPandas(_starts_of(size, lead), schema), "suffix-starts")
+    schema = "_mark long, _size int, pos int, lead long, context long"
+    chosen = store(docs.select("text", *_TEXT).mapInPandas(_starts_of(size, lead), schema), "suffix-starts")
 
-    contexts = store(
-        chosen.groupBy("lead", "context").agg(F.count("*").alias("copies"), F.min(F.struct(*_KEYS, "pos")).alias("first")),
-        "contexts",
-    )
+    contexts = store(chosen.groupBy(*_CONTEXT).agg(F.count("*").alias("copies"), F.min("_mark").alias("_mark")), "contexts")
     shared = store(contexts.groupBy("lead").agg(F.count("*").alias("n")).filter("n > 1"), "shared-leads")
-    suffixes = contexts.join(_maybe_broadcast(shared), "lead").select(
-        "first.*", F.concat_ws(":", "first.pos", "lead", F.hex("context")).alias("wanted")
-    )
-    wanted = store(suffixes.groupBy(*_KEYS).agg(F.array_join(F.collect_list("wanted"), ",").alias("wanted")), "wanted-suffixes")
-    # Rows that repeat in full share a key; one of them is enough.
-    cut = (
-        docs.select(*_KEYS, "text").join(_maybe_broadcast(wanted), list(_KEYS)).select("text", "wanted")
-        .mapInPandas(_cut(size, lead), "lead long, context binary, right binary, left binary")
-    )
-    cut = store(cut.join(_maybe_broadcast(shared), "lead").select("context", "right", "left", "n"), "suffixes")
-
-    few = cut.filter(F.col("n") <= crowd).dropDuplicates(["context"])
-    dealt = few.repartitionByRange(parts, F.substring("right", 1, lead)).select("context", "right", "left")
-    met = dealt.mapInPandas(_bucket(size, lead), "context binary, l int, r int")
-    many = cut.filter(F.col("n") > crowd)
-    if not many.isEmpty():
-        windows = many.select("context", "right", "left").mapInPandas(_windows(size, lead), "context binary, l int, window binary").distinct()
+
+    def suffixes(leads: DataFrame) -> DataFrame:
+        """(lead, context, right, left) of all contexts with one of the leads."""
+        needed = contexts.join(_maybe_broadcast(leads), "lead", "left_semi")
+        wanted = store(needed.groupBy("_mark").agg(F.array_join(F.collect_list("context"), ",").alias("wanted")), "wanted")
+        texts = docs.select("_mark", "text").join(_maybe_broadcast(wanted), "_mark").select("text", "wanted")
+        return texts.mapInPandas(_cut(size, lead), "lead long, context long, right binary, left binary")
+
+    dealt = suffixes(shared.filter(F.col("n") <= crowd).select("lead")).repartitionByRange(parts, F.substring("right", 1, lead))
+    met = dealt.mapInPandas(_bucket(size, lead), "lead long, context long, l int, r int")
+    crowds = shared.filter(F.col("n") > crowd).select("lead")
+    if not crowds.isEmpty():
+        windows = suffixes(crowds).mapInPandas(_windows(size, lead), "lead long, context long, l int, window binary").distinct()
         # At equal lengths to the left, two contexts are two places.
         twice = windows.groupBy("l", "window").count().filter("count > 1").select("l", "window")
-        met = met.union(windows.join(twice, ["l", "window"], "left_semi").groupBy("context").agg(
+        met = met.union(windows.join(twice, ["l", "window"], "left_semi").groupBy(*_CONTEXT).agg(
             F.max("l").alias("l"), (F.lit(size) - F.min("l")).cast("int").alias("r")))
-    whole = contexts.filter("copies > 1").select("context", F.lit(size - lead).alias("l"), F.lit(size).alias("r"))
-    reach = store(met.union(whole).groupBy("context").agg(F.max("l").alias("l"), F.max("r").alias("r")), "reaches")
+    whole = contexts.filter("copies > 1").select(*_CONTEXT, F.lit(size - lead).alias("l"), F.lit(size).alias("r"))
+    reach = met.union(whole).groupBy(*_CONTEXT).agg(F.max("l").alias("l"), F.max("r").alias("r"))
     start, end = F.greatest(F.col("pos") - F.col("l"), F.lit(0)), F.col("pos") + F.col("r")
-    spans = chosen.join(_maybe_broadcast(reach), "context").select(*_KEYS, F.concat_ws(":", start, end).alias("span"))
-    return spans.distinct().groupBy(*_KEYS).agg(F.array_join(F.collect_list("span"), ",").alias("_spans"))
+    # A context of very many copies is cut up by adaptive execution.
+    spans = chosen.join(reach, list(_CONTEXT)).select(*_TEXT, F.concat_ws(":", start, end).alias("span"))
+    return spans.distinct().groupBy(*_TEXT).agg(F.array_join(F.collect_list("span"), ",").alias("_spans"))
 
 
 def _kept(raw: bytes, spans) -> tuple[bytes, int, int]:
@@ -313,6 +353,6 @@ def without_repeats(docs: DataFrame, name: str = "result", digest: bool = False,
                 rows.append((len(raw), removed, runs, hashlib.sha256(kept).hexdigest() if digest else kept))
             yield pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "kept"])
 
-    joined = keyed.join(_maybe_broadcast(spans), list(_KEYS), "left")
+    joined = keyed.join(_maybe_broadcast(spans), list(_TEXT), "left")
     result: Column = apply.asNondeterministic()("text", "_spans")
-    return joined.withColumn(name, result).drop(*_KEYS, "_spans")
+    return joined.withColumn(name, result).drop(*_TEXT, "_spans")
