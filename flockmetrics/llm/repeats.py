@@ -40,7 +40,7 @@ from flockmetrics.sources.stored import store
 SIZE = 400
 LEAD = 64
 CROWD = 50_000
-PIECE = 2 << 20
+PIECE = 1 << 19
 _LOW_BITS = np.uint64(24)
 _TEXT = ("_mark", "_size")
 _CONTEXT = ("lead", "context")
@@ -317,9 +317,9 @@ def repeated_spans(docs: DataFrame, size: int = SIZE, lead: int = LEAD, crowd: i
         met = met.union(windows.join(twice, ["l", "window"], "left_semi").groupBy(*_CONTEXT).agg(
             F.max("l").alias("l"), (F.lit(size) - F.min("l")).cast("int").alias("r")))
     whole = contexts.filter("copies > 1").select(*_CONTEXT, F.lit(size - lead).alias("l"), F.lit(size).alias("r"))
-    reach = met.union(whole).groupBy(*_CONTEXT).agg(F.max("l").alias("l"), F.max("r").alias("r"))
+    reach = store(met.union(whole).groupBy(*_CONTEXT).agg(F.max("l").alias("l"), F.max("r").alias("r")), "reaches")
     start, end = F.greatest(F.col("pos") - F.col("l"), F.lit(0)), F.col("pos") + F.col("r")
-    # A context of very many copies is cut up by adaptive execution.
+    # Both sides are plain scans, so adaptive execution cuts up a context of very many copies.
     spans = chosen.join(reach, list(_CONTEXT)).select(*_TEXT, F.concat_ws(":", start, end).alias("span"))
     return spans.distinct().groupBy(*_TEXT).agg(F.array_join(F.collect_list("span"), ",").alias("_spans"))
 
