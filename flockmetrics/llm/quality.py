@@ -14,7 +14,6 @@ every score is one half; rows that repeat score alike.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np

@@ -29,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -105,6 +106,12 @@ def _bytes(text) -> bytes:
     return text.encode("utf-8", "surrogatepass") if isinstance(text, str) else b""
 
 
+def _raw(texts: pa.Array) -> Iterator[bytes]:
+    """UTF-8 bytes of one text after the other, as they lie in the batch."""
+    for text in texts:
+        yield text.as_buffer().to_pybytes() if text.is_valid else b""
+
+
 def _context(raw: bytes, p: int, size: int, lead: int) -> int:
     """A hash of all bytes that a window through the start can hold; the seed tells how many lie to the left."""
     left = min(p, size - lead)
@@ -116,7 +123,7 @@ def _contexts(raw: bytes, at: np.ndarray, size: int, lead: int) -> np.ndarray:
 
 
 def _starts_of(size: int, lead: int):
-    def table(texts: list[bytes], rows: list[int], batch: pd.DataFrame) -> pd.DataFrame:
+    def table(texts: list[bytes], rows: list[int], batch: pa.RecordBatch) -> pa.RecordBatch:
         if len(texts) == 1:
             at, h = starts(np.frombuffer(texts[0], np.uint8), size, lead)
             owner = np.zeros(len(at), np.int64)
@@ -125,18 +132,16 @@ def _starts_of(size: int, lead: int):
         cut = np.searchsorted(owner, np.arange(len(texts) + 1))
         context = [_contexts(raw, at[s:e], size, lead) for raw, s, e in zip(texts, cut[:-1], cut[1:], strict=True)]
         which = np.array(rows)[owner]
-        return pd.DataFrame({
-            "_mark": batch["_mark"].to_numpy()[which], "_size": batch["_size"].to_numpy()[which], "pos": at,
-            "lead": h.view(np.int64), "context": np.concatenate(context),
-        })
+        marks, sizes = (batch.column(i).to_numpy()[which] for i in (1, 2))
+        columns = (marks, sizes, at.astype(np.int32), h.view(np.int64), np.concatenate(context))
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["_mark", "_size", "pos", "lead", "context"])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts: list[bytes] = []
             rows: list[int] = []
             total = 0
-            for i, text in enumerate(batch["text"]):
-                raw = _bytes(text)
+            for i, raw in enumerate(_raw(batch.column(0))):
                 if len(raw) < size:
                     continue
                 if texts and total + len(raw) > PIECE:
@@ -261,21 +266,25 @@ def _windows(size: int, lead: int):
 
 def _cut(size: int, lead: int):
     """The bytes around the wanted starts of a text: to the right, and to the left read backwards."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def table(rows: list[tuple]) -> pa.RecordBatch:
+        kinds = {"lead": pa.int64(), "context": pa.int64(), "right": pa.binary(), "left": pa.binary()}
+        columns = zip(*rows, strict=True) if rows else [()] * len(kinds)
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds.values(), strict=True)], names=list(kinds))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for text, wanted in zip(batch["text"], batch["wanted"], strict=True):
-                contexts = {int(one) for one in wanted.split(",")}
-                raw = _bytes(text)
+            for raw, wanted in zip(_raw(batch.column(0)), batch.column(1), strict=True):
+                contexts = {int(one) for one in wanted.as_py().split(",")}
                 at, h = starts(np.frombuffer(raw, np.uint8), size, lead)
                 for p, own_lead, context in zip(at.tolist(), h.view(np.int64).tolist(), _contexts(raw, at, size, lead).tolist(), strict=True):
                     if context in contexts:
                         contexts.discard(context)
                         rows.append((own_lead, context, raw[p : p + size], raw[max(0, p - size + lead) : p][::-1]))
-                if len(rows) > 20_000:
-                    yield pd.DataFrame(rows, columns=["lead", "context", "right", "left"])
+                if len(rows) > 10_000:
+                    yield table(rows)
                     rows = []
-            yield pd.DataFrame(rows, columns=["lead", "context", "right", "left"])
+            yield table(rows)
 
     return run
 
@@ -295,7 +304,7 @@ def repeated_spans(docs: DataFrame, size: int = SIZE, lead: int = LEAD, crowd: i
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     schema = "_mark long, _size int, pos int, lead long, context long"
-    chosen = store(docs.select("text", *_TEXT).mapInPandas(_starts_of(size, lead), schema), "suffix-starts")
+    chosen = store(docs.select("text", *_TEXT).mapInArrow(_starts_of(size, lead), schema), "suffix-starts")
 
     contexts = store(chosen.groupBy(*_CONTEXT).agg(F.count("*").alias("copies"), F.min("_mark").alias("_mark")), "contexts")
     shared = store(contexts.groupBy("lead").agg(F.count("*").alias("n")).filter("n > 1"), "shared-leads")
@@ -305,7 +314,7 @@ def repeated_spans(docs: DataFrame, size: int = SIZE, lead: int = LEAD, crowd: i
         needed = contexts.join(_maybe_broadcast(leads), "lead", "left_semi")
         wanted = store(needed.groupBy("_mark").agg(F.array_join(F.collect_list("context"), ",").alias("wanted")), "wanted")
         texts = docs.select("_mark", "text").join(_maybe_broadcast(wanted), "_mark").select("text", "wanted")
-        return texts.mapInPandas(_cut(size, lead), "lead long, context long, right binary, left binary")
+        return texts.mapInArrow(_cut(size, lead), "lead long, context long, right binary, left binary")
 
     dealt = suffixes(shared.filter(F.col("n") <= crowd).select("lead")).repartitionByRange(parts, F.substring("right", 1, lead))
     met = dealt.mapInPandas(_bucket(size, lead), "lead long, context long, l int, r int")
