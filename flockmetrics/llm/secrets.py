@@ -1,9 +1,9 @@
 """Secrets: patterns of assignments and keys, and strings that a tokenizer cannot shorten.
 
 A string of characters drawn at random costs a token for one or two of its characters, a word or a
-name one for three and more. Long unbroken strings of letters and digits with few characters per
-token are reported as ``random``, unless they are known digests (hexadecimal of a usual length),
-UUIDs, numbers, or names made of readable parts.
+name one for three and more. Long unbroken strings of letters, with or without digits, and with few
+characters per token are reported as ``random``, unless they are known digests (hexadecimal of a
+usual length), UUIDs, numbers, or names made of readable parts.
 
 Defined results: null is the empty text, which has no spans; repeated rows get equal spans; other
 columns are passed through.
@@ -52,7 +52,7 @@ def finder(path: str, pattern: str, chars_per_token: float = CHARS_PER_TOKEN) ->
 
     def is_random(value: str) -> bool:
         core = value.strip("=-_/+")
-        if len(core) < LEAST_CHARS or not (re.search("[0-9]", core) and re.search("[A-Za-z]", core)):
+        if len(core) < LEAST_CHARS or not re.search("[A-Za-z]", core):
             return False
         if len(core) in _DIGEST_SIZES and _DIGEST.match(core) or _UUID.match(core):
             return False

@@ -98,3 +98,13 @@ def test_redaction(spark):
     out = [r.t for r in pii.with_spans(df).select(pii.redacted("text", "spans").alias("t")).collect()]
     assert out[1] == "none" and out[0].startswith("mail [email] or [url]") and "@" not in out[0]
     assert pii.with_spans(df).select(pii.as_text(F.col("spans")).alias("s")).collect()[0].s.startswith("email:5:12,")
+
+
+@pytest.mark.parametrize(("text", "found"), [
+    ("dkWqHzPvXnTbLrGmYcJsQfAe", True),
+    ("key dkWqHzPvXnTbLrGmYcJsQfAe end", True),
+    ("internationalisationcommittee", False),
+    ("1234-5678-9012-3456-7890", False),
+])
+def test_random_strings_without_digits(text, found):
+    assert any(k == "random" for k, _, _ in secrets.finder(*tokenizer())(text)) == found
