@@ -1,12 +1,13 @@
-"""SimHash near-duplicates: fingerprints, multi-index search within three bits, components.
+"""SimHash near-duplicates: fingerprints, multi-index search within some bits, components.
 
 Documents are reduced to distinct fingerprints first, so copies cost one row. Two fingerprints
-within three bits differ by at most one bit in one of their halves. Every fingerprint files itself
-under both halves and probes the ball of radius one around each; as of two halves that differ in
-one bit exactly one has that bit set, only set bits are cleared, never the others set. Rows of one
-half meet in one sorted partition, where distances are verified and only the edges of a spanning
-forest leave, never all pairs. A very full half is re-dealt by the bytes of the other half (of four
-bytes, three differing bits leave one equal), which loses no link.
+within three bits differ by at most one bit in one of their halves; for more bits there are more
+segments, one for each two bits and one over. Every fingerprint files itself under all segments
+and probes the ball of radius one around each; as of two segments that differ in one bit exactly
+one has that bit set, only set bits are cleared, never the others set. Rows of one segment meet in
+one sorted partition, where distances are verified and only the edges of a spanning forest leave,
+never all pairs. A very full segment is re-dealt by pieces of the other bits, one more than bits
+may differ (of four bytes, three differing bits leave one equal), which loses no link.
 
 Defined results: null, empty and blank texts have fingerprint zero and are linked like any other;
 repeated rows each get a row; a component whose ids are all null has a null id.
@@ -123,33 +124,59 @@ def _edges_of_sorted(bits: int):
     return run
 
 
-def _ball(number: int, half: Column) -> Column:
-    """Rows (key, filed) of one half: its own key, and its key with one set bit cleared at a time."""
-    key = half.bitwiseOR(F.lit(number << 32))
+def _cuts(width: int, parts: int) -> list[tuple[int, int]]:
+    """(lowest bit, bits) of ``parts`` pieces of ``width`` bits; a piece without bits is equal everywhere."""
+    ends = [i * width // parts for i in range(parts + 1)]
+    return [(start, end - start) for start, end in zip(ends[:-1], ends[1:], strict=True)]
+
+
+def _segments(bits: int) -> list[tuple[int, int]]:
+    """(lowest bit, bits) of the segments, of which one differs by at most one bit if the whole does by ``bits``."""
+    return _cuts(64, max(2, bits // 2 + 1))
+
+
+def _piece(value: Column, start: int, width: int) -> Column:
+    return F.shiftrightunsigned(value, start).bitwiseAND(F.lit((1 << width) - 1)) if width else F.lit(0).cast("long")
+
+
+def _ball(number: int, segment: Column, width: int) -> Column:
+    """Rows (key, filed) of one segment: its own key, and its key with one set bit cleared at a time."""
+    key = segment.bitwiseOR(F.lit(number << 32))
 
     def cleared(bit: Column) -> Column:
         mask = F.call_function("shiftleft", F.lit(1).cast("long"), bit)
         return F.struct(key.bitwiseXOR(mask).alias("key"), F.lit(0).alias("filed"))
 
-    set_bits = F.filter(F.sequence(F.lit(0), F.lit(31)), lambda bit: F.getbit(half, bit) == 1)
+    set_bits = F.filter(F.sequence(F.lit(0), F.lit(width - 1)), lambda bit: F.getbit(segment, bit) == 1)
     return F.concat(F.array(F.struct(key.alias("key"), F.lit(1).alias("filed"))), F.transform(set_bits, cleared))
 
 
-def _filed_and_probed(prints: DataFrame) -> DataFrame:
-    """(key, f, filed): each fingerprint under both halves, and under each with one set bit cleared."""
-    halves = [F.shiftrightunsigned("f", 32), F.col("f").bitwiseAND(F.lit(0xFFFFFFFF))]
-    rows = F.concat(*[_ball(number, half) for number, half in enumerate(halves)])
+def _filed_and_probed(prints: DataFrame, bits: int) -> DataFrame:
+    """(key, f, filed): each fingerprint under all segments, and under each with one set bit cleared."""
+    rows = F.concat(*[_ball(number, _piece(F.col("f"), start, width), width) for number, (start, width) in enumerate(_segments(bits))])
     return prints.select("f", F.explode(rows).alias("row")).select("row.key", "f", "row.filed")
 
 
+def _others(number: int, bits: int) -> list[Column]:
+    """Pieces of all bits but those of a segment: two fingerprints within ``bits`` have one of them equal."""
+    start, width = _segments(bits)[number]
+    below = _piece(F.col("f"), 0, start)
+    above = F.shiftleft(F.shiftrightunsigned("f", start + width), start) if start + width < 64 else F.lit(0).cast("long")
+    rest = below.bitwiseOR(above)
+    return [_piece(rest, *cut) for cut in _cuts(64 - width, bits + 1)]
+
+
 def links(prints: DataFrame, bits: int = BITS, full: int = FULL) -> DataFrame:
-    """(src, dst) over distinct fingerprints ``f``: edges that connect all pairs within ``bits``, 3 at most."""
-    rows = _filed_and_probed(prints)
+    """(src, dst) over distinct fingerprints ``f``: edges that connect all pairs within ``bits``."""
+    rows = _filed_and_probed(prints, bits)
     crowded = store(rows.groupBy("key").count().filter(F.col("count") > full).select(F.col("key").alias("crowd")), "crowded-halves")
     crowded = F.broadcast(crowded) if fits_broadcast(crowded) else crowded
-    other = F.when(F.shiftrightunsigned("key", 32) == 0, F.col("f")).otherwise(F.shiftrightunsigned("f", 32))
-    by_byte = F.array(*[F.xxhash64("key", F.lit(i), F.shiftrightunsigned(other, 8 * i).bitwiseAND(F.lit(255))) for i in range(4)])
-    deals = F.when(F.col("crowd").isNull(), F.array(F.xxhash64("key"))).otherwise(by_byte)
+    number = F.shiftrightunsigned("key", 32)
+    by_piece = [F.array(*[F.xxhash64("key", F.lit(i), piece) for i, piece in enumerate(_others(n, bits))]) for n in range(len(_segments(bits)))]
+    dealt_again = by_piece[-1]
+    for n in range(len(by_piece) - 1):
+        dealt_again = F.when(number == n, by_piece[n]).otherwise(dealt_again)
+    deals = F.when(F.col("crowd").isNull(), F.array(F.xxhash64("key"))).otherwise(dealt_again)
     dealt = rows.join(crowded, F.col("key") == F.col("crowd"), "left").select(F.explode(deals).alias("deal"), "f", "filed")
     parts = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (

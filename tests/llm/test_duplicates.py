@@ -186,3 +186,24 @@ def test_multikey_order():
         for before, after, n in zip(got, got[1:], common[1:], strict=False):
             same = [a == b for a, b in zip(before, after, strict=False)] + [False]
             assert n == same.index(False)
+
+
+@pytest.mark.parametrize("full", [4_096, 1])
+@pytest.mark.parametrize("bits", [0, 1, 4, 5, 8, 11])
+def test_links_within_other_bits(spark, bits, full):
+    rnd = random.Random(bits)
+    values = {0, (1 << 64) - 1}
+    for _ in range(25):
+        centre = rnd.getrandbits(64)
+        values.add(centre)
+        for flips in (bits, bits, bits + 1):
+            near = centre
+            for bit in rnd.sample(range(64), flips):
+                near ^= 1 << bit
+            values.add(near)
+    values = sorted(values)
+    df = spark.createDataFrame([(v - (v >> 63 << 64),) for v in values], "f long")
+    edges = {tuple(x & (1 << 64) - 1 for x in r) for r in simhash.links(df, bits, full).collect()}
+    assert all((a ^ b).bit_count() <= bits for a, b in edges)
+    label = plain_classes(values, lambda a, b: (a ^ b).bit_count() <= bits)
+    assert plain_classes(values, lambda a, b: (a, b) in edges or (b, a) in edges) == label
