@@ -9,7 +9,7 @@ are averaged, and every document is scored as a sparse dot product.
 
 Defined results: null is the empty text, which has no features and scores by the intercept; labels
 that contradict each other for one id count by majority, a tie as good; without any learning row
-every score is one half; rows that repeat score alike.
+every score is one half; rows that repeat score alike and are learnt once.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flockmetrics.llm.texts import flat, mixed, slices, with_result
@@ -115,13 +115,11 @@ def _train(texts: list[str], labels: np.ndarray, epochs: int) -> tuple[np.ndarra
     return final[:DIM], float(final[DIM])
 
 
-def learn(
-    docs: DataFrame, labels: DataFrame, rows: int = LEARN_ROWS, shard_rows: int = SHARD_ROWS, epochs: int = EPOCHS
-) -> Model:
-    """Fit on (doc_id, text) with (doc_id, quality), on at most ``rows`` of the labelled ids.
+def learning_rows(docs: DataFrame, labels: DataFrame, rows: int = LEARN_ROWS, shard_rows: int = SHARD_ROWS) -> tuple[DataFrame, int]:
+    """(doc_id, text, label, _shard), at most ``rows`` of them, and the number of shards.
 
-    Which ids is decided by their hash, so the choice is the same in every run; their whole texts
-    are used.
+    Copies with equal id and text are one row. The first texts of all labelled ids come before any
+    others, which are taken by hash, so an id with very many texts leaves no id out.
     """
     known = store(
         labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull())
@@ -129,9 +127,35 @@ def learn(
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows),
         "labelled",
     )
-    shards = max(1, -(-known.count() // shard_rows))
-    # Bounded by ``rows``.
-    sample = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(known), "doc_id")
+    text = F.coalesce("text", F.lit("")).alias("text")
+    # Bounded by ``rows``, as is what joins it below.
+    named = docs.select("doc_id", F.xxhash64(text).alias("mark")).join(F.broadcast(known), "doc_id")
+    pairs = store(named.groupBy("doc_id", "label", "mark").agg(F.count("*").alias("n")), "labelled-texts")
+    firsts = F.broadcast(pairs.groupBy("doc_id").agg(F.min("mark").alias("first")))
+    chosen = store(
+        pairs.join(firsts, "doc_id").withColumn("more", F.col("mark") != F.col("first"))
+        .orderBy("more", F.xxhash64("doc_id", "mark"), "doc_id", "mark").limit(rows),
+        "learning",
+    )
+    count, most = chosen.agg(F.count("*"), F.max("n")).first()
+    shards = max(1, -(-count // shard_rows))
+    deal = F.pmod(F.when(F.col("more"), F.xxhash64("doc_id", "mark")).otherwise(F.xxhash64("doc_id", F.lit(1))), F.lit(shards)).alias("_shard")
+    wanted = F.broadcast(chosen.select("doc_id", "mark", "label", deal))
+    sample = docs.select("doc_id", text, F.xxhash64(text).alias("mark")).join(wanted, ["doc_id", "mark"])
+    if (most or 0) > 1:
+        sample = sample.dropDuplicates(["doc_id", "mark"])
+    return sample.drop("mark"), shards
+
+
+def learn(
+    docs: DataFrame, labels: DataFrame, rows: int = LEARN_ROWS, shard_rows: int = SHARD_ROWS, epochs: int = EPOCHS
+) -> Model:
+    """Fit on (doc_id, text) with (doc_id, quality), on at most ``rows`` different labelled documents.
+
+    Which ones is decided by the hash of their id, so the choice is the same in every run; their
+    whole texts are used.
+    """
+    parts, shards = learning_rows(docs, labels, rows, shard_rows)
 
     def train(shard: pd.DataFrame) -> pd.DataFrame:
         shard = shard.sort_values(["doc_id", "text"])
@@ -139,7 +163,6 @@ def learn(
         some = np.flatnonzero(weights)
         return pd.DataFrame({"bucket": np.r_[some, DIM], "weight": np.r_[weights[some], intercept]})
 
-    parts = sample.withColumn("_shard", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(shards)))
     found = (
         parts.groupBy("_shard").applyInPandas(train, "bucket int, weight double")
         .groupBy("bucket").agg((F.sum("weight") / shards).alias("weight")).toPandas()

@@ -89,3 +89,20 @@ def test_quality_defined_results(spark, awkward, nothing):
     model = quality.learn(awkward, labels)
     assert quality.with_score(awkward, model, "s").count() == awkward.count()
     assert quality.with_score(nothing, model).count() == 0
+
+
+def test_ids_that_repeat_are_learnt_within_the_limit(spark, prose):
+    single = [(i, prose(i, 30) + " !!" * (i % 2)) for i in range(1, 40)]
+    labels = spark.createDataFrame([(i, int(i % 2 == 0)) for i in range(40)], "doc_id long, quality int")
+
+    def frame(rows):
+        return spark.createDataFrame(rows, "doc_id long, text string")
+
+    # Copies change nothing.
+    once, copied = (quality.learn(frame(rows), labels) for rows in (single, single + single[:5] * 60))
+    assert np.allclose(once.weights, copied.weights) and np.isclose(once.intercept, copied.intercept)
+    many = frame(single + [(0, prose(1_000 + i, 10)) for i in range(400)])
+    rows, shards = quality.learning_rows(many, labels, rows=60, shard_rows=15)
+    found = rows.collect()
+    assert len(found) == 60 and {r.doc_id for r in found} == set(range(40)) and shards == 4
+    assert max(sum(r._shard == s for r in found) for s in range(shards)) < 30
