@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 STOPWORDS_SCHEMA = T.StructType([T.StructField("stopwords", T.StringType())])
@@ -14,7 +13,7 @@ def read_csv_table(spark: SparkSession, path: str, schema: T.StructType | None =
 
     Quotes in a field are doubled, fields may hold line breaks, a backslash is itself, and a
     byte-order mark is no part of the first name. As a line break may be inside a field, a file
-    is one task; reference files stay below 200 MB. A row that does not fit the header raises.
+    is one task; files stay below 200 MB, a larger table is a folder of them, each with the header. A row that does not fit the header raises.
     """
     reader = spark.read.options(header=True, quote='"', escape='"', multiLine=True, mode="FAILFAST")
     rows = (reader.schema(schema) if schema else reader).csv(path)
@@ -27,18 +26,15 @@ def table_name(file_name: str) -> str:
 
 
 def csv_files(spark: SparkSession, folder: str) -> list[str]:
-    """Paths of the CSV files directly in a folder; Spark lists it, so any file system works."""
-    listing = (
-        spark.read.format("binaryFile")
-        .option("pathGlobFilter", "*.csv")
-        .load(folder)
-        .select(F.col("path"))
-    )
-    return sorted(row.path for row in listing.collect())
+    """Paths of the CSV files directly in a folder, and of folders named like one, whose files are the parts of one table."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [status.getPath() for status in files.listStatus(path)]
+    return sorted(p.toString() for p in names if p.getName().endswith(".csv") and not p.getName().startswith(("_", ".")))
 
 
 def register_csv_folder(spark: SparkSession, folder: str, permanent: bool = False) -> dict[str, DataFrame]:
-    """Every CSV file of a folder as a view, or table of the catalog, named after it; other files
+    """Every CSV file of a folder, or sub-folder ``*.csv`` of part files, as a view, or table of the catalog, named after it; other files
     are left alone. Files whose names come to the same table raise."""
     paths: dict[str, str] = {}
     for path in csv_files(spark, folder):

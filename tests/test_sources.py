@@ -157,3 +157,24 @@ def test_duplicate_key_report(tables):
     )
     report = {r.table_name: (r.repeated_keys, r.rows_with_repeated_key) for r in duplicate_keys(made).collect()}
     assert report["profiles"] == (1, 2) and report["casts"] == (0, 0)
+
+
+def test_csv_folder_of_part_files(spark, tmp_path):
+    parts = tmp_path / "Big List.csv"
+    parts.mkdir()
+    for i, rows in enumerate(["", '1,"a ""b"", c\nd"\n', "2,x\\\n3,y\n"]):
+        (parts / f"part-{i}.txt").write_bytes(f"\ufeffn,note\n{rows}".encode())
+    (tmp_path / "small.csv").write_text("n\n1\n")
+    (tmp_path / "other").mkdir()
+    found = register_csv_folder(spark, str(tmp_path))
+    assert set(found) == {"big_list", "small"} and found["big_list"].columns == ["n", "note"]
+    assert sorted(map(tuple, found["big_list"].collect())) == [("1", 'a "b", c\nd'), ("2", "x\\"), ("3", "y")]
+
+
+def test_csv_query_writes_and_reads_in_parts(spark, smoke_dir, monkeypatch):
+    from workload import queries
+
+    whole = sorted(map(tuple, queries.src_csv_folder(spark, smoke_dir).collect()))
+    monkeypatch.setattr(queries, "CSV_ROWS", 50)
+    cut = queries.src_csv_folder(spark, smoke_dir)
+    assert sorted(map(tuple, cut.collect())) == whole and len(cut.inputFiles()) > len(whole) // 50 > 1

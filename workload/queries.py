@@ -111,13 +111,24 @@ def write_csv(spark: SparkSession, lines: DataFrame, folder: str, name: str) ->
     files.rename(part, hadoop.Path(f"{folder}/{name}"))
 
 
+#: Rows of a part file: some 100 MB.
+CSV_ROWS = 1_000_000
+
+
+def write_csv_parts(spark: SparkSession, head: str, lines: DataFrame, path: str) -> None:
+    """Raw lines as a folder of files that each begin with ``head``; one holds nothing else."""
+    # The lower 33 bits number the rows of a task, which begins a file with every ``CSV_ROWS``.
+    nth = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    headed = lines.select(F.when(nth % CSV_ROWS == 0, F.concat(F.lit(f"{head}\n"), "value")).otherwise(F.col("value")).alias("value"))
+    spark.range(0, 1, 1, 1).select(F.lit(head).alias("value")).union(headed).write.option("maxRecordsPerFile", CSV_ROWS).text(path)
+
+
 def src_csv_folder(spark, sf_dir):
-    """Parts in a CSV file with a byte-order mark, quotes, line breaks and backslashes, next to other files."""
+    """Parts in a folder of CSV files with a byte-order mark, quotes, line breaks and backslashes, next to other files."""
     folder = f"{shared_folder(spark)}/csv-{uuid.uuid4().hex}"
     field = F.concat(F.lit('"say ""'), "p_name", F.lit('"", ok\nand \\"'))
     rows = source(spark, sf_dir, "part").select(F.concat_ws(",", "p_partkey", field, "p_brand").alias("value"))
-    head = spark.range(1).select(F.lit("\ufeffp_partkey,note,p_brand").alias("value"))
-    write_csv(spark, head.union(rows), folder, "Part Notes.v2.csv")
+    write_csv_parts(spark, "\ufeffp_partkey,note,p_brand", rows, f"{folder}/Part Notes.v2.csv")
     write_csv(spark, spark.range(1).select(F.lit("no, table").alias("value")), folder, "readme.txt")
     loaded = register_csv_folder(spark, folder)
     return loaded["part_notes"].select(
