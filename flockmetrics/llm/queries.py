@@ -65,17 +65,30 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def change_feed(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
-    """Every document arrives; then those labelled poor are cleaned of signs and those labelled toxic are taken down."""
-    docs = _read(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+    """Every document arrives; then those labelled poor are cleaned of signs and those labelled toxic are taken down.
+
+    In the feed ``doc_id`` is the place of the row, its file's number and its index there, as the
+    ids of the table may be null or repeat and every row is a document.
+    """
+    docs = _read(spark, sf_dir, "documents")
+    docs = docs.select("doc_id", "source", "lang", "text", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_index"))
+    # A short list: one row for each file.
+    paths = sorted(r._file for r in docs.select("_file").distinct().collect())
+    files = F.broadcast(spark.createDataFrame(list(zip(paths, range(len(paths)), strict=True)), "_file string, _number long"))
+    place = F.shiftleft("_number", 40).bitwiseOR(F.col("_index")).alias("_place")
+    docs = docs.join(files, "_file").select("doc_id", "source", "lang", "text", place)
     labels = _read(spark, sf_dir, "labels").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
     poor = store(labels.filter("quality = 0").select("doc_id"), "poor")
     poor = F.broadcast(poor) if fits_broadcast(poor) else poor
     cleaned = docs.join(poor, "doc_id", "left_semi").withColumn("text", F.translate("text", "!#$%&*|", ""))
-    gone = labels.filter("toxic = 1").select(
-        "doc_id", F.lit("delete").alias("op"), F.lit(2).alias("seq"), *[F.lit(None).cast("string").alias(c) for c in ("source", "lang", "text")]
+    toxic = store(labels.filter("toxic = 1").select("doc_id"), "toxic")
+    toxic = F.broadcast(toxic) if fits_broadcast(toxic) else toxic
+    gone = docs.select("doc_id", "_place").join(toxic, "doc_id", "left_semi").select(
+        "_place", F.lit("delete").alias("op"), F.lit(2).alias("seq"), *[F.lit(None).cast("string").alias(c) for c in ("source", "lang", "text")]
     )
-    revised = cleaned.select("*", F.lit("upsert").alias("op"), F.lit(1).alias("seq")).unionByName(gone)
-    return [docs.select("*", F.lit("upsert").alias("op"), F.lit(0).alias("seq")), revised]
+    revised = cleaned.drop("doc_id").select("*", F.lit("upsert").alias("op"), F.lit(1).alias("seq")).unionByName(gone)
+    arrivals = docs.drop("doc_id").select("*", F.lit("upsert").alias("op"), F.lit(0).alias("seq"))
+    return [feed.withColumnRenamed("_place", "doc_id") for feed in (arrivals, revised)]
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

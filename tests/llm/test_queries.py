@@ -73,3 +73,16 @@ def test_the_rest_does_not_import_the_subpackage():
 
     code = "import sys, workload.queries, flockmetrics, bench; assert not [m for m in sys.modules if 'llm' in m]"
     subprocess.run([sys.executable, "-c", code], check=True)
+
+
+def test_token_counts_of_ids_that_are_null_or_repeat(spark, tmp_path):
+    docs = [(None, "one two", "en", "a"), (None, "three", "en", "a"), (None, None, None, None), (1, "x y!", "en", "a"), (1, "x y!", "en", "a"),
+            (1, "z!", "de", "b"), (2, "gone", "en", "a"), (2, "gone too", "en", "a"), (3, "w", "en", "b")]
+    labels = [(1, 0, 0), (2, 1, 1), (None, 0, 1), (7, 0, 1)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    connection = duckdb.connect()
+    for name in ("documents", "labels"):
+        connection.execute(f"create view {name} as select * from '{tmp_path}/{name}.parquet/*.parquet'")
+    expected = connection.execute(ORACLE["op4_token_counts"]).fetchall()
+    assert sorted(map(tuple, QUERIES["op4_token_counts"](spark, str(tmp_path)).collect()), key=repr) == sorted(expected, key=repr)
