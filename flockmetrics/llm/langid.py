@@ -81,12 +81,12 @@ def _rows(sums: dict[str, np.ndarray]) -> Iterator[pd.DataFrame]:
 def learn(docs: DataFrame, smoothing: float = SMOOTHING) -> Model:
     """From all rows of (text, lang) where lang is not null. At most ``MOST_LANGS`` languages."""
     rows = docs.filter(F.col("lang").isNotNull()).select("lang", F.coalesce("text", F.lit("")).alias("text"))
+    if rows.select("lang").distinct().limit(MOST_LANGS + 1).count() > MOST_LANGS:
+        raise ValueError(f"more than {MOST_LANGS} languages")
     # At most (languages x buckets) rows come back, whatever the size of the corpus.
     counts = rows.mapInPandas(_count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    found = counts.limit(MOST_LANGS * (BUCKETS + 1)).toPandas()
+    found = counts.toPandas()
     langs = tuple(sorted(found["lang"].unique()))
-    if len(langs) >= MOST_LANGS:
-        raise ValueError(f"more than {MOST_LANGS} languages")
     if not langs:
         return Model((), np.zeros((BUCKETS, 0), np.float32), np.zeros(0))
     table, docs_of = np.zeros((BUCKETS, len(langs))), np.zeros(len(langs))

@@ -91,6 +91,14 @@ def test_quality_defined_results(spark, awkward, nothing):
     assert quality.with_score(nothing, model).count() == 0
 
 
+def test_most_languages(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MOST_LANGS", 3)
+    docs = spark.createDataFrame([(f"text {i}", f"l{i}") for i in range(4)], "text string, lang string")
+    assert langid.learn(docs.filter("lang <> 'l3'")).langs == ("l0", "l1", "l2")
+    with pytest.raises(ValueError, match="more than 3"):
+        langid.learn(docs)
+
+
 def test_ids_that_repeat_are_learnt_within_the_limit(spark, prose):
     single = [(i, prose(i, 30) + " !!" * (i % 2)) for i in range(1, 40)]
     labels = spark.createDataFrame([(i, int(i % 2 == 0)) for i in range(40)], "doc_id long, quality int")
