@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flockmetrics.llm import bpe, decontaminate, exact, langid, package, pii, quality, repeats, secrets, simhash, token_counts
+from flockmetrics.llm import bpe, decontaminate, exact, langid, package, pii, quality, repeats, runs, secrets, simhash, token_counts
 from flockmetrics.llm.texts import fold
 from flockmetrics.operators.joins import fits_broadcast
 from flockmetrics.sources.stored import shared_folder, store
@@ -140,6 +140,14 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    return runs.with_runs(docs, name="r", digest=True, plant_by="doc_id").select(
+        "doc_id", "r.n_runs", "r.start", "r.length", "r.period", "r.exponent_milli",
+        F.col("r.runs_text").alias("runs_sha256"), F.col("r.collapsed").cast("string").alias("collapsed_sha256"),
+    )
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     # The module reads this one's parameters.
     import corpus_pipeline
@@ -158,6 +166,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_repeats": op8_repeats,
     "op9_simhash": op9_simhash,
     "op10_decontaminate": op10_decontaminate,
+    "op13_runs": op13_runs,
     "pipeline": pipeline,
 }
 
