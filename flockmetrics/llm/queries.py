@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flockmetrics.llm import bpe, decontaminate, exact, langid, package, pii, quality, repeats, runs, secrets, simhash, spelling, token_counts
+from flockmetrics.llm import bpe, decontaminate, exact, langid, neighbours, package, pii, quality, repeats, runs, secrets, simhash, spelling, token_counts
 from flockmetrics.llm.texts import fold
 from flockmetrics.operators.joins import fits_broadcast
 from flockmetrics.sources.stored import shared_folder, store
@@ -140,6 +140,10 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(_read(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -170,6 +174,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_repeats": op8_repeats,
     "op9_simhash": op9_simhash,
     "op10_decontaminate": op10_decontaminate,
+    "op11_neighbours": op11_neighbours,
     "op12_spelling": op12_spelling,
     "op13_runs": op13_runs,
     "pipeline": pipeline,

@@ -33,7 +33,7 @@ def test_same_as_sql(spark, smoke_dir, name):
 def test_registered():
     import corpus_pipeline
 
-    assert {f"op{n}" for n in (*range(1, 11), 12, 13)} == {name.split("_")[0] for name in QUERIES if name != "pipeline"}
+    assert {f"op{n}" for n in range(1, 14)} == {name.split("_")[0] for name in QUERIES if name != "pipeline"}
     assert set(QUERIES) <= set(entry_point.queries()) and corpus_pipeline.ORACLE_SQL is None
     assert len(corpus_pipeline.STAGES) == 5
 
