@@ -40,7 +40,7 @@ TABLES, FUNCTIONS, WIDTH = 4, 8, 2.5
 RECALL = 0.95
 SAMPLE = 200
 SEED = 11
-GROUP_BYTES = 32 << 20
+GROUP_BYTES, LEAST_GROUPS = 32 << 20, 12
 _BLOCK = 128
 _ROW = "g long, kind int, id long, v array<double>, bucket long, buckets array<long>, members array<struct<vec_id:long,key:long>>"
 
@@ -291,7 +291,6 @@ def nearest(
     group_bytes: int = GROUP_BYTES,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found for every row that ``is_query`` holds for."""
-    spark = vectors.sparkSession
     scratch = Scratch()
     v = F.col(column).cast("array<double>")
     usable = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
@@ -323,8 +322,8 @@ def nearest(
     # The longest vector lies at the edge of its band, not beyond it.
     most = most + 1e-9
 
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    groups = max(parts, -(-tables * cells * 8 // group_bytes))
+    # Every query has a list from every group it visits, so groups follow the data and not the cluster.
+    groups = max(LEAST_GROUPS, -(-tables * cells * 8 // group_bytes))
     full = max(1, group_bytes * total // (8 * cells))
     filed = scratch.store(_filed(classes, most, tables, functions, width), "buckets")
     # At most one band for each power of two that a double may have.
