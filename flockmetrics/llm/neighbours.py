@@ -314,8 +314,10 @@ def nearest(
     asked = scratch.store(heavy_key_join(asking, of_class, "v", "inner", ["key"]).select("key", "query_id", "q"), "asking-rows")
     queries = scratch.store(asked.select(F.col("q").alias("id")).distinct().join(classes.select("id", "v"), "id"), "queries")
 
-    peak = F.array_max(F.transform("v", F.abs))
-    log_norm = F.log2(peak) + 0.5 * F.log2(F.aggregate("v", F.lit(0.0), lambda total, x: total + (x / peak) * (x / peak)))
+    squares = F.aggregate("v", F.lit(0.0), lambda total, x: total + x * x)
+    # An upper bound where squares overflow or vanish.
+    bound = F.log2(F.array_max(F.transform("v", F.abs))) + 0.5 * F.log2(F.size("v"))
+    log_norm = F.when(squares.between(1e-250, 1e250), 0.5 * F.log2(squares)).otherwise(bound)
     most, total, cells = classes.agg(F.max(log_norm), F.sum(F.size("members")), F.sum(F.size("v"))).first()
     if most is None:
         return scratch.result(asked.select("query_id", F.lit(0).alias("rank"), F.lit(0).cast("long").alias("vec_id"), F.lit(0.0).alias("score")), "neighbours")
