@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame
 from flockmetrics.llm.texts import with_result
 
 WORD_TABLE = 250_000
+#: Of one generation of the table of words: characters of its texts, and a constant for each entry.
+TABLE_BYTES, ENTRY_BYTES = 24 << 20, 300
 NONE = np.int64(1) << 40
 SPACE = regex.compile(r"\p{White_Space}+")
 SEPARATORS = re.compile("[\x1c-\x1f]")
@@ -63,7 +65,7 @@ class Bpe:
         self.shown = {i: t for t, i in vocab.items()} | {i: t for t, i in self.special.items()}
         self.number = [str(i) for i in range(max(self.shown) + 1)]
         # Encoded words of now and of the generation before: what is still in use moves on.
-        self.known, self.older = self._marks(), {}
+        self.known, self.older, self.held = self._marks(), {}, 0
 
     def _marks(self) -> dict[str, tuple[int, str, str]]:
         """Special tokens; a space keeps them apart from ordinary text that looks like them."""
@@ -132,10 +134,14 @@ class Bpe:
         low = text.lower()
         return low if "Σ" not in text else "".join(c.lower() for c in text)
 
+    @staticmethod
+    def _size(chunk: str, entry: tuple[int, str, str]) -> int:
+        return ENTRY_BYTES + len(chunk) + len(entry[1]) + len(entry[2])
+
     def _look_up(self, chunks: list[str]) -> None:
         """Make sure that the table knows all chunks, which hold no white space."""
-        if len(self.known) > self.table:
-            self.older, self.known = self.known, self._marks()
+        if len(self.known) > self.table or self.held > TABLE_BYTES:
+            self.older, self.known, self.held = self.known, self._marks(), 0
         fresh = []
         for chunk in dict.fromkeys(chunks):
             if chunk not in self.known:
@@ -143,13 +149,15 @@ class Bpe:
                     fresh.append(chunk)
                 else:
                     self.known[chunk] = before
+                    self.held += self._size(chunk, before)
         pieces = [self.words.findall(c) for c in fresh]
         different = list({p: None for own in pieces for p in own})
         ids = dict(zip(different, self.merge(different), strict=True))
         number, shown, known = self.number, self.shown, self.known
         for chunk, own in zip(fresh, pieces, strict=True):
             found = ids[own[0]] if len(own) == 1 else [i for p in own for i in ids[p]]
-            known[chunk] = (len(found), " ".join([number[i] for i in found]), " ".join([shown[i] for i in found]))
+            known[chunk] = entry = (len(found), " ".join([number[i] for i in found]), " ".join([shown[i] for i in found]))
+            self.held += self._size(chunk, entry)
 
     def _chunks(self, text: str) -> list[str]:
         """Pieces between white space, with special tokens as pieces of their own."""
@@ -213,4 +221,4 @@ def with_codes(docs: DataFrame, path: str, name: str, digests: bool = False, col
 
         return work
 
-    return with_result(docs, column, name, "n_tokens long, ids string, decoded string", prepare)
+    return with_result(docs, column, name, "n_tokens long, ids string, decoded string", prepare, by_slice=True)

@@ -39,16 +39,21 @@ def with_result(
     name: str,
     schema: str,
     prepare: Callable[[], Callable[[list[str]], pd.DataFrame]],
+    by_slice: bool = False,
 ) -> DataFrame:
     """Add struct column ``name``: ``prepare()`` runs once per task, its result on slices of texts.
 
-    Only ``column`` travels to Python; the other columns wait in the JVM.
+    Only ``column`` travels to Python; the other columns wait in the JVM. With ``by_slice`` results leave
+    slice by slice, for those that are as long as the texts: of a task only the number of all rows must agree.
     """
 
     @F.pandas_udf(schema)
     def apply(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         work = prepare()
         for batch in batches:
+            if by_slice:
+                yield from map(work, slices(batch))
+                continue
             parts = [work(run) for run in slices(batch)]
             yield pd.concat(parts, ignore_index=True) if parts else work([])
 
