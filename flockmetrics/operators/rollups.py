@@ -56,7 +56,12 @@ def replies_received(casts: DataFrame, clock: Clock) -> DataFrame:
         .groupBy(F.col("root_parent_hash").alias("hash"), "fid")
         .agg(F.count("*").alias("n"))
     )
-    authors = live.select("hash", "fid", F.lit(True).alias("is_author"))
+    return replies_by_others(per_replier, live)
+
+
+def replies_by_others(per_replier: DataFrame, posts: DataFrame) -> DataFrame:
+    """Replies per root from counts ``n`` per (root ``hash``, replier ``fid``), without those of a root's author."""
+    authors = posts.select("hash", "fid", F.lit(True).alias("is_author"))
     return (
         per_replier.join(authors, ["hash", "fid"], "left")
         .filter(F.col("is_author").isNull())
@@ -65,6 +70,12 @@ def replies_received(casts: DataFrame, clock: Clock) -> DataFrame:
     )
 
 
+def engaged_rows(posts: DataFrame, received: DataFrame, replies: DataFrame) -> DataFrame:
+    """Posts with their likes and recasts, NULL without any reaction, and replies, 0 without any."""
+    count = F.when(F.col("fid").isNull(), 0).otherwise(F.coalesce("replies", F.lit(0)))
+    return posts.join(received, "hash", "left").join(replies, "hash", "left").withColumn("replies", count)
+
+
 def engaged_casts(casts: DataFrame, reactions: DataFrame, clock: Clock) -> DataFrame:
     """One slim row per live post of the activity window with what it received.
 
@@ -81,9 +92,4 @@ def engaged_casts(casts: DataFrame, reactions: DataFrame, clock: Clock) -> DataF
         clock.this_week(live).alias("this_week"),
         clock.last_week(live).alias("last_week"),
     )
-    replies = F.when(F.col("fid").isNull(), 0).otherwise(F.coalesce("replies", F.lit(0)))
-    return (
-        posts.join(reactions_received(reactions, clock), "hash", "left")
-        .join(replies_received(casts, clock), "hash", "left")
-        .withColumn("replies", replies)
-    )
+    return engaged_rows(posts, reactions_received(reactions, clock), replies_received(casts, clock))

@@ -12,6 +12,7 @@ from flockmetrics.operators.domains import linked_posts
 from flockmetrics.operators.rollups import engaged_casts
 from flockmetrics.operators.wallets import address_book
 from flockmetrics.plans.channels import by_engagement, channel_members, channels_mart, with_member_lists
+from flockmetrics.plans.daily import DailyState
 from flockmetrics.plans.tiers import channels_by_tier, users_by_tier
 from flockmetrics.plans.trending import ChannelFilters, UserFilters, trending_channels, trending_users
 from flockmetrics.plans.users import by_followers, users_mart
@@ -34,7 +35,8 @@ DEPENDENCIES = {
 
 class MartBook:
     """``keep`` decides what happens to shared results: ``store`` writes them to the shared
-    folder; pass ``lambda df, name: df`` to keep everything one lazy plan."""
+    folder; pass ``lambda df, name: df`` to keep everything one lazy plan. With ``daily``, a state of the same
+    tables and clock, posts, reactions and follows of days it knows are not read again."""
 
     def __init__(
         self,
@@ -42,8 +44,11 @@ class MartBook:
         clock: Clock,
         settings: Settings = Settings(),
         keep: Callable[[DataFrame, str], DataFrame] = store,
+        daily: DailyState | None = None,
     ) -> None:
-        self.tables, self.clock, self.settings = tables, clock, settings
+        if daily is not None and daily.clock != clock:
+            raise ValueError("the daily state is of another clock")
+        self.tables, self.clock, self.settings, self.daily = tables, clock, settings, daily
         self._kept: list[DataFrame] = []
 
         def kept(df: DataFrame, name: str) -> DataFrame:
@@ -62,11 +67,13 @@ class MartBook:
 
     @cached_property
     def engaged(self) -> DataFrame:
-        return self.keep(engaged_casts(self.tables.casts, self.tables.reactions, self.clock), "engaged_casts")
+        rows = self.daily.engaged_casts() if self.daily else engaged_casts(self.tables.casts, self.tables.reactions, self.clock)
+        return self.keep(rows, "engaged_casts")
 
     @cached_property
     def linked(self) -> DataFrame:
-        return self.keep(linked_posts(self.tables.casts, self.clock), "linked_posts")
+        rows = self.daily.linked_posts() if self.daily else linked_posts(self.tables.casts, self.clock)
+        return self.keep(rows, "linked_posts")
 
     @cached_property
     def addresses(self) -> DataFrame:
@@ -74,12 +81,14 @@ class MartBook:
 
     @cached_property
     def members(self) -> DataFrame:
-        return self.keep(channel_members(self.tables.casts, self.clock), "channel_members")
+        rows = self.daily.channel_members() if self.daily else channel_members(self.tables.casts, self.clock)
+        return self.keep(rows, "channel_members")
 
     @cached_property
     def stored_users(self) -> DataFrame:
         mart = users_mart(
-            self.tables, self.clock, self.settings, self.engaged, self.linked, self.addresses, ordered=False
+            self.tables, self.clock, self.settings, self.engaged, self.linked, self.addresses, ordered=False,
+            follow_counts=self.daily.followers() if self.daily else None,
         )
         return self.keep(mart, "users")
 

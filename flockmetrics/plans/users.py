@@ -75,9 +75,10 @@ def users_mart(
     linked: DataFrame | None = None,
     addresses: DataFrame | None = None,
     ordered: bool = True,
+    follow_counts: DataFrame | None = None,
 ) -> DataFrame:
-    """``engaged``, ``linked`` and ``addresses`` pass in stored rows of ``engaged_casts``,
-    ``linked_posts`` and ``address_book``; ``ordered`` sorts by followers."""
+    """``engaged``, ``linked``, ``addresses`` and ``follow_counts`` pass in rows of ``engaged_casts``,
+    ``linked_posts``, ``address_book`` and ``followers``; ``ordered`` sorts by followers."""
     if engaged is None:
         engaged = engaged_casts(tables.casts, tables.reactions, clock)
     activity = user_activity(user_channel_activity(engaged, settings), tables.early_channels)
@@ -91,8 +92,11 @@ def users_mart(
     signed_up = rows_up_to_now(tables.fids, clock).select("fid", F.col("created_at").alias("signed_up_at"))
     now = clock.instant(tables.fids, "created_at")
 
+    if follow_counts is None:
+        follow_counts = followers(tables.links, clock)
+
     joined = (
-        activity.join(followers(tables.links, clock), "fid", "left")
+        activity.join(follow_counts, "fid", "left")
         .join(profiles, "fid", "left")
         .join(signed_up, "fid", "left")
         .join(wallets, "fid", "left")

@@ -612,6 +612,20 @@ def needed(text: str) -> list[str]:
     return [name for name in VIEWS if name in found]
 
 
+# Results that are brought forward from an earlier day are those of one step.
+BODIES |= {
+    stepped: BODIES[whole]
+    for stepped, whole in {
+        "followers_in_steps": "cond_count",
+        "members_in_steps": "distinct_members",
+        "engagement_in_steps": "cast_engagement",
+        "users_mart_in_steps": "users_mart",
+        "channels_mart_in_steps": "channels_mart",
+        "approx_distinct_by_day": "approx_distinct",
+    }.items()
+}
+
+
 def oracle_sql() -> dict[str, str]:
     texts = {}
     for name, body in BODIES.items():

@@ -18,10 +18,12 @@ from flockmetrics.operators.rollups import by_others, followers, is_root, is_top
 from flockmetrics.operators.wallets import address_book, token_holders, volume, wallet_totals
 from flockmetrics.plans import channels, trending, users, words
 from flockmetrics.plans.book import MartBook, preview
+from flockmetrics.plans.daily import Changes, DailyState, deletions_between, sketched_weeks
 from flockmetrics.plans.trending import ChannelFilters, UserFilters
 from flockmetrics.settings import IGNORED_DOMAINS, SPACER, Settings
 from flockmetrics.sources.csv_tables import read_csv_table, register_csv_folder
 from flockmetrics.sources.quality import duplicate_keys
+from flockmetrics.sources.state import StateStore
 from flockmetrics.sources.stored import shared_folder
 from flockmetrics.sources.tables import channel_key, live_rows, not_deleted, rows_within, thread_channel_key
 from workload.sample_tables import SAMPLE_SETTINGS, STOPWORDS, sample_book, source
@@ -406,6 +408,68 @@ def distinct_members(b):
     return distinct_list(members, "parent_url", "fid", "all_caster_fids")
 
 
+# --- Brought forward from an earlier day ---
+
+STEP_DAYS = 10
+
+
+def in_steps(b: MartBook, *states: str) -> DailyState:
+    """The named states as of ten days before, then as of now from the days since and the deletions in between."""
+    spark = b.tables.casts.sparkSession
+    store = StateStore(spark, f"{shared_folder(spark)}/states-{uuid.uuid4().hex}")
+    before = Clock(b.clock.as_of - timedelta(days=STEP_DAYS))
+    old = DailyState(b.tables, before, store)
+    for name in states:
+        getattr(old, name)
+    logs = {name: deletions_between(getattr(b.tables, name), b.clock, before) for name in ("casts", "links", "reactions")}
+    return DailyState(b.tables, b.clock, store, Changes(**logs))
+
+
+@registered
+def followers_in_steps(b):
+    return in_steps(b, "follow_totals").followers()
+
+
+@registered
+def members_in_steps(b):
+    return distinct_list(in_steps(b, "member_days").channel_members(), "parent_url", "fid", "all_caster_fids")
+
+
+@registered
+def engagement_in_steps(b):
+    engaged = in_steps(b, "posts", "reaction_days", "reply_days").engaged_casts()
+    return channels.cast_engagement(engaged).select("hash", "parent_url", "fid", "is_root", "likes", "recasts", "replies")
+
+
+@registered
+def users_mart_in_steps(b):
+    daily = in_steps(b, "posts", "reaction_days", "reply_days", "follow_totals")
+    return MartBook(b.tables, b.clock, SAMPLE_SETTINGS, b.keep, daily).users()
+
+
+@registered
+def channels_mart_in_steps(b):
+    daily = in_steps(b, "posts", "reaction_days", "reply_days", "member_days")
+    engaged, linked = daily.engaged_casts(), daily.linked_posts()
+    return channels.channels_mart(
+        b.tables, b.clock, b.stored_users, SAMPLE_SETTINGS, engaged, linked, daily.channel_members(), keep=b.keep
+    )
+
+
+@registered
+def approx_distinct_by_day(b):
+    """Exact posts, replies and authors per channel, and whether unions of the days' sketches are within three standard errors."""
+    names = [name + suffix for name in ("rolling_casts", "rolling_replies", "casters") for suffix in ("", "_last")]
+    summary = channels.caster_summary(channels.caster_activity(channels.cast_engagement(b.engaged)), b.stored_users)
+    exact = channels.channel_cast_stats(summary).select("parent_url", *names)
+    weeks = sketched_weeks(in_steps(b, "posts").sketches(), b.clock)
+    joined = exact.join(weeks.select("parent_url", *[F.col(n).alias(n + "_sketch") for n in names]), "parent_url")
+    hold = F.lit(True)
+    for name in names:
+        hold = hold & (F.abs(F.col(name + "_sketch") - F.col(name)) <= F.greatest(F.lit(1.0), F.col(name) * 3 * Settings().sketch_error))
+    return joined.select("parent_url", *names, hold.alias("sketches_hold"))
+
+
 @registered
 def list_keep_nulls(b):
     book = address_book(b.tables.fids, b.tables.verifications)
