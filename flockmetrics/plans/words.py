@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from flockmetrics.clock import Clock
 from flockmetrics.functions.scores import change, max_where
 from flockmetrics.functions.text import contains_text, is_telling, words_of
-from flockmetrics.operators.joins import dimension_join
+from flockmetrics.operators.joins import dimension_join, fits_broadcast, heavy_key_join
 from flockmetrics.settings import RESULT_LIMIT, Settings
 from flockmetrics.sources.tables import channel_key, live_rows
 
@@ -17,16 +17,35 @@ def active_authors(users: DataFrame, least_tier: int = 1) -> DataFrame:
     return users.filter(F.col("fid_active_tier") >= least_tier).select("fid")
 
 
-def channel_posts(casts: DataFrame, authors: DataFrame, clock: Clock, channel: str | None = None) -> DataFrame:
-    """Live channel posts by the given authors. The optional channel filter looks at the post's
-    own channel only, so replies that carry just the thread's channel do not pass it."""
+def posts_with_text(casts: DataFrame, clock: Clock, channel: str | None = None) -> DataFrame:
+    """Live channel posts. The optional channel filter looks at the post's own channel only, so replies
+    that carry just the thread's channel do not pass it."""
     posts = live_rows(casts, clock).filter(channel_key().isNotNull())
     if channel is not None:
         posts = posts.filter(contains_text(F.col("parent_url"), channel))
     this_week = F.when(clock.this_week(casts), 1).otherwise(0).alias("this_week")
-    slim = posts.select("hash", "fid", this_week, "text")
+    return posts.select("hash", "fid", this_week, "text")
+
+
+def channel_posts(casts: DataFrame, authors: DataFrame, clock: Clock, channel: str | None = None) -> DataFrame:
+    """Live channel posts by the given authors, with their texts."""
     # A small set of authors goes to the texts; with a large one only prolific authors are cut up.
-    return dimension_join(slim, authors, "fid", "left_semi", spread_by=["hash"])
+    return dimension_join(posts_with_text(casts, clock, channel), authors, "fid", "left_semi", spread_by=["hash"])
+
+
+def active_terms(
+    casts: DataFrame, stopwords: DataFrame, authors: DataFrame, clock: Clock, settings: Settings = Settings(), channel: str | None = None
+) -> DataFrame:
+    """``term_frequency`` of the posts of the given authors; texts never leave the task that reads them.
+
+    A small set of authors is sent to the texts. A large one meets the counts per author and word
+    instead: they are made where the texts are read and are all that is shuffled.
+    """
+    posts = posts_with_text(casts, clock, channel)
+    if fits_broadcast(authors):
+        return term_frequency(telling_words(posts.join(F.broadcast(authors), "fid", "left_semi"), stopwords, settings))
+    terms = term_frequency(telling_words(posts, stopwords, settings))
+    return heavy_key_join(terms, authors, "fid", "left_semi", spread_by=["word"])
 
 
 def telling_words(posts: DataFrame, stopwords: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -91,8 +110,7 @@ def trending_words(
     limit: int = RESULT_LIMIT,
 ) -> DataFrame:
     """The words with most authors this week, among those with enough of them."""
-    posts = channel_posts(casts, active_authors(users), clock, channel)
-    terms = term_frequency(telling_words(posts, stopwords, settings))
+    terms = active_terms(casts, stopwords, active_authors(users), clock, settings, channel)
     weighted = inverse_document_frequency(document_frequency(terms), total_documents(terms))
     frequent = weekly_tfidf(weighted).filter(F.col("casters") >= settings.min_casters)
     first = frequent.orderBy(F.desc("casters"), F.asc("word")).limit(limit)

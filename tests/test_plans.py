@@ -1,5 +1,7 @@
 """Shapes of physical plans that must hold at scale."""
 
+import re
+
 import pytest
 
 from flockmetrics.operators.rollups import engaged_casts
@@ -103,3 +105,20 @@ def test_author_filter_does_not_fix_the_partitioning_of_word_counts(book, no_bro
     posts = words.channel_posts(book.tables.casts, authors, book.clock)
     plan = plan_of(words.term_frequency(words.telling_words(posts, book.tables.stopwords)))
     assert "_salt" in plan and "partial_count" in plan
+
+
+def test_texts_are_never_shuffled_for_word_counts(spark, book, no_broadcast, monkeypatch):
+    """Also with more authors than can be sent to the texts; results are the same."""
+    authors = words.active_authors(book.stored_users)
+    few = words.active_terms(book.tables.casts, book.tables.stopwords, authors, book.clock)
+    assert "BroadcastHashJoin" in plan_of(few)
+    expected = sorted(map(tuple, few.select("this_week", "fid", "word", "tf").collect()))
+    trending_before = book.trending_words().collect()
+    monkeypatch.setattr(words, "fits_broadcast", lambda df: False)
+    many = words.active_terms(book.tables.casts, book.tables.stopwords, authors, book.clock)
+    assert sorted(map(tuple, many.select("this_week", "fid", "word", "tf").collect())) == expected
+    assert book.trending_words().collect() == trending_before
+    mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    shown = many._jdf.queryExecution().explainString(mode)
+    moved = re.findall(r"\) Exchange\s+Input \[\d+\]: \[(.*?)\]", shown)
+    assert moved and not any(re.search(r"\btext#", columns) for columns in moved)
