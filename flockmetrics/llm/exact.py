@@ -19,6 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from flockmetrics.llm.texts import spare
 from flockmetrics.sources.stored import store
 
 SPACES = " \t\n\x0b\f\r"
@@ -107,13 +108,13 @@ def without_copies(docs: DataFrame) -> DataFrame:
 
     Where the row that stays repeats (same id, equal text of the same length), one of them stays.
     """
-    key = ["_id", "_sha", "_n"]
-    found = store(groups(docs).select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"), F.col("n_chars").alias("_n"), "kept"), "copies")
+    id_, sha, n, own_sha, own_n = map(spare, ("id", "sha", "n", "own_sha", "own_n"))
+    found = store(groups(docs).select(F.col("doc_id").alias(id_), F.col("text_sha256").alias(sha), F.col("n_chars").alias(n), "kept"), "copies")
     kept = found.filter("kept").drop("kept")
     text = F.coalesce("text", F.lit(""))
-    marked = docs.select("*", F.sha2(F.translate(text, SPACES, "").cast("binary"), 256).alias("_own_sha"), F.length(text).cast("long").alias("_own_n"))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_own_sha") == F.col("_sha")) & (F.col("_own_n") == F.col("_n"))
+    marked = docs.select("*", F.sha2(F.translate(text, SPACES, "").cast("binary"), 256).alias(own_sha), F.length(text).cast("long").alias(own_n))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(id_)) & (F.col(own_sha) == F.col(sha)) & (F.col(own_n) == F.col(n))
     chosen = marked.join(kept, same, "left_semi")
-    if found.groupBy(*key).agg(F.count("*").alias("n"), F.max("kept").alias("kept")).filter("kept and n > 1").limit(1).count():
-        chosen = chosen.dropDuplicates(["doc_id", "_own_sha", "_own_n"])
-    return chosen.drop("_own_sha", "_own_n")
+    if found.groupBy(id_, sha, n).agg(F.count("*").alias("rows"), F.max("kept").alias("kept")).filter("kept and rows > 1").limit(1).count():
+        chosen = chosen.dropDuplicates(["doc_id", own_sha, own_n])
+    return chosen.drop(own_sha, own_n)

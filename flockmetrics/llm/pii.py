@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flockmetrics.llm.texts import with_result
+from flockmetrics.llm.texts import spare, with_result
 
 BASE = ("email", "ip", "card", "phone")
 ADDED = ("url", "iban", "account")
@@ -208,7 +208,8 @@ def with_spans(docs: DataFrame, name: str = "spans", column: str = "text") -> Da
 
         return work
 
-    return with_result(docs, column, "_pii", f"spans {SPANS}", prepare).withColumn(name, F.col("_pii.spans")).drop("_pii")
+    own = spare("pii")
+    return with_result(docs, column, own, f"spans {SPANS}", prepare).withColumn(name, F.col(f"{own}.spans")).drop(own)
 
 
 def as_text(spans: Column) -> Column:

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from flockmetrics.llm.texts import flat, mixed, slices, with_result
+from flockmetrics.llm.texts import flat, mixed, slices, spare, with_result
 from flockmetrics.sources.stored import store
 
 BITS = 18
@@ -185,4 +185,5 @@ def with_score(docs: DataFrame, model: Model, name: str = "score", column: str =
     def prepare():
         return lambda texts: _score(shared.value, texts)
 
-    return with_result(docs, column, "_quality", "score double", prepare).withColumn(name, F.col("_quality.score")).drop("_quality")
+    own = spare("quality")
+    return with_result(docs, column, own, "score double", prepare).withColumn(name, F.col(f"{own}.score")).drop(own)

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flockmetrics.llm.texts import mixed
+from flockmetrics.llm.texts import mixed, spare
 from flockmetrics.operators.joins import fits_broadcast
 from flockmetrics.sources.stored import store
 
@@ -349,7 +349,8 @@ def _kept(raw: bytes, spans) -> tuple[bytes, int, int]:
 
 def without_repeats(docs: DataFrame, name: str = "result", digest: bool = False, size: int = SIZE, lead: int = LEAD, crowd: int = CROWD) -> DataFrame:
     """Add struct ``name``: n_bytes, n_removed, n_spans and the bytes that are kept (or their SHA-256)."""
-    keyed = _keyed(docs)
+    others = {column: spare(column) for column in docs.columns if column not in ("text", name)}
+    keyed = _keyed(docs.select("text", *(F.col(column).alias(own) for column, own in others.items())))
     spans = store(repeated_spans(keyed, size, lead, crowd), "repeated-spans")
 
     @F.pandas_udf(f"n_bytes long, n_removed long, n_spans long, kept {'string' if digest else 'binary'}")
@@ -364,4 +365,4 @@ def without_repeats(docs: DataFrame, name: str = "result", digest: bool = False,
 
     joined = keyed.join(_maybe_broadcast(spans), list(_TEXT), "left")
     result: Column = apply.asNondeterministic()("text", "_spans")
-    return joined.withColumn(name, result).drop(*_TEXT, "_spans")
+    return joined.select(*(F.col(others.get(column, column)).alias(column) for column in docs.columns if column != name), result.alias(name))

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flockmetrics.llm.pii import SPANS, Span
-from flockmetrics.llm.texts import with_result
+from flockmetrics.llm.texts import spare, with_result
 
 BASE = ("assign", "access", "hex")
 KINDS = (*BASE, "random")
@@ -65,9 +65,14 @@ def finder(path: str, pattern: str, chars_per_token: float = CHARS_PER_TOKEN) ->
             spans += [("assign", m.start(), m.end()) for m in _ASSIGN.finditer(text) if len(m[2]) >= 12]
         spans += [("access", m.start(), m.end()) for m in _ACCESS.finditer(text) if len(m[0]) >= 18]
         spans += [("hex", m.start(), m.end()) for m in _HEX.finditer(text)]
-        taken = [(s, e) for _, s, e in spans]
+        taken = sorted((s, e) for _, s, e in spans)
+        at = reach = 0
         for m in _LONG.finditer(text):
-            if not any(s < m.end() and m.start() < e for s, e in taken) and is_random(m[0]):
+            # How far spans reach that start before this string ends.
+            while at < len(taken) and taken[at][0] < m.end():
+                reach = max(reach, taken[at][1])
+                at += 1
+            if reach <= m.start() and is_random(m[0]):
                 spans.append(("random", m.start(), m.end()))
         return sorted(spans, key=lambda s: (s[1], KINDS.index(s[0])))
 
@@ -84,4 +89,5 @@ def with_spans(docs: DataFrame, path: str, pattern: str, name: str = "spans", co
 
         return work
 
-    return with_result(docs, column, "_secrets", f"spans {SPANS}", prepare).withColumn(name, F.col("_secrets.spans")).drop("_secrets")
+    own = spare("secrets")
+    return with_result(docs, column, own, f"spans {SPANS}", prepare).withColumn(name, F.col(f"{own}.spans")).drop(own)

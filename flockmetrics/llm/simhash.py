@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flockmetrics.llm.components import components
-from flockmetrics.llm.texts import with_result
+from flockmetrics.llm.texts import spare, with_result
 from flockmetrics.operators.joins import fits_broadcast, heavy_key_join
 from flockmetrics.sources.stored import store
 
@@ -69,7 +69,8 @@ def with_fingerprint(docs: DataFrame, column: str = "text", name: str = "fingerp
 
         return work
 
-    return with_result(docs, column, "_simhash", "f long", prepare).withColumn(name, F.col("_simhash.f")).drop("_simhash")
+    own = spare("simhash")
+    return with_result(docs, column, own, "f long", prepare).withColumn(name, F.col(f"{own}.f")).drop(own)
 
 
 def _forest(prints: np.ndarray, filed: np.ndarray, bits: int) -> Iterator[np.ndarray]:
@@ -221,11 +222,12 @@ def without_near_copies(docs: DataFrame, size: int = SHINGLE, bits: int = BITS,
     Of rows that repeat this id and text one stays.
     """
     prints, firsts = _labelled(docs, size, bits, full)
-    keep = store(firsts.select(F.col("first.doc_id").alias("_keep_id"), F.col("first.mark").alias("_keep_mark")).distinct(), "kept")
-    same = F.col("doc_id").eqNullSafe(F.col("_keep_id")) & (F.col("_mark") == F.col("_keep_mark"))
+    keep_id, keep_mark, mark = map(spare, ("keep_id", "keep_mark", "mark"))
+    keep = store(firsts.select(F.col("first.doc_id").alias(keep_id), F.col("first.mark").alias(keep_mark)).distinct(), "kept")
+    same = F.col("doc_id").eqNullSafe(F.col(keep_id)) & (F.col(mark) == F.col(keep_mark))
     kept = F.broadcast(keep) if fits_broadcast(keep) else keep
-    chosen = docs.withColumn("_mark", F.xxhash64("text")).join(kept, same, "left_semi")
+    chosen = docs.withColumn(mark, F.xxhash64("text")).join(kept, same, "left_semi")
     repeated = prints.groupBy("doc_id", "mark").count().filter("count > 1")
     if not repeated.isEmpty():
-        chosen = chosen.dropDuplicates(["doc_id", "_mark"])
-    return chosen.drop("_mark")
+        chosen = chosen.dropDuplicates(["doc_id", mark])
+    return chosen.drop(mark)
