@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+from collections.abc import Callable, Mapping
 from functools import cached_property
 
 from pyspark.sql import DataFrame
@@ -18,6 +19,7 @@ from flockmetrics.plans.trending import ChannelFilters, UserFilters, trending_ch
 from flockmetrics.plans.users import by_followers, users_mart
 from flockmetrics.plans.words import trending_words
 from flockmetrics.settings import PREVIEW_ROWS, Settings
+from flockmetrics.sources.catalogue import EDITION, Catalogue, table_version
 from flockmetrics.sources.stored import remove, store
 from flockmetrics.sources.tables import SocialTables
 
@@ -32,11 +34,28 @@ DEPENDENCIES = {
     "trending_channels": ("channels",),
 }
 
+# Tables and stored results that each stored result is computed from, and whether settings matter to it.
+READS = {
+    "engaged_casts": (("casts", "reactions"), (), False),
+    "linked_posts": (("casts",), (), False),
+    "address_book": (("fids", "verifications"), (), False),
+    "channel_members": (("casts",), (), False),
+    "users": (
+        ("early_channels", "fids", "links", "profiles", "wallet_activity"), ("engaged_casts", "linked_posts", "address_book"), True
+    ),
+    "caster_summary": ((), ("engaged_casts", "users"), True),
+    "channels": (("early_channels",), ("engaged_casts", "linked_posts", "channel_members", "caster_summary"), True),
+}
+
 
 class MartBook:
     """``keep`` decides what happens to shared results: ``store`` writes them to the shared
     folder; pass ``lambda df, name: df`` to keep everything one lazy plan. With ``daily``, a state of the same
-    tables and clock, posts, reactions and follows of days it knows are not read again."""
+    tables and clock, posts, reactions and follows of days it knows are not read again.
+
+    With a ``catalogue`` the results named in ``READS`` are found again by later books, also of other sessions,
+    while their tables, clock, settings and time zone are the same; a changed table leaves what does not depend on it.
+    ``versions`` names the state of tables that are not read from files, or saves looking at their files."""
 
     def __init__(
         self,
@@ -45,19 +64,50 @@ class MartBook:
         settings: Settings = Settings(),
         keep: Callable[[DataFrame, str], DataFrame] = store,
         daily: DailyState | None = None,
+        catalogue: Catalogue | None = None,
+        versions: Mapping[str, str] | None = None,
     ) -> None:
         if daily is not None and daily.clock != clock:
             raise ValueError("the daily state is of another clock")
         self.tables, self.clock, self.settings, self.daily = tables, clock, settings, daily
+        self.catalogue, self._versions = catalogue, dict(versions or {})
         self._kept: list[DataFrame] = []
 
         def kept(df: DataFrame, name: str) -> DataFrame:
+            if catalogue is not None and name in READS:
+                return catalogue.result(name, self.key(name), lambda: df)
             result = keep(df, name)
             self._kept.append(result)
             return result
 
         self.keep = kept
 
+    def _version(self, table: str) -> str:
+        if table not in self._versions:
+            self._versions[table] = table_version(getattr(self.tables, table))
+        return self._versions[table]
+
+    def key(self, name: str) -> str:
+        """What a stored result is known by: everything it is computed from."""
+        tables, results, with_settings = READS[name]
+        parts = [
+            str(EDITION), name, repr(self.clock), self.tables.casts.sparkSession.conf.get("spark.sql.session.timeZone"),
+            repr(self.settings) + repr(self.settings.common_words) if with_settings else "",
+            *(f"{table}={self._version(table)}" for table in tables),
+            *(f"{result}={self.key(result)}" for result in results),
+        ]
+        return hashlib.sha256("\n".join(parts).encode()).hexdigest()
+
+    def _stored(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        if self.catalogue is not None:
+            # Plans are not even made for what is found.
+            return self.catalogue.result(name, self.key(name), build)
+        return self.keep(build(), name)
+
+    def forget_others(self) -> list[str]:
+        """Remove catalogued results of other tables, clocks and settings; nobody may be reading them."""
+        return self.catalogue.keep_only({name: self.key(name) for name in READS}) if self.catalogue is not None else []
+
     def close(self) -> None:
         """Remove the stored results; DataFrames of this book cannot be read afterwards."""
         for result in self._kept:
@@ -67,39 +117,49 @@ class MartBook:
 
     @cached_property
     def engaged(self) -> DataFrame:
-        rows = self.daily.engaged_casts() if self.daily else engaged_casts(self.tables.casts, self.tables.reactions, self.clock)
-        return self.keep(rows, "engaged_casts")
+        def build() -> DataFrame:
+            return self.daily.engaged_casts() if self.daily else engaged_casts(self.tables.casts, self.tables.reactions, self.clock)
+
+        return self._stored("engaged_casts", build)
 
     @cached_property
     def linked(self) -> DataFrame:
-        rows = self.daily.linked_posts() if self.daily else linked_posts(self.tables.casts, self.clock)
-        return self.keep(rows, "linked_posts")
+        def build() -> DataFrame:
+            return self.daily.linked_posts() if self.daily else linked_posts(self.tables.casts, self.clock)
+
+        return self._stored("linked_posts", build)
 
     @cached_property
     def addresses(self) -> DataFrame:
-        return self.keep(address_book(self.tables.fids, self.tables.verifications), "address_book")
+        return self._stored("address_book", lambda: address_book(self.tables.fids, self.tables.verifications))
 
     @cached_property
     def members(self) -> DataFrame:
-        rows = self.daily.channel_members() if self.daily else channel_members(self.tables.casts, self.clock)
-        return self.keep(rows, "channel_members")
+        def build() -> DataFrame:
+            return self.daily.channel_members() if self.daily else channel_members(self.tables.casts, self.clock)
+
+        return self._stored("channel_members", build)
 
     @cached_property
     def stored_users(self) -> DataFrame:
-        mart = users_mart(
-            self.tables, self.clock, self.settings, self.engaged, self.linked, self.addresses, ordered=False,
-            follow_counts=self.daily.followers() if self.daily else None,
-        )
-        return self.keep(mart, "users")
+        def build() -> DataFrame:
+            return users_mart(
+                self.tables, self.clock, self.settings, self.engaged, self.linked, self.addresses, ordered=False,
+                follow_counts=self.daily.followers() if self.daily else None,
+            )
+
+        return self._stored("users", build)
 
     @cached_property
     def stored_channels(self) -> DataFrame:
         """The channels mart without its member lists."""
-        mart = channels_mart(
-            self.tables, self.clock, self.stored_users, self.settings, self.engaged, self.linked, self.members,
-            self.keep, member_lists=False, ordered=False,
-        )
-        return self.keep(mart, "channels")
+        def build() -> DataFrame:
+            return channels_mart(
+                self.tables, self.clock, self.stored_users, self.settings, self.engaged, self.linked, self.members,
+                self.keep, member_lists=False, ordered=False,
+            )
+
+        return self._stored("channels", build)
 
     def users(self) -> DataFrame:
         return by_followers(self.stored_users)
