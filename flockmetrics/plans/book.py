@@ -10,17 +10,18 @@ from pyspark.sql import DataFrame
 
 from flockmetrics.clock import Clock
 from flockmetrics.operators.domains import linked_posts
+from flockmetrics.operators.members import member_ranges
 from flockmetrics.operators.rollups import engaged_casts
 from flockmetrics.operators.wallets import address_book
 from flockmetrics.plans.channels import by_engagement, channel_members, channels_mart, with_member_lists
 from flockmetrics.plans.daily import DailyState
 from flockmetrics.plans.tiers import channels_by_tier, users_by_tier
 from flockmetrics.plans.trending import ChannelFilters, UserFilters, trending_channels, trending_users
-from flockmetrics.plans.users import by_followers, users_mart
+from flockmetrics.plans.users import AccountSides, account_sides, by_followers, users_mart
 from flockmetrics.plans.words import trending_words
 from flockmetrics.settings import PREVIEW_ROWS, Settings
 from flockmetrics.sources.catalogue import EDITION, Catalogue, table_version
-from flockmetrics.sources.stored import remove, store
+from flockmetrics.sources.stored import remove, store, store_bucketed
 from flockmetrics.sources.tables import SocialTables
 
 # What each result is built on; results come after everything they need.
@@ -40,6 +41,7 @@ READS = {
     "linked_posts": (("casts",), (), False),
     "address_book": (("fids", "verifications"), (), False),
     "channel_members": (("casts",), (), False),
+    "member_ranges": ((), ("channel_members",), False),
     "users": (
         ("early_channels", "fids", "links", "profiles", "wallet_activity"), ("engaged_casts", "linked_posts", "address_book"), True
     ),
@@ -55,7 +57,10 @@ class MartBook:
 
     With a ``catalogue`` the results named in ``READS`` are found again by later books, also of other sessions,
     while their tables, clock, settings and time zone are the same; a changed table leaves what does not depend on it.
-    ``versions`` names the state of tables that are not read from files, or saves looking at their files."""
+    ``versions`` names the state of tables that are not read from files, or saves looking at their files.
+
+    ``bitmaps`` looks holders of a token up in ranges of members, and ``bucketed`` stores what the users mart joins by
+    account dealt by account, for callers that build several marts from one book."""
 
     def __init__(
         self,
@@ -66,11 +71,14 @@ class MartBook:
         daily: DailyState | None = None,
         catalogue: Catalogue | None = None,
         versions: Mapping[str, str] | None = None,
+        bitmaps: bool = False,
+        bucketed: bool = False,
     ) -> None:
         if daily is not None and daily.clock != clock:
             raise ValueError("the daily state is of another clock")
         self.tables, self.clock, self.settings, self.daily = tables, clock, settings, daily
         self.catalogue, self._versions = catalogue, dict(versions or {})
+        self.bitmaps, self.bucketed = bitmaps, bucketed
         self._kept: list[DataFrame] = []
 
         def kept(df: DataFrame, name: str) -> DataFrame:
@@ -140,12 +148,25 @@ class MartBook:
 
         return self._stored("channel_members", build)
 
+    @cached_property
+    def ranges(self) -> DataFrame:
+        return self._stored("member_ranges", lambda: member_ranges(self.members, "parent_url", "fid"))
+
+    def _bucketed(self, df: DataFrame, name: str) -> DataFrame:
+        result = store_bucketed(df, name, "fid")
+        self._kept.append(result)
+        return result
+
+    @cached_property
+    def sides(self) -> AccountSides:
+        sides = account_sides(self.tables, self.clock, self.addresses, self.daily.followers() if self.daily else None)
+        return sides.kept(self._bucketed) if self.bucketed else sides
+
     @cached_property
     def stored_users(self) -> DataFrame:
         def build() -> DataFrame:
             return users_mart(
-                self.tables, self.clock, self.settings, self.engaged, self.linked, self.addresses, ordered=False,
-                follow_counts=self.daily.followers() if self.daily else None,
+                self.tables, self.clock, self.settings, self.engaged, self.linked, ordered=False, sides=self.sides
             )
 
         return self._stored("users", build)
@@ -185,7 +206,8 @@ class MartBook:
 
     def trending_channels(self, filters: ChannelFilters) -> DataFrame:
         return trending_channels(
-            self.stored_channels, self.members, self.tables, filters, addresses=self.addresses, keep=self.keep
+            self.stored_channels, self.members, self.tables, filters, addresses=self.addresses, keep=self.keep,
+            ranges=self.ranges if self.bitmaps and filters.held_token is not None else None,
         )
 
     def result(self, name: str, *args) -> DataFrame:

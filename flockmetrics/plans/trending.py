@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from flockmetrics.clock import Clock
 from flockmetrics.functions.text import contains_text
 from flockmetrics.operators.joins import fits_broadcast, heavy_key_join
+from flockmetrics.operators.members import keys_with_any
 from flockmetrics.operators.wallets import address_book, token_holders
 from flockmetrics.plans.channels import as_is, with_member_lists
 from flockmetrics.settings import RESULT_LIMIT
@@ -148,10 +149,12 @@ def trending_channels(
     limit: int = RESULT_LIMIT,
     addresses: DataFrame | None = None,
     keep: Callable[[DataFrame, str], DataFrame] = as_is,
+    ranges: DataFrame | None = None,
 ) -> DataFrame:
     """``channels`` is the mart without member lists: people are looked up in the bridge
     ``members``, and lists are made for the channels that are left. With a token, any holder
-    among the members is enough. ``keep(df, name)`` may store the rows before that."""
+    among the members is enough; ``ranges``, the ``member_ranges`` of the bridge, answers that without
+    shuffling pairs. ``keep(df, name)`` may store the rows before that."""
     found = channels.filter(F.col("channel_age") <= filters.max_age_days)
     if filters.username is not None:
         person = F.broadcast(fid_of_name(tables.profiles, filters.username.lower()))
@@ -159,8 +162,11 @@ def trending_channels(
         found = found.join(theirs, "parent_url", "left_semi")
     if filters.held_token is not None:
         holders = _holders(tables, addresses, filters.held_token)
-        # A person has one row per channel, so no person holds many.
-        held_in = members.join(holders, "fid", "left_semi")
+        if ranges is not None:
+            held_in = keys_with_any(ranges, "parent_url", keep(holders, "holders"), "fid")
+        else:
+            # A person has one row per channel, so no person holds many.
+            held_in = members.join(holders, "fid", "left_semi")
         found = found.join(held_in.select("parent_url").distinct(), "parent_url", "left_semi")
     top = keep(_sorted_top(found.select(*channels.columns), filters.sort_by, ("parent_url",), limit), "trending_channels")
     shown = members.join(top.select("parent_url"), "parent_url", "left_semi")

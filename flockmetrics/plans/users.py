@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -67,6 +70,33 @@ def profile_rows(profiles: DataFrame) -> DataFrame:
     return profiles.select(*details).distinct().select("fid", "fname")
 
 
+@dataclass(frozen=True)
+class AccountSides:
+    """What the users mart joins by account and no post takes part in."""
+
+    followers: DataFrame
+    profiles: DataFrame
+    signed_up: DataFrame
+    wallets: DataFrame
+
+    def kept(self, keep: Callable[[DataFrame, str], DataFrame]) -> AccountSides:
+        """Each side as ``keep(df, name)`` stores it, such as ``store_bucketed`` by ``fid``."""
+        return AccountSides(**{name: keep(df, name) for name, df in vars(self).items()})
+
+
+def account_sides(
+    tables: SocialTables, clock: Clock, addresses: DataFrame | None = None, follow_counts: DataFrame | None = None
+) -> AccountSides:
+    if addresses is None:
+        addresses = address_book(tables.fids, tables.verifications)
+    return AccountSides(
+        followers=followers(tables.links, clock) if follow_counts is None else follow_counts,
+        profiles=profile_rows(tables.profiles),
+        signed_up=rows_up_to_now(tables.fids, clock).select("fid", F.col("created_at").alias("signed_up_at")),
+        wallets=wallet_totals(addresses, tables.wallet_activity),
+    )
+
+
 def users_mart(
     tables: SocialTables,
     clock: Clock,
@@ -76,30 +106,26 @@ def users_mart(
     addresses: DataFrame | None = None,
     ordered: bool = True,
     follow_counts: DataFrame | None = None,
+    sides: AccountSides | None = None,
 ) -> DataFrame:
     """``engaged``, ``linked``, ``addresses`` and ``follow_counts`` pass in rows of ``engaged_casts``,
-    ``linked_posts``, ``address_book`` and ``followers``; ``ordered`` sorts by followers."""
+    ``linked_posts``, ``address_book`` and ``followers``, ``sides`` those of ``account_sides``; ``ordered`` sorts by
+    followers."""
     if engaged is None:
         engaged = engaged_casts(tables.casts, tables.reactions, clock)
     activity = user_activity(user_channel_activity(engaged, settings), tables.early_channels)
     if linked is None:
         linked = linked_posts(tables.casts, clock)
     domains = top_domains(linked, F.col("fid"), "fid", settings.ignored_domains)
-    if addresses is None:
-        addresses = address_book(tables.fids, tables.verifications)
-    wallets = wallet_totals(addresses, tables.wallet_activity)
-    profiles = profile_rows(tables.profiles)
-    signed_up = rows_up_to_now(tables.fids, clock).select("fid", F.col("created_at").alias("signed_up_at"))
+    if sides is None:
+        sides = account_sides(tables, clock, addresses, follow_counts)
     now = clock.instant(tables.fids, "created_at")
 
-    if follow_counts is None:
-        follow_counts = followers(tables.links, clock)
-
     joined = (
-        activity.join(follow_counts, "fid", "left")
-        .join(profiles, "fid", "left")
-        .join(signed_up, "fid", "left")
-        .join(wallets, "fid", "left")
+        activity.join(sides.followers, "fid", "left")
+        .join(sides.profiles, "fid", "left")
+        .join(sides.signed_up, "fid", "left")
+        .join(sides.wallets, "fid", "left")
         .join(domains, "fid", "left")
     )
 

@@ -42,8 +42,26 @@ def store(df: DataFrame, name: str, laid_out_by: str | None = None) -> DataFrame
     return stored
 
 
+def store_bucketed(df: DataFrame, name: str, by: str, buckets: int | None = None) -> DataFrame:
+    """Write ``df`` as a table dealt by hash of ``by``: joins on that column read it without a shuffle.
+
+    ``buckets`` defaults to the number of shuffle partitions, which the other side of a join then has too.
+    """
+    spark = df.sparkSession
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table = f"{name}_{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{table}"
+    # One task for each bucket, so there is one file for each.
+    df.repartition(buckets, by).write.bucketBy(buckets, by).sortBy(by).option("path", path).saveAsTable(table)
+    stored = spark.table(table)
+    stored.stored_at, stored.stored_as = path, table
+    return stored
+
+
 def remove(stored: DataFrame) -> None:
     """Delete what ``store`` wrote for this DataFrame; it and what builds on it cannot be read any more."""
+    if hasattr(stored, "stored_as"):
+        stored.sparkSession.sql(f"drop table if exists {stored.stored_as}")
     context = stored.sparkSession.sparkContext
     path = context._jvm.org.apache.hadoop.fs.Path(stored.stored_at)
     path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)

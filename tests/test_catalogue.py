@@ -51,7 +51,7 @@ def test_a_second_session_computes_nothing(spark, folder, clock):
     want = both(MartBook(first.tables, clock))
     assert want[0] and want[1]
     assert both(first) == want
-    assert sorted(made.built) == sorted(READS)
+    assert sorted(made.built) == sorted(set(READS) - {"member_ranges"})  # only made where holders are asked for
     second, found = opened(spark.newSession(), folder, clock)
     assert both(second) == want
     assert found.built == []

@@ -612,7 +612,7 @@ def needed(text: str) -> list[str]:
     return [name for name in VIEWS if name in found]
 
 
-# Results that are brought forward from an earlier day are those of one step.
+# Results that are brought forward from an earlier day, found again or reached another way are those of one step.
 BODIES |= {
     stepped: BODIES[whole]
     for stepped, whole in {
@@ -622,6 +622,9 @@ BODIES |= {
         "users_mart_in_steps": "users_mart",
         "channels_mart_in_steps": "channels_mart",
         "approx_distinct_by_day": "approx_distinct",
+        "trending_channels_holding_by_ranges": "trending_channels_holding",
+        "users_mart_bucketed": "users_mart",
+        "users_mart_reused": "users_mart",
     }.items()
 }
 

@@ -21,6 +21,7 @@ from flockmetrics.plans.book import MartBook, preview
 from flockmetrics.plans.daily import Changes, DailyState, deletions_between, sketched_weeks
 from flockmetrics.plans.trending import ChannelFilters, UserFilters
 from flockmetrics.settings import IGNORED_DOMAINS, SPACER, Settings
+from flockmetrics.sources.catalogue import Catalogue
 from flockmetrics.sources.csv_tables import read_csv_table, register_csv_folder
 from flockmetrics.sources.quality import duplicate_keys
 from flockmetrics.sources.state import StateStore
@@ -831,3 +832,31 @@ def trending_channels_of_user(b):
 @registered
 def trending_channels_holding(b):
     return b.trending_channels(ChannelFilters(max_age_days=10_000, held_token=RARE))
+
+
+@registered
+def trending_channels_holding_by_ranges(b):
+    book = MartBook(b.tables, b.clock, SAMPLE_SETTINGS, b.keep, bitmaps=True)
+    return book.trending_channels(ChannelFilters(max_age_days=10_000, held_token=RARE))
+
+
+# --- Stored and reused ---
+
+
+@registered
+def users_mart_bucketed(b):
+    return MartBook(b.tables, b.clock, SAMPLE_SETTINGS, b.keep, bucketed=True).users()
+
+
+@registered
+def users_mart_reused(b):
+    """Found by a second book, which computes nothing."""
+    spark = b.tables.casts.sparkSession
+    catalogue = Catalogue(spark, f"{shared_folder(spark)}/results-{uuid.uuid4().hex}")
+    versions = {name: "as given" for name in b.tables.names()}
+
+    def book() -> MartBook:
+        return MartBook(b.tables, b.clock, SAMPLE_SETTINGS, catalogue=catalogue, versions=versions)
+
+    book().users()
+    return book().users()
