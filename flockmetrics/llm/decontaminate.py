@@ -1,8 +1,10 @@
 """Benchmark decontamination with DataFrame functions only.
 
-The n-grams of the benchmark are a hash table that is copied to every task (if it is measured to be
-small; joined by shuffle if not), and the word windows of all documents stream past it. A window
-is thirteen columns of one row, so a hit of the hash is verified word by word where it is found.
+The n-grams of the benchmark are a hash table that is copied to every task, and the word windows of all
+documents stream past it. A window is thirteen columns of one row, so a hit of the hash is verified word
+by word where it is found. If the windows are not small, only their 64-bit hashes are copied, up to
+``MOST_HASHES`` of them; what hits a hash is shuffled with the first row of each document and verified
+there. Beyond that number windows are joined by shuffle.
 
 Defined results: null text has no words; an empty benchmark hits nothing; repeated rows and null
 ids each get their own result; other columns are ignored.
@@ -21,6 +23,8 @@ from flockmetrics.sources.stored import store
 
 WINDOW = 13
 ONE_IN = 20
+# A hash takes some 40 bytes where it is looked up, so at most 160 MB are copied.
+MOST_HASHES = 4_000_000
 _BREAKS = "".join(chr(c) for c in range(128) if not chr(c).isalnum() and chr(c) != " ")
 
 
@@ -81,7 +85,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, keys: list[str], n: int
         F.posexplode_outer(F.arrays_zip(*each)).alias("at", "x"),
     )
     rows = rows.select(*[c for c in rows.columns if c != "x"], "x.*")
+    total = windows.count()
     small = fits_broadcast(windows.select("window", F.array_join("items", ",").alias("items")))
+    if sizes and not small and total <= MOST_HASHES:
+        return _per_document(_verified_after(rows, windows, sizes, keys, row), keys, row, one_in)
     for size in sizes:
         parts = F.split("window", " ")
         table = windows.filter(F.col("size") == size).select(
@@ -105,6 +112,38 @@ def contamination(docs: DataFrame, benchmark: DataFrame, keys: list[str], n: int
         *[f"key_{i}" for i in range(len(keys))], row, "n_words",
         F.when(longest.isNotNull(), F.struct(F.col("at"), longest.alias("size"))).alias("hit"), items.alias("items"),
     )
+    return _per_document(rows, keys, row, one_in)
+
+
+def _verified_after(rows: DataFrame, windows: DataFrame, sizes: list[int], keys: list[str], row: str) -> DataFrame:
+    """The first row of every document, and rows of hits: only windows with the hash of an item's are shuffled."""
+    candidates = []
+    for size in sizes:
+        parts = F.split("window", " ")
+        hashes = windows.filter(F.col("size") == size).select(F.xxhash64(*[parts[i] for i in range(size)]).alias(f"hash_{size}")).distinct()
+        own = [F.col(f"w{i}") for i in range(size)]
+        rows = rows.join(F.broadcast(hashes), F.xxhash64(*own) == F.col(f"hash_{size}"), "left")
+        one = F.struct(F.lit(size).alias("size"), F.concat_ws(" ", *own).alias("window"))
+        candidates.append(F.when(F.col(f"hash_{size}").isNotNull(), one))
+    rows = rows.select(
+        *[f"key_{i}" for i in range(len(keys))], row, "n_words", "at",
+        F.filter(F.array(*candidates), lambda c: c.isNotNull()).alias("candidates"),
+    )
+    rows = rows.filter(F.col("at").isNull() | (F.col("at") == 0) | (F.size("candidates") > 0))
+    # No word holds a "#": rows without a candidate match nothing, and do not all go to one task.
+    rows = rows.select("*", F.explode_outer("candidates").alias("candidate")).select(
+        *[f"key_{i}" for i in range(len(keys))], row, "n_words", "at", F.col("candidate.size").alias("own_size"),
+        F.coalesce("candidate.window", F.concat(F.lit("#"), F.col(row))).alias("own_window"),
+    )
+    same = (F.col("own_window") == F.col("window")) & (F.col("own_size") == F.col("size"))
+    return rows.join(windows, same, "left").select(
+        *[f"key_{i}" for i in range(len(keys))], row, "n_words",
+        F.when(F.col("items").isNotNull(), F.struct("at", F.col("own_size").alias("size"))).alias("hit"),
+        F.coalesce("items", F.array().cast("array<string>")).alias("items"),
+    )
+
+
+def _per_document(rows: DataFrame, keys: list[str], row: str, one_in: int) -> DataFrame:
     per_doc = rows.groupBy(row).agg(
         *[F.first(f"key_{i}").alias(f"key_{i}") for i in range(len(keys))],
         F.first("n_words").alias("n_words"),

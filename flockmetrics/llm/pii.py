@@ -5,7 +5,8 @@ plus signs, digits, schemes and names of account numbers. Small deterministic pa
 both sides of an anchor, find the boundaries and validate what lies between.
 
 Base kinds are ``email``, ``ip``, ``card`` and ``phone``; the method adds ``url`` (a scheme whose
-authority holds a user), ``iban`` (check digits hold) and ``account`` (6 to 17 digits after a cue).
+authority holds a user), ``iban`` (check digits hold; after a cue, or standing alone in one piece or in
+groups of four) and ``account`` (6 to 17 digits, also with hyphens, after a cue; no dates).
 Positions are code points, ends are exclusive.
 
 Defined results: null is the empty text, which has no spans; repeated rows get equal spans; other
@@ -35,11 +36,20 @@ _LOCAL = frozenset(_ALNUM + "._%+-")
 _LABEL = frozenset(_ALNUM + "-")
 _PHONE = frozenset(string.digits + " ().-")
 _SCHEME = frozenset(_ALNUM + "+.-")
+_CAPITALS = frozenset(string.ascii_uppercase)
 _DIGITS = frozenset(string.digits)
 _CUES = ("account", "acct", "konto", "cuenta", "compte")
 _AUTHORITY = re.compile(r"[^\s/?#<>\"']+")
-_AFTER_CUE = re.compile(r"(?:[ \t]*(?:no|nr|number|num))?[ \t.:#]*([0-9]{6,17})(?![0-9])")
+_AFTER_CUE = re.compile(
+    r"(?:[ \t]*(?i:number|num|no|nr)(?![A-Za-z]))?[ \t.:#]*"
+    r"(?!(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2}(?!-?[0-9]))([0-9](?:-?[0-9]){5,16})(?!-?[0-9])"
+)
 _AFTER_IBAN = re.compile(r"[ \t.:#]*([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30})")
+# A last group of four must not be followed by a word with a digit: that is a list of codes.
+_ALONE_IBAN = re.compile(
+    r"[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}(?![A-Za-z0-9])|(?: [A-Z0-9]{4}){2,7}"
+    r"(?: [A-Z0-9]{1,3}(?![A-Za-z0-9])|(?![A-Za-z0-9]| [A-Z0-9]*[0-9])))"
+)
 
 Span = tuple[str, int, int]
 
@@ -157,23 +167,45 @@ def _iban_holds(value: str) -> bool:
     return 15 <= len(value) <= 34 and int("".join(str(int(c, 36)) for c in turned)) % 97 == 1
 
 
-def _accounts(text: str, cues: list[int], iban_cues: list[int]) -> list[Span]:
+def _accounts(text: str, cues: list[int]) -> list[Span]:
     out, free = [], 0
     for cue in cues:
         if (found := _AFTER_CUE.match(text, cue)) and found.start(1) >= free:
             out.append(("account", found.start(1), found.end(1)))
             free = found.end(1)
-    free = 0
-    for cue in iban_cues:
-        found = _AFTER_IBAN.match(text, cue)
-        if found and found.start(1) >= free:
-            end = found.end(1)
-            # Trailing words may look like a part of the number: the longest valid one counts.
-            for stop in range(end, found.start(1) + 14, -1):
-                if _iban_holds(text[found.start(1) : stop].replace(" ", "")):
-                    out.append(("iban", found.start(1), stop))
-                    free = stop
-                    break
+    return out
+
+
+def _iban_ends(text: str, start: int, cued: bool) -> list[int]:
+    """Where the number may end, farthest first: trailing words may look like a part of it."""
+    if cued:
+        found = _AFTER_IBAN.match(text, start)
+        return list(range(found.end(1), start + 14, -1)) if found else []
+    found = _ALONE_IBAN.match(text, start)
+    if not found:
+        return []
+    ends = [found.end()]
+    while (space := text.rfind(" ", start, ends[-1])) > start + 14 and text[space + 1 : ends[-1]].isalpha():
+        ends.append(space)
+    return ends
+
+
+def _ibans(text: str, runs: list[tuple[int, int]], cues: list[int]) -> list[Span]:
+    cued = {found.start(1) for cue in cues if (found := _AFTER_IBAN.match(text, cue))}
+    # Two capitals before two digits, and no letter or digit before those.
+    alone = {
+        s - 2 for s, e in runs
+        if s >= 2 and e >= s + 2 and text[s - 2] in _CAPITALS and text[s - 1] in _CAPITALS and not (s > 2 and text[s - 3].isalnum())
+    }
+    out, free = [], 0
+    for start in sorted(cued | alone):
+        if start < free:
+            continue
+        for stop in _iban_ends(text, start, start in cued):
+            if _iban_holds(text[start:stop].replace(" ", "")):
+                out.append(("iban", start, stop))
+                free = stop
+                break
     return out
 
 
@@ -192,7 +224,7 @@ def finder() -> Callable[[str], list[Span]]:
             else:
                 runs.append((digit, digit + 1))
         spans = _emails(text, anchors["at"]) + _ips(text, runs) + _cards(text, runs) + _phones(text, anchors["plus"])
-        spans += _urls(text, anchors["scheme"]) + _accounts(text, anchors["cue"], anchors["iban"])
+        spans += _urls(text, anchors["scheme"]) + _accounts(text, anchors["cue"]) + _ibans(text, runs, anchors["iban"])
         return sorted(spans, key=lambda s: (KINDS.index(s[0]), s[1]))
 
     return find

@@ -1,0 +1,51 @@
+"""A benchmark too large to be copied whole: hashes are copied, hits are verified."""
+
+import random
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
+
+from flockmetrics.llm import decontaminate
+from tests.llm.test_decontaminate import SCHEMA, plain
+
+
+@pytest.mark.parametrize("most", [0, 10**6])
+@pytest.mark.parametrize("seed", [1, 2])
+def test_every_way_equals_plain(spark, awkward, monkeypatch, seed, most):
+    rnd = random.Random(seed)
+    line = lambda k: " ".join(rnd.choice("a b c dd É 7".split()) for _ in range(k))
+    items = [(i, line(rnd.choice([1, 4, 9, 13, 30]) if i else 1)) for i in range(15)] + [(None, line(3)), (50, None)]
+    docs = [(i % 30 or None, line(rnd.randint(0, 80)) + " " + (rnd.choice(items)[1] or "")) for i in range(70)]
+    docs += [(r.doc_id, r.text) for r in awkward.collect()]
+    df, bench = spark.createDataFrame(docs, SCHEMA), spark.createDataFrame(items, "item_id long, text string")
+    monkeypatch.setattr(decontaminate, "MOST_HASHES", most)
+    monkeypatch.setattr(decontaminate, "fits_broadcast", lambda df: False)
+    rows = decontaminate.contamination(df, bench, ["doc_id"]).collect()
+    assert Counter((r.doc_id, r.n_words, r.n_hit, tuple(r["items"]), r.contaminated) for r in rows) == plain(docs, items)
+
+
+def test_a_shared_hash_is_no_hit(spark, monkeypatch):
+    """Documents that hit by hash only stay clean, as every hit is compared word by word."""
+    monkeypatch.setattr(decontaminate, "fits_broadcast", lambda df: False)
+    monkeypatch.setattr(decontaminate.F, "xxhash64", lambda *words: F.lit(7).cast("long"))
+    words = lambda k: " ".join(f"w{k}x{i}" for i in range(13))
+    df = spark.createDataFrame([(k, words(k)) for k in range(6)], SCHEMA)
+    bench = spark.createDataFrame([(1, words(1)), (2, words(9))], "item_id long, text string")
+    rows = decontaminate.contamination(df, bench, ["doc_id"]).collect()
+    assert {r.doc_id: r.n_hit for r in rows} == {k: 13 * (k == 1) for k in range(6)}
+
+
+def test_two_million_windows(spark):
+    """Documents are found among two million windows, and no Python takes part."""
+    word = lambda c: F.conv(F.substring(F.md5(c.cast("string")), 1, 10), 16, 10)
+    text = lambda first, n: F.array_join(F.transform(F.sequence(first, first + n - 1), word), " ")
+    bench = spark.range(0, 2000, numPartitions=8).select(F.col("id").alias("item_id"), text(F.col("id") * 1013, 1013).alias("text"))
+    inside = spark.range(0, 100).select(F.col("id").alias("doc_id"), text(F.col("id") * 1013 + 40, 20).alias("text"))
+    outside = spark.range(100, 200).select(F.col("id").alias("doc_id"), text(F.col("id") * 1013 - 6, 12).alias("text"))
+    found = decontaminate.contamination(inside.union(outside), bench, ["doc_id"])
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "xxhash64" in plan and "ArrowEvalPython" not in plan and "MapInPandas" not in plan
+    assert "candidate" in plan
+    rows = {r.doc_id: (r.n_hit, r["items"]) for r in found.collect()}
+    assert rows == {i: (20, [str(i)]) if i < 100 else (0, []) for i in range(200)}
