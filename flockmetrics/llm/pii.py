@@ -190,13 +190,18 @@ def _iban_ends(text: str, start: int, cued: bool) -> list[int]:
     return ends
 
 
+def _may_start_alone(text: str, start: int) -> bool:
+    """Two capitals, with no letter or digit before them and no group of a list of codes."""
+    if start < 0 or text[start] not in _CAPITALS or text[start + 1] not in _CAPITALS or (start and text[start - 1].isalnum()):
+        return False
+    group = text[max(0, start - 5) : max(0, start - 1)]
+    in_list = text[max(0, start - 1) : start] == " " and group.isascii() and group.isalnum()
+    return not (in_list and not group.isalpha() and not group.isdigit())
+
+
 def _ibans(text: str, runs: list[tuple[int, int]], cues: list[int]) -> list[Span]:
     cued = {found.start(1) for cue in cues if (found := _AFTER_IBAN.match(text, cue))}
-    # Two capitals before two digits, and no letter or digit before those.
-    alone = {
-        s - 2 for s, e in runs
-        if s >= 2 and e >= s + 2 and text[s - 2] in _CAPITALS and text[s - 1] in _CAPITALS and not (s > 2 and text[s - 3].isalnum())
-    }
+    alone = {s - 2 for s, e in runs if e >= s + 2 and _may_start_alone(text, s - 2)}
     out, free = [], 0
     for start in sorted(cued | alone):
         if start < free:
