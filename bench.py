@@ -47,7 +47,7 @@ def main() -> None:
     )
     spark.sparkContext.setLogLevel("ERROR")
 
-    setup = {"derived_tables": timed(lambda: sample_tables(spark, sf_dir))}
+    setup = {"derived_tables": timed(lambda: sample_tables(spark, sf_dir).derive())}
     book = sample_book(spark, sf_dir)
     for name in ("engaged", "linked", "addresses", "members", "stored_users", "stored_channels"):
         setup[name] = timed(lambda: getattr(book, name))

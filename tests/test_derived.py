@@ -1,0 +1,89 @@
+"""Derived tables: made when asked for, and the same rows however Spark comes by them."""
+
+import os
+from datetime import datetime
+
+import pytest
+from pyspark.sql import functions as F
+
+from flockmetrics.sources.stored import store
+from workload import queries, sample_tables
+from workload.sample_tables import DEFINITIONS, derive
+
+AT = datetime(2024, 1, 20, 12)
+
+
+@pytest.fixture
+def derived(monkeypatch):
+    """Names of the tables that are derived, from tables no book knows yet."""
+    names = []
+
+    def noted(spark, sf_dir, name):
+        names.append(name)
+        return derive(spark, sf_dir, name)
+
+    monkeypatch.setattr(sample_tables, "derive", noted)
+    monkeypatch.setattr(sample_tables, "_tables", {})
+    monkeypatch.setattr(sample_tables, "_books", {})
+    return names
+
+
+@pytest.mark.parametrize(
+    ("query", "needed"),
+    [
+        ("tier_ladder", {"links"}),
+        ("list_keep_nulls", {"fids", "verifications"}),
+        ("engagement_in_steps", {"casts", "reactions"}),
+        ("document_frequency", {"casts"}),
+    ],
+)
+def test_a_query_derives_only_what_it_reads(spark, smoke_dir, derived, query, needed):
+    assert queries.QUERIES[query](spark, smoke_dir).count() > 0
+    assert set(derived) == needed and len(derived) == len(needed)
+
+
+def test_side_by_side_each_table_is_made_once(spark, smoke_dir, derived):
+    tables = sample_tables.sample_tables(spark, smoke_dir).derive()
+    assert sorted(derived) == sorted(DEFINITIONS) and sorted(vars(tables).keys() & DEFINITIONS) == sorted(DEFINITIONS)
+    with pytest.raises(AttributeError):
+        tables.nothing
+
+
+def test_rows_laid_out_by_a_column_are_not_dealt_anew(spark):
+    rows = spark.range(0, 40, 1, 4).withColumn("day", F.lit(AT.date()))
+    stored = store(rows, "laid-out", "day")
+    files = os.listdir(f"{stored.stored_at}/day={AT.date()}")
+    assert len([f for f in files if f.endswith(".parquet")]) == 4 and stored.count() == 40
+
+
+def test_posts_in_parts_are_the_posts_of_the_definition(spark, tmp_path):
+    """Ids that repeat, are below zero or NULL, on both sides."""
+    ids = [*range(-6, 30), 4, 4, 9, None]
+    made = {
+        "events": spark.createDataFrame(
+            [(i, 1 + k % 3, ("view", "error", None)[k % 3], AT) for k, i in enumerate(ids)],
+            "event_id long, user_id long, event_type string, ts timestamp_ntz",
+        ),
+        "documents": spark.createDataFrame(
+            [(i, None if i == 5 else f"text {k}") for k, i in enumerate([-7, -3, -1, 0, 2, 2, 3, 4, 5, 5, 8, 900, None])],
+            "doc_id long, text string",
+        ),
+        "pages": spark.createDataFrame([(i, f"https://a.b/{i}") for i in range(-8, 8)], "page_id long, url string"),
+        "part": spark.createDataFrame(
+            [(i, f"part {i}", "brand", "PROMO") for i in range(-8, 8)], "p_partkey long, p_name string, p_brand string, p_type string"
+        ),
+    }
+    for name, df in made.items():
+        df.write.parquet(f"{tmp_path}/{name}.parquet")
+    whole = DEFINITIONS["casts"].replace("{timestamp}", "timestamp_ntz").replace("{string}", "string")
+    expected = spark.sql(whole, **made)
+    found = derive(spark, str(tmp_path), "casts")
+    assert found.columns == expected.columns and found.dtypes == expected.dtypes
+
+    def rows(df):
+        return sorted(map(repr, df.collect()))
+
+    assert rows(found) == rows(expected) and found.count() > 20
+    texts = {row.text.rpartition(" and https://x.com/a ")[2] for row in found.select("text").collect()}
+    # Ids below zero and ids that repeat have met documents.
+    assert {"text 2", "text 3", "text 4", "text 5", "text 6"} <= texts

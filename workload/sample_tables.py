@@ -6,8 +6,12 @@ table serves Spark and DuckDB; only type names and the array constructor differ.
 
 from __future__ import annotations
 
+from collections import defaultdict
+from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime
+from functools import reduce
+from threading import Lock
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -152,7 +156,7 @@ SAMPLE_SETTINGS = Settings(
 
 LAID_OUT_BY_DAY = ("casts", "reactions", "links")
 
-_tables: dict[tuple[str, str], SocialTables] = {}
+_tables: dict[tuple[str, str], DerivedTables] = {}
 _books: dict[tuple[str, str], MartBook] = {}
 
 
@@ -160,12 +164,33 @@ def source(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: How a post comes by the text of a document, and which posts may have one.
+TEXT_JOIN = "left join {documents} d on d.doc_id = k.doc_key"
+MAY_HAVE_TEXT = """coalesce(
+    k.doc_key between (select min(doc_id) from {documents}) and (select max(doc_id) from {documents}), false)"""
+
+
+def spark_texts(name: str) -> tuple[str, ...]:
+    """Queries whose rows together are the table. Only posts that may have a document meet the texts;
+    most have none and need not be dealt and sorted beside them."""
+    text = DEFINITIONS[name]
+    if TEXT_JOIN not in text:
+        return (text,)
+    without = TEXT_JOIN.replace("{documents}", "(select doc_id, text from {documents} where false)")
+    return (
+        text.replace(TEXT_JOIN, f"{TEXT_JOIN} where {MAY_HAVE_TEXT}"),
+        text.replace(TEXT_JOIN, f"{without} where not {MAY_HAVE_TEXT}"),
+    )
+
+
 def derive(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     sources = {table: source(spark, sf_dir, table) for table in SOURCES if "{%s}" % table in DEFINITIONS[name]}
-    text = DEFINITIONS[name]
-    for placeholder, spelled in (("{timestamp}", "timestamp_ntz"), ("{string}", "string"), ("{array}", "array")):
-        text = text.replace(placeholder, spelled)
-    return spark.sql(text, **sources)
+    rows = []
+    for text in spark_texts(name):
+        for placeholder, spelled in (("{timestamp}", "timestamp_ntz"), ("{string}", "string"), ("{array}", "array")):
+            text = text.replace(placeholder, spelled)
+        rows.append(spark.sql(text, **sources))
+    return reduce(DataFrame.unionByName, rows)
 
 
 def duckdb_definitions() -> dict[str, str]:
@@ -173,22 +198,42 @@ def duckdb_definitions() -> dict[str, str]:
     return {name: text.format(**{table: table for table in SOURCES}, **spelled) for name, text in DEFINITIONS.items()}
 
 
-def sample_tables(spark: SparkSession, sf_dir: str) -> SocialTables:
-    """The derived tables, written once per application and read as plain Parquet afterwards."""
+class DerivedTables(SocialTables):
+    """Tables that are made when they are first asked for, so a query derives only what it reads."""
+
+    def __init__(self, make: Callable[[str], DataFrame]) -> None:
+        self.__dict__.update(_make=make, _locks=defaultdict(Lock))
+
+    def __getattr__(self, name: str) -> DataFrame:
+        # Called for what is not there yet.
+        if name not in self.names():
+            raise AttributeError(name)
+        with self._locks[name]:
+            if name not in self.__dict__:
+                self.__dict__[name] = self._make(name)
+        return self.__dict__[name]
+
+    def derive(self, *names: str) -> DerivedTables:
+        """Make the named tables, or all, side by side."""
+        with ThreadPoolExecutor() as pool:
+            list(pool.map(lambda name: getattr(self, name), names or self.names()))
+        return self
+
+
+def sample_tables(spark: SparkSession, sf_dir: str) -> DerivedTables:
+    """The derived tables, each written once per application, when it is first read, and read as plain Parquet afterwards."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _tables:
 
-        def stored(name: str) -> DataFrame:
+        def make(name: str) -> DataFrame:
+            if name == "stopwords":
+                return spark.createDataFrame([(word,) for word in STOPWORDS], "stopwords string")
             rows = derive(spark, sf_dir, name)
             if name not in LAID_OUT_BY_DAY:
                 return store(rows, name)
             return store(rows.withColumn(DAY, F.to_date("created_at")), name, DAY)
 
-        # Independent jobs, run side by side.
-        with ThreadPoolExecutor() as pool:
-            derived = dict(zip(DEFINITIONS, pool.map(stored, DEFINITIONS)))
-        stopwords = spark.createDataFrame([(word,) for word in STOPWORDS], "stopwords string")
-        _tables[key] = SocialTables(**derived, stopwords=stopwords)
+        _tables[key] = DerivedTables(make)
     return _tables[key]
 
 
