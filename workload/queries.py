@@ -413,6 +413,9 @@ def distinct_members(b):
 
 STEP_DAYS = 10
 
+# The table that each state reads.
+STATE_TABLES = {"posts": "casts", "reply_days": "casts", "member_days": "casts", "reaction_days": "reactions", "follow_totals": "links"}
+
 
 def in_steps(b: MartBook, *states: str) -> DailyState:
     """The named states as of ten days before, then as of now from the days since and the deletions in between."""
@@ -422,7 +425,9 @@ def in_steps(b: MartBook, *states: str) -> DailyState:
     old = DailyState(b.tables, before, store)
     for name in states:
         getattr(old, name)
-    logs = {name: deletions_between(getattr(b.tables, name), b.clock, before) for name in ("casts", "links", "reactions")}
+    read = dict.fromkeys(STATE_TABLES[name] for name in states)
+    b.tables.derive(*read)
+    logs = {name: deletions_between(getattr(b.tables, name), b.clock, before) for name in read}
     return DailyState(b.tables, b.clock, store, Changes(**logs))
 
 
