@@ -87,3 +87,24 @@ def test_posts_in_parts_are_the_posts_of_the_definition(spark, tmp_path):
     texts = {row.text.rpartition(" and https://x.com/a ")[2] for row in found.select("text").collect()}
     # Ids below zero and ids that repeat have met documents.
     assert {"text 2", "text 3", "text 4", "text 5", "text 6"} <= texts
+
+
+@pytest.mark.parametrize("small", [True, False])
+def test_posts_are_not_dealt_for_a_small_table_of_links(spark, smoke_dir, monkeypatch, small):
+    """The planner is told to copy nothing, as it would for the size of the pages' text."""
+    expected = derive(spark, smoke_dir, "casts").collect()
+    threshold, adaptive = "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled"
+    monkeypatch.setattr(sample_tables, "fits_broadcast", lambda df: small and df.columns == ["page_id", "url"])
+    for key, value in ((threshold, "-1"), (adaptive, "false")):
+        spark.conf.set(key, value)
+    try:
+        found = derive(spark, smoke_dir, "casts")
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        rows = found.collect()
+    finally:
+        spark.conf.unset(threshold)
+        spark.conf.set(adaptive, "true")
+    # Both parts of the posts meet the links.
+    assert plan.count("BroadcastHashJoin [page_key") == (2 if small else 0)
+    assert plan.count("hashpartitioning(page_key") == (0 if small else 2)
+    assert sorted(map(repr, rows)) == sorted(map(repr, expected))

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flockmetrics import Clock, Settings, SocialTables
+from flockmetrics.operators.joins import fits_broadcast
 from flockmetrics.settings import TierRule
 from flockmetrics.sources.stored import store
 from flockmetrics.sources.tables import DAY
@@ -183,8 +184,17 @@ def spark_texts(name: str) -> tuple[str, ...]:
     )
 
 
+def page_links(pages: DataFrame) -> DataFrame:
+    """What posts take from the pages, copied to every executor if it is measured to be small. The planner's
+    estimate counts part of the pages' text, which is not read, and deals all posts for it."""
+    slim = pages.select("page_id", "url")
+    return F.broadcast(slim) if fits_broadcast(slim) else slim
+
+
 def derive(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     sources = {table: source(spark, sf_dir, table) for table in SOURCES if "{%s}" % table in DEFINITIONS[name]}
+    if "pages" in sources:
+        sources["pages"] = page_links(sources["pages"])
     rows = []
     for text in spark_texts(name):
         for placeholder, spelled in (("{timestamp}", "timestamp_ntz"), ("{string}", "string"), ("{array}", "array")):
