@@ -160,6 +160,18 @@ def test_repeats(spark, size, lead, crowd):
     assert sorted(as_rows, key=repr) == sorted(plain_repeats(rows, size), key=repr)
 
 
+def test_copies_of_a_text_cut_their_suffixes_once(spark, monkeypatch):
+    passage = "a passage that others have as well"
+    rows = [(k, "one text, and here is " + passage + " with an end") for k in range(40)] + [(50 + k, f"{k}: {passage}, {k}") for k in range(3)]
+    docs, dealt = frame(spark, rows), []
+    deal = type(docs).repartitionByRange
+    monkeypatch.setattr(type(docs), "repartitionByRange", lambda self, *a: dealt.append(self) or deal(self, *a))
+    found = repeats.without_repeats(docs, "x", size=24, lead=8).select("doc_id", "x.*").collect()
+    assert dealt[0].count() == dealt[0].select("lead", "context").distinct().count() > 0
+    as_rows = [(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in found]
+    assert sorted(as_rows) == sorted(plain_repeats(rows, 24))
+
+
 def test_repeats_of_awkward_rows(spark, awkward, nothing):
     found = repeats.without_repeats(awkward, "result").collect()
     # The long runs of one character and of one word repeat themselves.
